@@ -21,7 +21,9 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partiti
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; blanks around a value are kept, as on reading."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, **blanks).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
