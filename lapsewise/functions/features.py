@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.config import LABEL
+from lapsewise.operators.lookup import attach
 
 
 def ratio(num: Column, den: Column, otherwise: Column | None = None) -> Column:
@@ -91,10 +92,10 @@ def target_rates(train: DataFrame, column: str, label: str = LABEL) -> DataFrame
 def target_encode(
     train: DataFrame, apply_to: DataFrame, column: str, label: str = LABEL, out: str | None = None
 ) -> DataFrame:
-    """Replace a category by its mean label, fitted on ``train`` only.
+    """Add a category's mean label, fitted on ``train`` only.
 
     An aggregate joined back, not a window over the category: a window would
     put every row of a category into one task.
     """
     rates = target_rates(train, column, label).withColumnRenamed("rate", out or f"{column}_rate")
-    return apply_to.join(rates, column, "left")
+    return attach(apply_to, rates, column, "left")

@@ -21,13 +21,10 @@ def clip(column: Column, low, high) -> Column:
 
 
 def risk_logit() -> Column:
-    single = (F.col("NumOfProducts") == 1).cast("int")
-    w = RISK_WEIGHTS
-    return (
-        F.lit(w["Age"]) * F.col("Age")
-        + F.lit(w["Balance"]) * F.col("Balance")
-        + F.lit(w["IsActiveMember"]) * F.col("IsActiveMember")
-        + F.lit(w["IsSingleProduct"]) * single
+    w = {name: f"{value!r}D" for name, value in RISK_WEIGHTS.items()}
+    return F.expr(
+        f"{w['Age']} * Age + {w['Balance']} * Balance + {w['IsActiveMember']} * IsActiveMember"
+        f" + {w['IsSingleProduct']} * CAST(NumOfProducts = 1 AS INT)"
     )
 
 

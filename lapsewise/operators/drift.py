@@ -70,7 +70,8 @@ def _psi(points: DataFrame, bins: int) -> DataFrame:
         .groupBy("column")
         .agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
     )
-    joined = points.join(edges, "column")
+    # One row per compared column, with at most bins + 1 numbers.
+    joined = points.join(F.broadcast(edges), "column")
     last = F.size("edges") - 1
     slot = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     slot = F.when(F.col("value") == F.element_at("edges", -1), last).otherwise(slot)
@@ -153,7 +154,8 @@ def _jensen_shannon(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> D
     p, q = F.col("n_ref") / F.col("all_ref"), F.col("n_cur") / F.col("all_cur")
     m = (p + q) / 2
     term = F.when(p > 0, p * F.ln(p / m)).otherwise(0.0) + F.when(q > 0, q * F.ln(q / m)).otherwise(0.0)
-    joined = sides.join(totals.where((F.col("all_ref") > 0) & (F.col("all_cur") > 0)), "column")
+    # One row per compared column.
+    joined = sides.join(F.broadcast(totals.where((F.col("all_ref") > 0) & (F.col("all_cur") > 0))), "column")
     return joined.groupBy("column").agg(
         F.lit("jensen_shannon").alias("method"),
         F.sqrt(F.greatest(F.lit(0.0), F.sum(term) / 2)).alias("value"),

@@ -217,9 +217,16 @@ def _tree_arrays(model: PipelineModel) -> list[dict[str, np.ndarray]]:
                 value[i] = node.prediction()
             else:
                 split = node.split()
-                feature[i], cut[i] = split.featureIndex(), split.threshold()
-                left[i] = visit(node.leftChild())
-                right[i] = visit(node.rightChild())
+                feature[i] = split.featureIndex()
+                first, second = visit(node.leftChild()), visit(node.rightChild())
+                if split.getClass().getSimpleName() == "CategoricalSplit":
+                    # The only categories a vector holds here are one-hot 0 and 1.
+                    cut[i] = 0.5
+                    if list(split.leftCategories()) == [1.0]:
+                        first, second = second, first
+                else:
+                    cut[i] = split.threshold()
+                left[i], right[i] = first, second
             return i
 
         visit(tree._java_obj.rootNode())

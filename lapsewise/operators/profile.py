@@ -256,7 +256,11 @@ def average_rank(df: DataFrame, column: str, out: str = "rank_share") -> DataFra
     points = value_points(df, [column], {"n": F.lit(1)})
     run = running(points, ["column"], "value", ["n"])
     mean_rank = F.col("cum_n") - (F.col("n") - 1) / 2
-    ranks = run.select(F.col("value").alias("_v"), (mean_rank / (F.col("total_n") + 1)).alias(out))
-    return df.join(ranks, F.col(column).cast("double") == F.col("_v"), "left").drop("_v")
-
-
+    # At most 1,000 values can each hold a thousandth of the rows: those go to every
+    # task, so that a frequent value is not gathered in one.
+    frequent = F.col("n") * 1000 >= F.col("total_n")
+    ranks = run.select(F.col("value").alias("_v"), (mean_rank / (F.col("total_n") + 1)).alias(out), frequent.alias("_f"))
+    hot, rest = F.broadcast(ranks.where("_f").drop("_f")), ranks.where(~F.col("_f")).drop("_f")
+    rows = df.withColumn("_v", F.col(column).cast("double"))
+    seldom = rows.join(hot.select("_v"), "_v", "left_anti").join(rest, "_v", "left")
+    return rows.join(hot, "_v").unionByName(seldom).drop("_v")

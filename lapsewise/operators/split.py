@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULTS, KEY, LABEL
+from lapsewise.operators.lookup import attach
 from lapsewise.operators.ordered import running
 
 
+MAX_CLASSES = 100
+
+
 def draw(key: str, seed: int) -> Column:
     """Repeatable uniform draw of a row: a hash of key and seed."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
@@ -49,6 +53,30 @@ def split_cuts(
     )
 
 
+def fit_split(
+    df: DataFrame,
+    label: str = LABEL,
+    key: str = KEY,
+    test: float = DEFAULTS.test_size,
+    val: float = DEFAULTS.val_size,
+    seed: int = DEFAULTS.seed,
+) -> Column:
+    """The split as a rule over a row's label and key: two hashes per class.
+
+    A label with more than ``MAX_CLASSES`` values is not a class and is refused.
+    """
+    cuts = split_cuts(df, label, key, test, val, seed).limit(MAX_CLASSES + 1).collect()
+    if len(cuts) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
+    h = draw(key, seed)
+    rule = F.lit(None).cast("string")
+    for row in cuts:
+        test_cut = row["test_cut"] or ""
+        part = F.when(h <= test_cut, "test").when(h <= (row["val_cut"] or test_cut), "val").otherwise("train")
+        rule = F.when(F.col(label) == row[label], part).otherwise(rule)
+    return rule
+
+
 def stratified_split(
     df: DataFrame,
     label: str = LABEL,
@@ -58,18 +86,13 @@ def stratified_split(
     seed: int = DEFAULTS.seed,
 ) -> DataFrame:
     """Add ``split``: per label class, exactly ``ceil(test * n)`` rows of test, then
-    ``ceil(val * rest)`` of validation, the rest train. Keys are unique.
+    ``ceil(val * rest)`` of validation, the rest train. Keys are unique; rows
+    without a label are left out.
 
-    Rows are only compared with two hashes of their class, so no row is shuffled.
+    Rows are only compared with the two hashes of their class: nothing is shuffled.
     """
-    cuts = split_cuts(df, label, key, test, val, seed)
-    h = draw(key, seed)
-    part = (
-        F.when(h <= F.col("test_cut"), "test")
-        .when(h <= F.coalesce("val_cut", "test_cut"), "val")
-        .otherwise("train")
-    )
-    return df.join(cuts, label).withColumn("split", part).select(*df.columns, "split")
+    rule = fit_split(df, label, key, test, val, seed)
+    return df.where(F.col(label).isNotNull()).withColumn("split", rule)
 
 
 def class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
@@ -77,7 +100,7 @@ def class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> Dat
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n") / F.count("*")).scalar()
     weights = counts.select(label, (total / F.col("_n")).alias(out))
-    return df.join(weights, label).select(*df.columns, out)
+    return attach(df, weights, label).select(*df.columns, out)
 
 
 def positive_weight(df: DataFrame, label: str = LABEL) -> DataFrame:

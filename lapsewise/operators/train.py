@@ -42,6 +42,7 @@ SEARCH_SPACE = {
 }
 _LOG_SCALE = ("learning_rate",)
 _VALIDATION = "is_validation"
+OUTPUTS = (SCORE, "prediction", "risk_level", "rawPrediction")
 
 
 def boosted_trees(params: dict | None = None, seed: int = DEFAULTS.seed) -> GBTClassifier:
@@ -91,7 +92,9 @@ def fit(
 
 
 def predict(model: PipelineModel, df: DataFrame, include_features: bool = True, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add probability, prediction and risk level; narrow, no shuffle."""
+    """Add probability, prediction and risk level; narrow, no shuffle. Scores the
+    table already has are replaced."""
+    df = df.drop(*OUTPUTS)
     scored = model.transform(df)
     # The vector column takes the name of ours, so it is renamed first.
     scored = scored.withColumnRenamed("probability", "_vector")
@@ -110,7 +113,7 @@ def feature_importance(model: PipelineModel, spark: SparkSession, feature_engine
 
 def evaluate_splits(model: PipelineModel, split: DataFrame, key: str = KEY) -> DataFrame:
     """All metrics for train, validation and test in one go."""
-    scored = predict(model, split.select(*dict.fromkeys([*split.columns])))
+    scored = predict(model, split)
     return all_metrics(scored, LABEL, SCORE, key, by=["split"])
 
 
@@ -174,7 +177,7 @@ def tune(
 
 def conditional_model(df: DataFrame, label: str = LABEL) -> PipelineModel:
     """Logistic regression of the label on standardised age and balance, nulls as 0."""
-    filled = df.fillna(0.0, subset=["Age", "Balance"])
+    filled = df.select("Age", "Balance", label).fillna(0.0, subset=["Age", "Balance"])
     stages = [
         VectorAssembler(inputCols=["Age", "Balance"], outputCol="features"),
         LogisticRegression(labelCol=label, standardization=True, maxIter=200),

@@ -522,8 +522,10 @@ add(
 )
 add(
     "constant_columns",
-    "SELECT 'currency' AS \"column\", 'EUR' AS value FROM snap GROUP BY ALL UNION ALL"
-    " SELECT 'branch', NULL FROM snap GROUP BY ALL",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", min(CAST({v} AS VARCHAR)) AS value FROM snap HAVING count(DISTINCT {v}) <= 1"
+        for c, v in (("Age", "Age"), ("Gender", "Gender"), ("Exited", "Exited"), ("currency", "'EUR'"), ("branch", "NULL"))
+    ),
 )
 add(
     "column_stats",
@@ -660,7 +662,16 @@ add(
     f" (SELECT count(*) FROM {_FIRST} AND Balance IS NOT NULL) AS rows_out, CAST(5 AS INTEGER) AS columns_removed FROM dirty",
     DIRTY,
 )
-add("correlated_leakage", "SELECT 'Complain' AS \"column\", 1::DOUBLE AS correlation FROM snap GROUP BY ALL")
+add(
+    "correlated_leakage",
+    'SELECT col AS "column", r AS correlation FROM ('
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS col, corr(\"{c}\", Exited) AS r FROM raw" for c in ("Complain", "Age", "Balance", "CreditScore")
+    )
+    + ") WHERE abs(r) >= 0.99::DOUBLE",
+    RAW,
+    "correlation",
+)
 
 
 # ---- drift and alerts
@@ -686,9 +697,12 @@ def _psi_ctes(columns: list[str]) -> str:
     )
     return f""",
 edges AS ({edges}),
+bounds AS (
+  SELECT col, edge AS lo, lead(edge) OVER w AS hi, row_number() OVER w AS slot, max(edge) OVER (PARTITION BY col) AS top
+  FROM (SELECT col, unnest(e) AS edge FROM edges) WINDOW w AS (PARTITION BY col ORDER BY edge)),
 slots AS (
-  SELECT col, ref, CASE WHEN v = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, x -> x <= v)) END AS slot
-  FROM cells JOIN edges USING (col) WHERE v >= e[1] AND v <= e[-1]),
+  SELECT c.col, ref, slot FROM cells c JOIN bounds b
+    ON b.col = c.col AND v >= lo AND (v < hi OR (v = hi AND hi = top))),
 sizes AS (SELECT col, sum(ref) AS er, sum(1 - ref) AS ac FROM cells GROUP BY col),
 shares AS (
   SELECT col, slot, sum(ref) / (max(er) + 1e-8::DOUBLE) AS e, sum(1 - ref) / (max(ac) + 1e-8::DOUBLE) AS a
@@ -886,9 +900,9 @@ add(
 )
 add(
     "prediction_values",
-    "SELECT customer_uuid, sum(w * mean) AS base_value, sum(w * x) AS prediction_value FROM cells GROUP BY customer_uuid",
+    "SELECT customer_uuid, round(sum(w * mean), 8) AS base_value, round(sum(w * x), 8) AS prediction_value"
+    " FROM cells GROUP BY customer_uuid",
     PARTS,
-    "base_value prediction_value",
 )
 _ADVICE = ", ".join(
     f"('{f}', '{impact}', '{text}')" for f, pair in ACTIONS.items() for impact, text in zip(("increase", "decrease"), pair)

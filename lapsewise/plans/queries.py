@@ -72,9 +72,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in wide})
 
 
+# Places kept where six would cut a value of exactly six and a half.
+MORE_DIGITS = {"prediction_values": 8}
+
+
 def query(f: Query) -> Query:
+    digits = MORE_DIGITS.get(f.__name__, 6)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(f(spark, sf_dir))
+        return rounded(f(spark, sf_dir), digits)
 
     run.__doc__ = f.__doc__
     QUERIES[f.__name__] = run
@@ -895,7 +901,7 @@ def stream_mean_by_day(spark, d):
     """The same buckets from a stream, written as they stand after the last batch."""
     events = spark.read.parquet(f"{d}/events.parquet")
     out, mark = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-mark")
-    source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    source = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
     buckets = mean_by_window(_event_scores(source), "ts", "p")
     buckets.writeStream.outputMode("complete").foreachBatch(
         lambda batch, _: batch.write.mode("overwrite").parquet(out)

@@ -19,50 +19,47 @@ ACTIVE_FROM = "2000-02-01"
 def order_activity(orders: DataFrame) -> DataFrame:
     """Per customer, in one pass and one shuffle (no distinct aggregate:
     the five priorities are kept as bits)."""
-    when, price = F.col("o_orderdate"), F.col("o_totalprice")
-    before = when < F.lit(CUTOFF).cast("timestamp")
-    bit = F.expr("shiftleft(1, cast(substring(o_orderpriority, 1, 1) as int))")
+    before = f"o_orderdate < timestamp '{CUTOFF}'"
+    recent = f"{before} AND o_orderdate >= timestamp '{ACTIVE_FROM}'"
+    bit = "shiftleft(1, CAST(substring(o_orderpriority, 1, 1) AS INT))"
     return orders.groupBy("o_custkey").agg(
-        F.min(F.year(when)).alias("first_year"),
-        F.bit_count(F.bit_or(F.when(before, bit).otherwise(0))).alias("priorities"),
-        F.max(F.when(before & (when >= F.lit(ACTIVE_FROM).cast("timestamp")), 1).otherwise(0)).alias("active"),
-        (F.min(F.when(before, price)) + F.max(F.when(before, price))).alias("spend"),
-        F.max(F.when(~before, 1).otherwise(0)).alias("returned"),
-        F.max(F.when(before, 1).otherwise(0)).alias("known"),
+        F.expr("min(year(o_orderdate)) AS first_year"),
+        F.expr(f"bit_count(bit_or(IF({before}, {bit}, 0))) AS priorities"),
+        F.expr(f"max(IF({recent}, 1, 0)) AS active"),
+        F.expr(f"min(o_totalprice) FILTER (WHERE {before}) + max(o_totalprice) FILTER (WHERE {before}) AS spend"),
+        F.expr(f"max(IF({before}, 0, 1)) AS returned"),
+        F.expr(f"max(IF({before}, 1, 0)) AS known"),
     )
 
 
 def customer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     activity = order_activity(spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    key = F.col("c_custkey")
-    base = customer.join(activity, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        (key + 1).alias("RowNumber"),
-        (key + 15600000).alias("CustomerId"),
-        F.col("c_name").alias("Surname"),
-        (300 + (key * 7919) % 551).cast("int").alias("CreditScore"),
-        F.expr("case c_nationkey % 3 when 0 then 'France' when 1 then 'Spain' else 'Germany' end").alias("Geography"),
-        F.when(key % 2 == 0, "Female").otherwise("Male").alias("Gender"),
-        (18 + (key * 37) % 75).cast("int").alias("Age"),
-        F.least(F.lit(10), F.greatest(F.lit(0), 2000 - F.coalesce("first_year", F.lit(2000)))).cast("int").alias("Tenure"),
-        F.round(F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 25, 2).alias("Balance"),
-        F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce(F.col("priorities"), F.lit(1)) - 1)).cast("int").alias("NumOfProducts"),
-        (key % 10 < 7).cast("int").alias("HasCrCard"),
-        F.coalesce("active", F.lit(0)).alias("IsActiveMember"),
-        F.round(F.least(F.lit(200000.0), F.coalesce("spend", F.lit(0.0)) * 0.2), 2).alias("EstimatedSalary"),
-        (100 + (key * 53) % 900).cast("int").alias("PointEarned"),
-        F.expr(
-            "case c_mktsegment when 'HOUSEHOLD' then 'Silver' when 'BUILDING' then 'Gold'"
-            " when 'MACHINERY' then 'Diamond' else 'Platinum' end"
-        ).alias("CardType"),
-        (1 - F.coalesce("returned", F.lit(0))).alias("Lapsed"),
-        F.coalesce("known", F.lit(0)).alias("known"),
-        F.col("c_acctbal").alias("acctbal"),
+    base = customer.join(activity, F.col("c_custkey") == F.col("o_custkey"), "left").selectExpr(
+        "c_custkey + 1 AS RowNumber",
+        "c_custkey + 15600000 AS CustomerId",
+        "c_name AS Surname",
+        "CAST(300 + (c_custkey * 7919) % 551 AS INT) AS CreditScore",
+        "CASE c_nationkey % 3 WHEN 0 THEN 'France' WHEN 1 THEN 'Spain' ELSE 'Germany' END AS Geography",
+        "IF(c_custkey % 2 = 0, 'Female', 'Male') AS Gender",
+        "CAST(18 + (c_custkey * 37) % 75 AS INT) AS Age",
+        "least(10, greatest(0, 2000 - coalesce(first_year, 2000))) AS Tenure",
+        "round(greatest(c_acctbal, 0D) * 25, 2) AS Balance",
+        "least(4, greatest(1, coalesce(CAST(priorities AS INT), 1) - 1)) AS NumOfProducts",
+        "CAST(c_custkey % 10 < 7 AS INT) AS HasCrCard",
+        "coalesce(active, 0) AS IsActiveMember",
+        "round(least(200000D, coalesce(spend, 0D) * 0.2D), 2) AS EstimatedSalary",
+        "CAST(100 + (c_custkey * 53) % 900 AS INT) AS PointEarned",
+        "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Silver' WHEN 'BUILDING' THEN 'Gold'"
+        " WHEN 'MACHINERY' THEN 'Diamond' ELSE 'Platinum' END AS CardType",
+        "1 - coalesce(returned, 0) AS Lapsed",
+        "coalesce(known, 0) AS known",
+        "c_acctbal AS acctbal",
     )
-    draw = F.conv(F.substring(F.md5(F.concat(F.col("CustomerId").cast("string"), F.lit(":label"))), 1, 8), 16, 10)
-    scored = base.withColumn("p", risk_score()).withColumn("u", draw.cast("long") / F.lit(4294967296.0))
-    labelled = scored.withColumn("Exited", (F.col("u") < (F.col("p") - 0.5) * 0.85).cast("int"))
-    return with_customer_uuid(labelled)
+    scored = base.withColumn("p", risk_score()).withColumn(
+        "u", F.expr("CAST(conv(substring(md5(concat(CustomerId, ':label')), 1, 8), 16, 10) AS BIGINT) / 4294967296D")
+    )
+    return with_customer_uuid(scored.withColumn("Exited", F.expr("CAST(u < (p - 0.5D) * 0.85D AS INT)")))
 
 
 FILE_COLUMNS = (

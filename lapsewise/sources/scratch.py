@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """A one-row result computed once and held as a local row."""
-    rows = df.limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"expected one row, got {len(rows)}")
+    rows = df.limit(2).toArrow()
+    if rows.num_rows != 1:
+        raise ValueError(f"expected one row, got {rows.num_rows}")
     return df.sparkSession.createDataFrame(rows, df.schema)
