@@ -95,6 +95,12 @@ def scored_snap(spark: SparkSession, d: str) -> DataFrame:
     return add_predictions(snap(spark, d), F.col("p"))
 
 
+def held(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The snapshot columns an operator of several passes reads, written once, so
+    that the join of customers and orders is not run again for every pass."""
+    return stored(scored_snap(spark, d).select("customer_uuid", *columns), "held")
+
+
 def dirty(spark: SparkSession, d: str) -> DataFrame:
     return keyed(dirty_customers(snap(spark, d)))
 
@@ -189,9 +195,8 @@ def job_latest_state(spark, d):
 
 @query
 def quality_report_file(spark, d):
-    s = snap(spark, d)
     path = scratch_dir(spark, "report")
-    write_json(dr.compare(s, shifted_customers(s), ["Age", "Balance", "CreditScore"]), path)
+    write_json(dr.compare(*_sides(spark, d), ["Age", "Balance", "CreditScore"]), path)
     return spark.read.schema("column string, statistic string, value double").json(path)
 
 
@@ -327,7 +332,7 @@ def notebook_features(spark, d):
 
 @query
 def geo_target_encoding(spark, d):
-    rows = sp.stratified_split(snap(spark, d))
+    rows = sp.stratified_split(held(spark, d, "Exited", "Geography"))
     train = rows.where("split = 'train'")
     return fx.target_encode(train, rows, "Geography", out="GeoChurnRate").select("customer_uuid", "split", "GeoChurnRate")
 
@@ -382,12 +387,13 @@ def scoring_job(spark, d):
 
 @query
 def top_k(spark, d):
-    return tk.top_k(scored_snap(spark, d)).select("customer_uuid", "probability", "risk_level")
+    rows = held(spark, d, "probability", "risk_level")
+    return tk.top_k(rows).select("customer_uuid", "probability", "risk_level")
 
 
 @query
 def risk_rank(spark, d):
-    return tk.top_k(scored_snap(spark, d), pct=0.3).select("customer_uuid", "probability", "risk_rank")
+    return tk.top_k(held(spark, d, "probability"), pct=0.3).select("customer_uuid", "probability", "risk_rank")
 
 
 @query
@@ -400,18 +406,18 @@ def top_five(spark, d):
 
 @query
 def topk_metrics(spark, d):
-    return ev.topk_metrics(scored_snap(spark, d))
+    return ev.topk_metrics(held(spark, d, "Exited", "probability"))
 
 
 @query
 def topk_metrics_fixed_k(spark, d):
-    return ev.topk_metrics(scored_snap(spark, d), k=100)
+    return ev.topk_metrics(held(spark, d, "Exited", "probability"), k=100)
 
 
 @query
 def topk_metrics_tied(spark, d):
     """Scores of one decimal: nearly every row is tied, the key decides."""
-    rows = snap(spark, d).withColumn("probability", F.round("p", 1))
+    rows = held(spark, d, "Exited", "p").withColumn("probability", F.round("p", 1))
     return ev.topk_metrics(rows, pct=0.1, on_zero="nan")
 
 
@@ -437,17 +443,17 @@ def average_precision(spark, d):
 
 @query
 def all_metrics(spark, d):
-    return ev.all_metrics(scored_snap(spark, d))
+    return ev.all_metrics(held(spark, d, "Exited", "probability"))
 
 
 @query
 def joint_objective(spark, d):
-    return ev.joint_objective(ev.all_metrics(scored_snap(spark, d))).select("pr_auc", "top_recall_at_k", "objective")
+    return ev.joint_objective(ev.all_metrics(held(spark, d, "Exited", "probability"))).select("pr_auc", "top_recall_at_k", "objective")
 
 
 @query
 def metrics_by_segment(spark, d):
-    return ev.metrics_by_segment(scored_snap(spark, d), "Geography")
+    return ev.metrics_by_segment(held(spark, d, "Exited", "probability", "Geography"), "Geography")
 
 
 @query
@@ -457,7 +463,7 @@ def model_comparison(spark, d):
         F.struct(F.lit("credit").alias("model"), F.round(1 - F.col("CreditScore") / 1000, 6).alias("score")),
     )
     long = snap(spark, d).select("customer_uuid", F.col("Exited").alias("y"), F.explode(models).alias("m"))
-    return ev.model_comparison(long.select("customer_uuid", "y", "m.*"))
+    return ev.model_comparison(stored(long.select("customer_uuid", "y", "m.*"), "long"))
 
 
 # ---- named analytics and profile ---------------------------------------------
@@ -497,7 +503,7 @@ def churn_rate_by_card(spark, d):
 
 @query
 def numeric_describe(spark, d):
-    return pr.numeric_describe(snap(spark, d), PROFILE_NUMERIC)
+    return pr.numeric_describe(held(spark, d, *PROFILE_NUMERIC), PROFILE_NUMERIC)
 
 
 @query
@@ -507,12 +513,12 @@ def string_describe(spark, d):
 
 @query
 def group_describe(spark, d):
-    return pr.group_describe(snap(spark, d), ["Exited"], "Age")
+    return pr.group_describe(held(spark, d, "Exited", "Age"), ["Exited"], "Age")
 
 
 @query
 def median_by_two_keys(spark, d):
-    return pr.group_median(snap(spark, d), ["Geography", "Exited"], "Age")
+    return pr.group_median(held(spark, d, "Geography", "Exited", "Age"), ["Geography", "Exited"], "Age")
 
 
 @query
@@ -570,17 +576,18 @@ def column_stats(spark, d):
 
 @query
 def column_roles(spark, d):
-    return pr.column_roles(snap(spark, d).select(*[c for c in SNAPSHOT_COLUMNS if c not in ("p", "u", "Lapsed")]))
+    shown = [c for c in SNAPSHOT_COLUMNS if c not in ("p", "u", "Lapsed", "customer_uuid")]
+    return pr.column_roles(held(spark, d, *shown))
 
 
 @query
 def avg_rank(spark, d):
-    return pr.average_rank(snap(spark, d).select("customer_uuid", "Balance"), "Balance")
+    return pr.average_rank(held(spark, d, "Balance"), "Balance")
 
 
 @query
 def five_number(spark, d):
-    return pr.five_number(snap(spark, d), ["Exited"], ["Age", "Balance", "CreditScore"])
+    return pr.five_number(held(spark, d, "Exited", "Age", "Balance", "CreditScore"), ["Exited"], ["Age", "Balance", "CreditScore"])
 
 
 @query
@@ -590,7 +597,7 @@ def histogram(spark, d):
 
 @query
 def salary_quantiles(spark, d):
-    return quantiles(snap(spark, d), ["EstimatedSalary"], [0.01, 0.1, 0.5, 0.9, 0.99])
+    return quantiles(held(spark, d, "EstimatedSalary"), ["EstimatedSalary"], [0.01, 0.1, 0.5, 0.9, 0.99])
 
 
 # ---- quality -----------------------------------------------------------------
@@ -603,7 +610,7 @@ def raw_validation_report(spark, d):
 
 @query
 def training_validation_report(spark, d):
-    rows = dirty(spark, d)
+    rows = stored(dirty(spark, d), "dirty")
     return qu.validation_report(rows.drop(*qu.leakage_columns(rows.columns)), qu.TRAINING_RULES, strict=True)
 
 
@@ -650,7 +657,7 @@ def cleaned(spark, d):
 
 @query
 def clean_report(spark, d):
-    return qu.clean_report(dirty(spark, d))
+    return qu.clean_report(stored(dirty(spark, d), "dirty"))
 
 
 @query
@@ -663,7 +670,7 @@ def correlated_leakage(spark, d):
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ref = snap(spark, d)
+    ref = stored(snap(spark, d).select("customer_uuid", "Exited", "p", "IsActiveMember", "Surname", *DRIFT_NUMERIC, *DRIFT_TEXT), "held")
     return ref, shifted_customers(ref)
 
 
@@ -705,11 +712,7 @@ def performance_drift(spark, d):
 
 
 def _monitored(spark: SparkSession, d: str):
-    ref, cur = _sides(spark, d)
-    cols = ["customer_uuid", "Exited", "p", "Age", "Balance", "Geography"]
-    return monitor(
-        ref.select(*cols), stored(cur.select(*cols), "current"), ["Age", "Balance", "Geography"], p="p"
-    )
+    return monitor(*_sides(spark, d), ["Age", "Balance", "Geography"], p="p")
 
 
 @query
@@ -732,31 +735,31 @@ def monitoring_report(spark, d):
 
 @query
 def stratified_split(spark, d):
-    return sp.stratified_split(snap(spark, d)).select("customer_uuid", "Exited", "split")
+    return sp.stratified_split(held(spark, d, "Exited")).select("customer_uuid", "Exited", "split")
 
 
 @query
 def scaled_features(spark, d):
-    rows = sp.stratified_split(snap(spark, d)).select("customer_uuid", "split", "CreditScore", "Age", "Balance")
     cols = ["CreditScore", "Age", "Balance"]
+    rows = sp.stratified_split(held(spark, d, "Exited", *cols)).select("customer_uuid", "split", *cols)
     return pp.scale(rows, cols, pp.scale_stats(rows.where("split = 'train'"), cols))
 
 
 @query
 def one_hot(spark, d):
-    rows = snap(spark, d).select("customer_uuid", "Geography", "CardType")
+    rows = held(spark, d, "Geography", "CardType")
     return pp.one_hot(rows, pp.fitted_categories(rows, ["Geography", "CardType"]))
 
 
 @query
 def one_hot_drop_first(spark, d):
-    rows = snap(spark, d).select("customer_uuid", "Geography")
+    rows = held(spark, d, "Geography")
     return pp.one_hot(rows, pp.fitted_categories(rows, ["Geography"]), drop_first=True)
 
 
 @query
 def class_weights(spark, d):
-    return sp.class_weights(snap(spark, d).select("customer_uuid", "Exited"))
+    return sp.class_weights(held(spark, d, "Exited"))
 
 
 @query
@@ -765,7 +768,9 @@ def positive_weight(spark, d):
 
 
 def _explained(spark: SparkSession, d: str, n: int) -> DataFrame:
-    rows = scored_snap(spark, d).withColumn("IsSingleProduct", (F.col("NumOfProducts") == 1).cast("int"))
+    rows = held(spark, d, "risk_level", "Age", "Balance", "IsActiveMember", "NumOfProducts").withColumn(
+        "IsSingleProduct", (F.col("NumOfProducts") == 1).cast("int")
+    )
     means = rows.agg(*[F.avg(c).alias(c) for c in RISK_WEIGHTS])
     return ex.linear_contributions(rows, RISK_WEIGHTS, means, n)
 
@@ -791,7 +796,7 @@ SMALL_TREES = {"n_estimators": 10, "max_depth": 4}
 
 
 def _split_rows(spark: SparkSession, d: str) -> DataFrame:
-    return stored(sp.stratified_split(snap(spark, d)), "split")
+    return stored(sp.stratified_split(stored(snap(spark, d), "held")), "split")
 
 
 @query
