@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULTS, KEY, LABEL, SCORE
+from lapsewise.operators.lookup import held_if_small
 from lapsewise.operators.ordered import graded, positions, running
 from lapsewise.operators.topk import resolve_k
 
@@ -94,17 +95,25 @@ def _with_tp(
 ) -> DataFrame:
     """Add ``tp_at_k``: positives above the cut score plus those among the first tied keys.
 
-    Only ties the cut really splits are looked at row by row.
+    The sums are one row per group. Up to a checked number of groups they are
+    computed once and held; most often no cut falls inside a tie, and then that is
+    all. Only ties a cut really splits are looked at row by row.
     """
+    cut_inside = F.col("_need") < F.col("_tied")
+    small = held_if_small(sums)
+    sums = sums if small is None else small
+    if small is not None and not small.where(cut_inside).take(1):
+        return small.withColumn("tp_at_k", F.col("_pos_above") + F.col("_pos_tied"))
+    split = sums.where(cut_inside).select(*by, F.col("_cut").alias("_s"), "_need")
     value = F.col(p) if digits is None else F.round(F.col(p), digits)
-    split = sums.where(F.col("_need") < F.col("_tied")).select(*by, F.col("_cut").alias("_s"), "_need")
-    tied = df.where(F.col(y).isNotNull()).withColumn("_s", value).select(*by, "_s", key, y).join(split, [*by, "_s"])
-    first = positions(tied, "_s", key, by, out="_at", digits=None if digits is None else digits)
+    rows = df.where(F.col(y).isNotNull()).withColumn("_s", value.cast("double")).select(*by, "_s", key, y)
+    tied = rows.join(split if small is None else F.broadcast(split), [*by, "_s"])
+    first = positions(tied, "_s", key, by, out="_at", digits=digits)
     taken = first.where(F.col("_at") <= F.col("_need")).groupBy(*by, "_s").agg(
         F.sum(F.col(y).cast("long")).alias("_pos_taken")
     )
     out = sums.withColumn("_s", F.col("_cut")).join(taken, [*by, "_s"], "left")
-    inside = F.when(F.col("_need") < F.col("_tied"), F.coalesce("_pos_taken", F.lit(0))).otherwise(F.col("_pos_tied"))
+    inside = F.when(cut_inside, F.coalesce("_pos_taken", F.lit(0))).otherwise(F.col("_pos_tied"))
     return out.withColumn("tp_at_k", F.col("_pos_above") + inside)
 
 

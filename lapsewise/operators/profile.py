@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.config import LABEL
-from lapsewise.operators.ordered import points_quantiles, quantiles, running, value_points
+from lapsewise.operators.lookup import held_if_small
+from lapsewise.operators.ordered import quantiles, running, value_points
 from lapsewise.operators.quality import columns_of_type
 
 
@@ -256,11 +257,18 @@ def average_rank(df: DataFrame, column: str, out: str = "rank_share") -> DataFra
     points = value_points(df, [column], {"n": F.lit(1)})
     run = running(points, ["column"], "value", ["n"])
     mean_rank = F.col("cum_n") - (F.col("n") - 1) / 2
-    # At most 1,000 values can each hold a thousandth of the rows: those go to every
-    # task, so that a frequent value is not gathered in one.
-    frequent = F.col("n") * 1000 >= F.col("total_n")
-    ranks = run.select(F.col("value").alias("_v"), (mean_rank / (F.col("total_n") + 1)).alias(out), frequent.alias("_f"))
-    hot, rest = F.broadcast(ranks.where("_f").drop("_f")), ranks.where(~F.col("_f")).drop("_f")
+    ranks = run.select(
+        F.col("value").alias("_v"),
+        (mean_rank / (F.col("total_n") + 1)).alias(out),
+        # At most 1,000 values can each hold a thousandth of the rows.
+        (F.col("n") * 1000 >= F.col("total_n")).alias("_frequent"),
+    )
     rows = df.withColumn("_v", F.col(column).cast("double"))
+    small = held_if_small(ranks)
+    if small is not None:
+        return rows.join(F.broadcast(small), "_v", "left").drop("_v", "_frequent")
+    # Frequent values go to every task, so that none is gathered in one.
+    hot = F.broadcast(ranks.where("_frequent").drop("_frequent"))
+    rest = ranks.where(~F.col("_frequent")).drop("_frequent")
     seldom = rows.join(hot.select("_v"), "_v", "left_anti").join(rest, "_v", "left")
     return rows.join(hot, "_v").unionByName(seldom).drop("_v")

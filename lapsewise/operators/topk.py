@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lapsewise.config import DEFAULTS, KEY, SCORE
 from lapsewise.operators.ordered import graded, positions, running
 
-# A fixed k up to this size is a plain ordered limit; above it, or for a share of
-# the table, the cut score is found first so that no task holds k rows.
-SMALL_K = 10_000
+# A table of this many rows, or a list this short, is simply ordered and cut: every
+# task sends k rows on. Otherwise the cut score is found first.
+SMALL_TABLE = 1 << 20
+SHORT_LIST = 100
 
 
 def check_k(k: int | None, pct: float | None) -> None:
@@ -54,18 +55,27 @@ def top_k(
 ) -> DataFrame:
     """The K highest scores with their rank 1..k, ties by key ascending.
 
-    Rows under the cut score never reach the ranking shuffle.
+    On a large table one aggregate finds the K-th score; rows below it never reach
+    the ranking shuffle, and no task holds K rows.
     """
     check_k(k, pct)
-    if k is not None and k <= SMALL_K:
-        best = df.where(F.col(score).isNotNull())
-        value = F.col(score) if digits is None else F.round(F.col(score), digits)
-        best = best.orderBy(value.desc(), F.col(key).asc()).limit(k)
-        return best.withColumn(rank, F.row_number().over(Window.orderBy(value.desc(), F.col(key).asc())).cast("long"))
-    cut = cut_score(df, score, k, pct, digits)
     value = F.col(score) if digits is None else F.round(F.col(score), digits)
-    above = df.where(value >= cut.select("cut").scalar())
-    return positions(above, score, key, out=rank, digits=digits).where(F.col(rank) <= cut.select("k").scalar())
+    rows = df.where(F.col(score).isNotNull())
+    if k is not None and k <= SHORT_LIST:
+        return _ordered_head(rows, value, key, k, rank)
+    n = rows.count()
+    if n <= SMALL_TABLE:
+        share = DEFAULTS.top_k_percent if pct is None else pct
+        want = max(1, int(n * share)) if k is None else k
+        return _ordered_head(rows, value, key, want, rank)
+    cut = cut_score(df, score, k, pct, digits).first()
+    above = rows.where(value >= F.lit(cut["cut"]))
+    return positions(above, score, key, out=rank, digits=digits).where(F.col(rank) <= cut["k"])
+
+
+def _ordered_head(rows: DataFrame, value: Column, key: str, k: int, rank: str) -> DataFrame:
+    order = [value.desc(), F.col(key).asc()]
+    return rows.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def score_summary(df: DataFrame, p: str = SCORE, level: str = "risk_level") -> DataFrame:

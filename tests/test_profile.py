@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapsewise.operators import profile as pr
+from lapsewise.operators.lookup import held_if_small
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,9 @@ def test_correlations_like_pandas(small):
         assert r["covariance"] == pytest.approx(cov.loc[r["row"], r["column"]])
 
 
-def test_average_rank_with_a_frequent_value(spark):
+@pytest.mark.parametrize("limit", [100_000, 10])
+def test_average_rank_with_a_frequent_value(spark, limit, monkeypatch):
+    monkeypatch.setattr(pr, "held_if_small", lambda df: held_if_small(df, limit))
     values = [5.0] * 400 + [float(i) for i in range(800)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
     got = {r["id"]: r["rank_share"] for r in pr.average_rank(df, "v").collect()}
