@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULTS, KEY, LABEL, SCORE
 from lapsewise.operators.evaluate import all_metrics
-from lapsewise.operators.ordered import points_quantiles, running, value_points
+from lapsewise.operators.ordered import quantiles, running, value_points
 from lapsewise.operators.profile import _text_counts, corr_matrix
 from lapsewise.operators.quality import columns_of_type
 
@@ -60,39 +60,58 @@ def ks(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = _names(ref, columns)
     if not known:
         return names.withColumn("ks", F.lit(None).cast("double"))
-    return names.join(_ks(paired_points(ref, cur, known)), "column", "left")
+    # One row per compared column.
+    return names.join(F.broadcast(_ks(paired_points(ref, cur, known))), "column", "left")
+
+
+def _slot(column: str, edges: Sequence[float]) -> Column:
+    """Number of the bin a value falls in, the last one closed; null outside the edges."""
+    x = f"CAST(`{column}` AS DOUBLE)"
+    inner = " ".join(f"WHEN {x} < {edge!r}D THEN {i}" for i, edge in enumerate(edges[1:-1], 1))
+    last = f"{len(edges) - 1}"
+    case = f"CASE {inner} ELSE {last} END" if inner else last
+    return F.expr(f"CASE WHEN {x} >= {edges[0]!r}D AND {x} <= {edges[-1]!r}D THEN {case} END")
+
 
+def psi(ref: DataFrame, cur: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """``(column, psi)``: population stability index over quantile bins of the reference.
 
-def _psi(points: DataFrame, bins: int) -> DataFrame:
-    """Bins are quantiles of the reference; values outside them count in the totals only."""
-    edges = (
-        points_quantiles(points, [i / bins for i in range(bins + 1)], ["column"], count="n_ref")
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
+    Values outside the reference's range count in the totals only. The edges (at
+    most ``bins + 1`` numbers per column) are found first; binning is then a narrow
+    expression, and only counts per bin are shuffled.
+    """
+    found: dict[str, set[float]] = {c: set() for c in columns}
+    for r in quantiles(ref, columns, [i / bins for i in range(bins + 1)]).collect():
+        found[r["column"]].add(r["quantile"] + 0.0)
+    edges = {c: sorted(e) for c, e in found.items()}
+    usable = [c for c in columns if len(edges[c]) >= 2]
+    names = _names(ref, columns)
+    if not usable:
+        return names.withColumn("psi", F.lit(0.0))
+    cells = [
+        F.struct(F.lit(c).alias("column"), _slot(c, edges[c]).alias("slot"), F.col(f"`{c}`").isNotNull().alias("known"))
+        for c in usable
+    ]
+    counts = (
+        _stacked(ref, cur, columns)
+        .select("_ref", F.explode(F.array(*cells)).alias("cell"))
+        .where("cell.known")
+        .groupBy("cell.column", "cell.slot")
+        .agg(F.sum("_ref").alias("e"), F.sum(1 - F.col("_ref")).alias("a"))
     )
-    # One row per compared column, with at most bins + 1 numbers.
-    joined = points.join(F.broadcast(edges), "column")
-    last = F.size("edges") - 1
-    slot = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    slot = F.when(F.col("value") == F.element_at("edges", -1), last).otherwise(slot)
-    inside = (slot >= 1) & (F.col("value") <= F.element_at("edges", -1))
-    placed = joined.select("column", F.when(inside, slot).alias("slot"), last.alias("slots"), "n_ref", "n_cur")
-    counts = placed.groupBy("column", "slots", "slot").agg(F.sum("n_ref").alias("e"), F.sum("n_cur").alias("a"))
     of_column = Window.partitionBy("column")
+    totals = counts.withColumns({"e_all": F.sum("e").over(of_column), "a_all": F.sum("a").over(of_column)})
     e_share = F.col("e") / (F.col("e_all") + PSI_EPSILON)
     a_share = F.col("a") / (F.col("a_all") + PSI_EPSILON)
     term = (e_share - a_share) * F.ln((e_share + PSI_EPSILON) / (a_share + PSI_EPSILON))
-    totals = counts.withColumns({"e_all": F.sum("e").over(of_column), "a_all": F.sum("a").over(of_column)})
-    total = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), term)), F.lit(0.0))
-    usable = (F.max("slots") >= 1) & (F.max("e_all") > 0) & (F.max("a_all") > 0)
-    return totals.groupBy("column").agg(F.when(usable, total).otherwise(F.lit(0.0)).alias("psi"))
-
-
-def psi(ref: DataFrame, cur: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """``(column, psi)``: population stability index over quantile bins of the reference."""
-    names = _names(ref, columns)
-    found = _psi(paired_points(ref, cur, columns), bins)
-    return names.join(found, "column", "left").select("column", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    both_sides = (F.max("e_all") > 0) & (F.max("a_all") > 0)
+    per_column = totals.groupBy("column").agg(
+        F.when(both_sides, F.sum(F.when(F.col("slot").isNotNull(), term))).alias("psi")
+    )
+    # Both sides of this join have one row per compared column.
+    return names.join(F.broadcast(per_column), "column", "left").select(
+        "column", F.coalesce("psi", F.lit(0.0)).alias("psi")
+    )
 
 
 def corr_diff(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -109,10 +128,9 @@ def corr_diff(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFra
 
 def compare(ref: DataFrame, cur: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """``(column, statistic, value)``: KS and PSI per column, then the correlation difference."""
-    points = paired_points(ref, cur, columns)
-    per_column = _ks(points).select("column", F.lit("ks").alias("statistic"), F.col("ks").alias("value"))
+    per_column = ks(ref, cur, columns).select("column", F.lit("ks").alias("statistic"), F.col("ks").alias("value"))
     per_column = per_column.unionByName(
-        _psi(points, bins).select("column", F.lit("psi").alias("statistic"), F.col("psi").alias("value"))
+        psi(ref, cur, columns, bins).select("column", F.lit("psi").alias("statistic"), F.col("psi").alias("value"))
     )
     overall = corr_diff(ref, cur, columns).select(
         F.lit("*").alias("column"),
@@ -137,7 +155,7 @@ def _wasserstein(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> Data
     row = ref.agg(*[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("spread")) for i, c in enumerate(columns)]
     spread = row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-    return area.join(spread, "column").select(
+    return area.join(F.broadcast(spread), "column").select(
         "column",
         F.lit("wasserstein_normed").alias("method"),
         (F.col("area") / F.greatest(F.col("spread"), F.lit(MIN_SPREAD))).alias("value"),

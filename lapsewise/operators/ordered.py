@@ -21,18 +21,27 @@ VALUES_PER_BLOCK = 1 << 18
 MAX_BLOCKS = 4096
 
 
+def long_columns(
+    df: DataFrame, columns: Sequence[str], values_per_block: int | None = None
+) -> dict[str, int]:
+    """Columns with more distinct values than a block holds, and the blocks they need.
+    One narrow aggregate."""
+    per_block = values_per_block or VALUES_PER_BLOCK
+    sizes = df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    return {c: min(MAX_BLOCKS, sizes[c] // per_block + 1) for c in columns if sizes[c] > per_block}
+
+
 def value_blocks(
-    df: DataFrame, columns: Sequence[str], values_per_block: int = VALUES_PER_BLOCK
+    df: DataFrame, columns: Sequence[str], values_per_block: int | None = None, long: Mapping[str, int] | None = None
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Give every numeric column a block number that never decreases with its value.
 
     Columns with few distinct values get block 0. The others are cut at
     approximate quantiles: the cuts only balance the blocks, results stay exact
-    wherever they fall. Costs one narrow aggregate (two if a column is long).
+    wherever they fall. Costs one narrow aggregate, two if a column is long.
     """
-    sizes = df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(c) for c in columns]).first()
     blocks = {c: F.lit(0) for c in columns}
-    long = {c: min(MAX_BLOCKS, sizes[c] // values_per_block + 1) for c in columns if sizes[c] > values_per_block}
+    long = long_columns(df, columns, values_per_block) if long is None else long
     if not long:
         return df, blocks
     cuts = df.agg(
@@ -58,13 +67,14 @@ def value_points(
     columns: Sequence[str],
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
-    values_per_block: int = VALUES_PER_BLOCK,
+    values_per_block: int | None = None,
+    long: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per distinct non-null value of each column: ``(*by, column, block, value, *sums)``.
 
     The columns are melted side by side, so all of them share one shuffle.
     """
-    df, blocks = value_blocks(df, columns, values_per_block)
+    df, blocks = value_blocks(df, columns, values_per_block, long)
     df = df.withColumns({f"_{name}": c for name, c in sums.items()})
     cells = [
         F.struct(F.lit(c).alias("column"), blocks[c].alias("block"), F.col(c).cast("double").alias("value"))
@@ -133,11 +143,28 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    values_per_block: int = VALUES_PER_BLOCK,
+    values_per_block: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``(*by, column, prob, quantile)``."""
-    points = value_points(df, columns, {"n": F.lit(1)}, by, values_per_block)
-    return points_quantiles(points, probs, [*by, "column"])
+    """Exact quantiles with linear interpolation: ``(*by, column, prob, quantile)``.
+
+    ``percentile`` keeps a group's distinct values in one buffer. That is used where
+    their number was found small; otherwise the values are ranked in blocks.
+    """
+    long = long_columns(df, columns, values_per_block)
+    if long:
+        points = value_points(df, columns, {"n": F.lit(1)}, by, values_per_block, long)
+        return points_quantiles(points, probs, [*by, "column"])
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    row = df.groupBy(*by).agg(
+        *[F.percentile(F.col(c).cast("double"), wanted).alias(f"_q{i}") for i, c in enumerate(columns)]
+    )
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"_q{i}")[j].alias("quantile"))
+        for i, c in enumerate(columns)
+        for j, p in enumerate(probs)
+    ]
+    out = row.select(*by, F.explode(F.array(*cells)).alias("r")).select(*by, "r.*")
+    return out.where(F.col("quantile").isNotNull())
 
 
 def points_quantiles(points: DataFrame, probs: Sequence[float], by: Sequence[str], count: str = "n") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.config import LABEL
 from lapsewise.operators.lookup import held_if_small
-from lapsewise.operators.ordered import quantiles, running, value_points
+from lapsewise.operators.ordered import long_columns, quantiles, running, value_points
 from lapsewise.operators.quality import columns_of_type
 
 
@@ -18,14 +18,18 @@ def _rows(row: DataFrame, cells: list[Column], keep: Sequence[str] = ()) -> Data
     return row.select(*keep, F.explode(F.array(*cells)).alias("r")).select(*keep, "r.*")
 
 
-def column_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, column, count, mean, std, min, max)`` in one pass; nulls are skipped."""
+def column_stats(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), more: dict | None = None
+) -> DataFrame:
+    """``(*by, column, count, mean, std, min, max)`` in one pass; nulls are skipped.
+    ``more`` adds further statistics as functions of a column."""
     parts = {
         "count": F.count,
         "mean": F.avg,
         "std": F.stddev_samp,
         "min": lambda c: F.min(c.cast("double")),
         "max": lambda c: F.max(c.cast("double")),
+        **(more or {}),
     }
     row = df.groupBy(*by).agg(
         *[f(F.col(f"`{c}`")).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in parts.items()]
@@ -42,11 +46,18 @@ def _wide_quantiles(q: DataFrame, by: Sequence[str], names: dict[float, str]) ->
     return q.groupBy(*by).agg(*picks)
 
 
+QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+
+
 def numeric_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: count, mean, std, min, quartiles, max. Quartiles are exact."""
-    q = _wide_quantiles(quantiles(df, columns, [0.25, 0.5, 0.75]), ["column"], {0.25: "q25", 0.5: "q50", 0.75: "q75"})
-    out = column_stats(df, columns).join(q, "column", "left")
-    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    shown = ["column", "count", "mean", "std", "min", *QUARTILES.values(), "max"]
+    if not long_columns(df, columns):
+        # Few distinct values everywhere: the quartiles come out of the same pass.
+        exact = {name: (lambda c, p=p: F.percentile(c.cast("double"), F.lit(p))) for p, name in QUARTILES.items()}
+        return column_stats(df, columns, more=exact).select(*shown)
+    q = _wide_quantiles(quantiles(df, columns, list(QUARTILES)), ["column"], QUARTILES)
+    return column_stats(df, columns).join(F.broadcast(q), "column", "left").select(*shown)
 
 
 def _text_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -131,9 +142,12 @@ def crosstab(df: DataFrame, row: Column, name: str, column: str = LABEL, values:
 
 def group_describe(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Per group: mean, median, count of a column."""
-    q = quantiles(df, [column], [0.5], by).select(*by, F.col("quantile").alias("median"))
-    base = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.count(column).alias("count"))
-    return base.join(q, list(by), "left").select(*by, "mean", "median", "count")
+    mean, count = F.avg(column).alias("mean"), F.count(column).alias("count")
+    if not long_columns(df, [column]):
+        median = F.percentile(F.col(column).cast("double"), F.lit(0.5)).alias("median")
+        return df.groupBy(*by).agg(mean, median, count)
+    medians = group_median(df, by, column)
+    return df.groupBy(*by).agg(mean, count).join(medians, list(by), "left").select(*by, "mean", "median", "count")
 
 
 def group_median(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
@@ -218,35 +232,22 @@ def column_roles(df: DataFrame) -> DataFrame:
     1 alone, otherwise categorical. Statistics are given for numerical columns.
     """
     numeric = [c for c in columns_of_type(df, "numeric") if c.lower() not in ID_NAMES]
-    others = [c for c in df.columns if c not in numeric]
-    # A sketch settles the long columns; only short ones are counted exactly.
-    sizes = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(numeric)]).first()
-    short = [c for i, c in enumerate(numeric) if sizes[i] <= 100 * FEW_VALUES]
-    few = distinct_counts(df, short) if short else None
-    odd = df.agg(
-        *[F.coalesce(F.bool_and(F.col(f"`{c}`").isin(0, 1)), F.lit(True)).alias(f"b{i}") for i, c in enumerate(numeric)]
-    )
-    flags = _rows(
-        odd, [F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("zero_one")) for i, c in enumerate(numeric)]
-    )
-    shown = column_stats(df, numeric).join(flags, "column")
-    shown = shown.join(few, "column", "left") if short else shown.withColumn("distinct", F.lit(None).cast("long"))
-    many = F.when(F.col("column").isin(short), F.coalesce("distinct", F.lit(0)) > FEW_VALUES).otherwise(True)
-    role = F.when(many, "numerical").when(F.col("zero_one"), "binary").otherwise("categorical")
-    shown = shown.withColumn("role", role)
-    is_num = F.col("role") == "numerical"
-    known = shown.select("column", "role", *[F.when(is_num, F.col(c)).alias(c) for c in ("min", "max", "mean", "std")])
-    if not others:
-        return known
-    empty = [F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean", "std")]
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit("id" if c.lower() in ID_NAMES else "categorical").alias("role")
-        )
-        for c in others
-    ]
-    rest = df.sparkSession.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*", *empty)
-    return known.unionByName(rest)
+    # A sketch settles the long columns; only short ones are counted exactly. Both
+    # results have one row per column.
+    zero_one = lambda c: F.coalesce(F.bool_and(c.isin(0, 1)), F.lit(True))
+    seen = column_stats(df, numeric, more={"about": F.approx_count_distinct, "zero_one": zero_one}).collect()
+    short = [r["column"] for r in seen if r["about"] <= 100 * FEW_VALUES]
+    exact = {r["column"]: r["distinct"] for r in distinct_counts(df, short).collect()} if short else {}
+    rows = []
+    for r in seen:
+        few = r["column"] in short and exact.get(r["column"], 0) <= FEW_VALUES
+        role = ("binary" if r["zero_one"] else "categorical") if few else "numerical"
+        rows.append((r["column"], role, *[None if few else r[c] for c in ("min", "max", "mean", "std")]))
+    for c in df.columns:
+        if c not in numeric:
+            rows.append((c, "id" if c.lower() in ID_NAMES else "categorical", None, None, None, None))
+    schema = "column string, role string, min double, max double, mean double, std double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def average_rank(df: DataFrame, column: str, out: str = "rank_share") -> DataFrame:
