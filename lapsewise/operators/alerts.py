@@ -142,6 +142,53 @@ def approval(decision: DataFrame, require_approval: bool = True, auto: bool = DE
     return decision.withColumn("approved", gate)
 
 
+def _report_rows(df: DataFrame, section: str, items: dict[str, Column]) -> DataFrame:
+    """``(section, item, value)`` rows of text from a one-row frame."""
+    cells = [
+        F.struct(F.lit(section).alias("section"), F.lit(n).alias("item"), c.cast("string").alias("value"))
+        for n, c in items.items()
+    ]
+    return df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
+def retraining_report(decision: DataFrame, test_metrics: DataFrame | None = None) -> DataFrame:
+    """Report rows ``(section, item, value)`` of a retraining run: the decision with its
+    approval, its reasons and numbers, and the new model's test metrics or why there are none."""
+    def four(c: str) -> Column:
+        return F.format_string("%.4f", F.col(c))
+
+    out = _report_rows(
+        decision,
+        "decision",
+        {
+            "recommendation": F.when(F.col("should_retrain"), "RETRAIN").otherwise("NO RETRAIN"),
+            "approval": F.when(F.col("approved"), "APPROVED").otherwise("PENDING OR DENIED"),
+        },
+    )
+    none = F.array(F.lit("All metrics within acceptable ranges"))
+    reasons = decision.select(F.posexplode(F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(none)).alias("i", "value"))
+    out = out.unionByName(
+        reasons.select(F.lit("reasons").alias("section"), (F.col("i") + 1).cast("string").alias("item"), "value")
+    )
+    out = out.unionByName(
+        _report_rows(
+            decision,
+            "metrics",
+            {
+                "drift_share": F.format_string("%.1f%%", F.col("drift_share") * 100),
+                "pr_auc_drop": four("performance_drop"),
+                "critical_alerts": F.col("critical_alerts"),
+            },
+        )
+    )
+    if test_metrics is None:
+        status = F.when(F.col("should_retrain"), "Awaiting Approval").otherwise("Skipped")
+        return out.unionByName(_report_rows(decision, "results", {"status": status}))
+    results = {"status": F.lit("COMPLETED"), "pr_auc": four("pr_auc")}
+    results |= {n: four(f"top_{n}") for n in ("precision_at_k", "recall_at_k", "lift_at_k")}
+    return out.unionByName(_report_rows(test_metrics, "results", results))
+
+
 def monitoring_report(
     data: DataFrame, prediction: DataFrame, performance: DataFrame | None, alert_rows: DataFrame, column_rows: DataFrame
 ) -> DataFrame:

@@ -259,7 +259,7 @@ def tree_contributions(
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), width)
+            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, width))
             credit = np.zeros((len(batch), width))
             base = 0.0
             rows = np.arange(len(batch))

@@ -144,20 +144,24 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     values_per_block: int | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(*by, column, prob, quantile)``.
 
     ``percentile`` keeps a group's distinct values in one buffer. That is used where
-    their number was found small; otherwise the values are ranked in blocks.
+    their number was found small; otherwise the values are ranked in blocks. With an
+    ``accuracy`` the quantiles are approximate (rank error 1/accuracy), in one pass.
     """
-    long = long_columns(df, columns, values_per_block)
+    long = {} if accuracy else long_columns(df, columns, values_per_block)
     if long:
         points = value_points(df, columns, {"n": F.lit(1)}, by, values_per_block, long)
         return points_quantiles(points, probs, [*by, "column"])
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    row = df.groupBy(*by).agg(
-        *[F.percentile(F.col(c).cast("double"), wanted).alias(f"_q{i}") for i, c in enumerate(columns)]
-    )
+
+    def measure(c: Column) -> Column:
+        return F.percentile_approx(c, wanted, accuracy) if accuracy else F.percentile(c, wanted)
+
+    row = df.groupBy(*by).agg(*[measure(F.col(c).cast("double")).alias(f"_q{i}") for i, c in enumerate(columns)])
     cells = [
         F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"_q{i}")[j].alias("quantile"))
         for i, c in enumerate(columns)

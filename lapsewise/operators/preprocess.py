@@ -62,12 +62,13 @@ def fitted_categories(train: DataFrame, columns: Sequence[str], limit: int = 100
 
     A column with more than ``limit`` values is refused rather than collected.
     """
-    out = {}
-    for c in columns:
-        rows = train.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
+    long = train.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("value IS NOT NULL")
+    rows = long.distinct().limit(limit * len(columns) + 1).collect()
+    out = {c: sorted(r["value"] for r in rows if r["column"] == c) for c in columns}
+    for c, values in out.items():
+        if len(values) > limit or len(rows) > limit * len(columns):
             raise ValueError(f"column {c!r} has more than {limit} categories")
-        out[c] = sorted(r[0] for r in rows)
     return out
 
 

@@ -168,18 +168,13 @@ def five_number(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Dat
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """``(bin, low, high, n)`` over equal-width bins from min to max, the last one closed."""
-    bounds = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    lo, width = bounds.select("lo").scalar(), bounds.select(((F.col("hi") - F.col("lo")) / bins).alias("w")).scalar()
     value = F.col(column).cast("double")
-    index = F.when(F.col("w") > 0, F.least(F.floor((value - F.col("lo")) / F.col("w")), F.lit(bins - 1))).otherwise(0)
-    tagged = df.where(value.isNotNull()).select(value.alias(column), lo.alias("lo"), width.alias("w"))
-    out = tagged.groupBy(index.alias("bin"), "lo", "w").agg(F.count("*").alias("n"))
-    return out.select(
-        F.col("bin").cast("int").alias("bin"),
-        (F.col("lo") + F.col("bin") * F.col("w")).alias("low"),
-        (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"),
-        "n",
-    )
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
+    width = (hi - lo) / bins
+    index = F.least(F.floor((value - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+    out = df.where(value.isNotNull()).groupBy(index.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return out.select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
 def _pairs(df: DataFrame, columns: Sequence[str], measure, name: str, diagonal: Column | None) -> DataFrame:

@@ -155,6 +155,22 @@ add(
 )
 add("table_write", "SELECT customer_uuid, CAST(2 AS BIGINT) AS copies FROM snap")
 
+add(
+    "ingestion_job",
+    "SELECT CreditScore, Geography, Gender, Age, Tenure, Balance, NumOfProducts, HasCrCard, IsActiveMember,"
+    " EstimatedSalary, Exited, CardType, PointEarned, customer_uuid FROM snap",
+    doubles="Balance EstimatedSalary",
+)
+add(
+    "customer_documents",
+    "SELECT customer_uuid, CAST(to_json({'RowNumber': RowNumber, 'CustomerId': CustomerId, 'Surname': Surname,"
+    " 'CreditScore': CreditScore, 'Geography': Geography, 'Gender': Gender, 'Age': Age, 'Tenure': Tenure,"
+    " 'Balance': Balance, 'NumOfProducts': NumOfProducts, 'HasCrCard': HasCrCard, 'IsActiveMember': IsActiveMember,"
+    " 'EstimatedSalary': EstimatedSalary, 'Exited': Exited, 'Complain': Exited,"
+    " 'Satisfaction Score': CAST(1 + CustomerId % 5 AS INTEGER), 'CardType': CardType, 'PointEarned': PointEarned})"
+    " AS VARCHAR) AS raw_data FROM snap",
+)
+
 # ---- projections and filters
 _NORM = (
     "SELECT * REPLACE (upper(substr(trim(Geography, chr(9) || ' '), 1, 1))"
@@ -856,6 +872,32 @@ add(
     MONITOR,
 )
 
+add(
+    "retraining_report",
+    "SELECT 'decision' AS section, 'recommendation' AS item, CASE WHEN go THEN 'RETRAIN' ELSE 'NO RETRAIN' END AS value FROM choice"
+    " UNION ALL SELECT 'decision', 'approval', 'PENDING OR DENIED' FROM choice"
+    " UNION ALL SELECT 'reasons', CAST(row_number() OVER (ORDER BY position) AS VARCHAR), reason FROM why"
+    " UNION ALL SELECT 'reasons', '1', 'All metrics within acceptable ranges' FROM choice WHERE (SELECT count(*) FROM why) = 0"
+    " UNION ALL SELECT 'metrics', 'drift_share', printf('%.1f%%', share * 100) FROM data"
+    " UNION ALL SELECT 'metrics', 'pr_auc_drop', printf('%.4f', pr_auc_drop) FROM perf2"
+    " UNION ALL SELECT 'metrics', 'critical_alerts', CAST(n AS VARCHAR) FROM crit"
+    " UNION ALL SELECT 'results', 'status', CASE WHEN go THEN 'Awaiting Approval' ELSE 'Skipped' END FROM choice",
+    f"""{MONITOR},
+why AS (
+  SELECT 1 AS position, printf('Significant data drift detected: %.1f%% of features', share * 100) AS reason FROM data
+  WHERE k > 0 AND share >= 0.5::DOUBLE
+  UNION ALL SELECT 2, printf('Performance degradation: PR-AUC dropped by %.3f', pr_auc_drop) FROM perf2
+  WHERE degraded AND pr_auc_drop >= 0.05::DOUBLE
+  UNION ALL SELECT 3, printf('%d critical alerts triggered', n) FROM crit WHERE n > 0),
+choice AS (SELECT (SELECT count(*) FROM why) > 0 AS go)""",
+)
+add(
+    "drift_report_file",
+    'SELECT col AS "column", method, value, value > 0.1::DOUBLE AS drifted FROM drift',
+    _DRIFT,
+    "value",
+)
+
 # ---- split, preprocessing, models
 add("stratified_split", "SELECT customer_uuid, Exited, split FROM split", SPLIT)
 _SCALED = ", ".join(

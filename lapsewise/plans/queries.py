@@ -29,7 +29,7 @@ from lapsewise.operators import topk as tk
 from lapsewise.operators import train as tr
 from lapsewise.operators.ordered import quantiles
 from lapsewise.plans.batch_scoring import rule_scorer, score_customers
-from lapsewise.plans.ingestion import keyed
+from lapsewise.plans.ingestion import ingest, keyed
 from lapsewise.plans.monitoring import monitor
 from lapsewise.plans.snapshot import (
     CUTOFF,
@@ -212,6 +212,15 @@ def table_write(spark, d):
     return spark.read.table(name).groupBy("customer_uuid").agg(F.count("*").alias("copies"))
 
 
+@query
+def ingestion_job(spark, d):
+    """The whole ingestion job from a CSV delivery to the clean table."""
+    source, base = scratch_dir(spark, "delivery") + ".csv", scratch_dir(spark, "ingested")
+    write_csv(raw_customers(snap(spark, d)), source)
+    done = ingest(spark, source, f"{base}/clean", f"{base}/customers", f"{base}/jobs", schema=RAW_CUSTOMER_SCHEMA)
+    return spark.read.parquet(done.clean_path)
+
+
 # ---- projections and filters -------------------------------------------------
 
 
@@ -730,6 +739,18 @@ def monitoring_report(spark, d):
     return _monitored(spark, d).report()
 
 
+@query
+def retraining_report(spark, d):
+    return al.retraining_report(_monitored(spark, d).decision)
+
+
+@query
+def drift_report_file(spark, d):
+    path = scratch_dir(spark, "drift")
+    write_json(dr.column_drift(*_sides(spark, d), [*DRIFT_NUMERIC, *DRIFT_TEXT]), path)
+    return spark.read.schema("column string, method string, value double, drifted boolean").json(path)
+
+
 # ---- split, preprocessing, models --------------------------------------------
 
 

@@ -13,6 +13,7 @@ from lapsewise.operators.alerts import (
     performance_alert,
     prediction_drift_alert,
     retrain_decision,
+    retraining_report,
 )
 from lapsewise.operators.drift import (
     column_drift,
@@ -153,6 +154,12 @@ def test_alerts_decision_and_approval(spark):
     assert [approval(decision, r, a).first()["approved"] for r, a in ((True, False), (True, True), (False, False))] == [
         False, True, True,
     ]
+    told = {(r["section"], r["item"]): r["value"] for r in retraining_report(approval(decision)).collect()}
+    assert told["decision", "recommendation"] == "RETRAIN" and told["results", "status"] == "Awaiting Approval"
+    assert told["metrics", "drift_share"] == "75.0%" and told["reasons", "3"] == "1 critical alerts triggered"
+    fitted = row(spark, pr_auc=0.7, top_precision_at_k=0.6, top_recall_at_k=0.4, top_lift_at_k=3.0)
+    told = {r["item"]: r["value"] for r in retraining_report(approval(decision), fitted).where("section = 'results'").collect()}
+    assert told["status"] == "COMPLETED" and told["lift_at_k"] == "3.0000"
     calm = row(spark, drift_detected=False, drift_share=0.1)
     quiet = retrain_decision(calm, None, alerts(calm))
     assert not quiet.first()["should_retrain"] and not approval(quiet, auto=True).first()["approved"]

@@ -12,6 +12,7 @@ from lapsewise.operators.train import (
     boosted_trees,
     candidates,
     conditional_model,
+    cross_validate,
     evaluate_splits,
     feature_importance,
     fit,
@@ -143,6 +144,14 @@ def test_search(split_rows):
         tune(split_rows, [{"max_depth": -1}])
 
 
+def test_cross_validation(split_rows):
+    train = split_rows.where("split = 'train'")
+    model, table = cross_validate(train, candidates()["logistic_regression"], {"regParam": [0.0, 10.0]}, folds=2)
+    assert [set(r) for r in table] == [{"regParam", "average_precision"}] * 2
+    assert table[0]["average_precision"] >= table[1]["average_precision"]
+    assert predict(model, split_rows).count() == split_rows.count()
+
+
 def test_conditional_model(customers):
     assert predict(conditional_model(customers), customers).count() == customers.count()
 
