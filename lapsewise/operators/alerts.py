@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +63,6 @@ def performance_alert(performance: DataFrame, levels: Levels = DEFAULT_LEVELS) -
     )
 
 
-ALERT_SCHEMA = "position int, alert_type string, severity string, message string, details string"
-
-
 def alerts(
     data: DataFrame | None = None,
     prediction: DataFrame | None = None,
@@ -83,10 +81,7 @@ def alerts(
     ]
     if not parts:
         raise ValueError("give at least one result to grade")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def critical(alert_rows: DataFrame) -> DataFrame:
@@ -194,45 +189,36 @@ def monitoring_report(
 ) -> DataFrame:
     """Report rows ``(section, item, value)`` of a monitoring run."""
 
-    def rows(df: DataFrame, section: str, names: list[str]) -> DataFrame:
-        cells = [
-            F.struct(F.lit(section).alias("section"), F.lit(n).alias("item"), F.col(n).cast("string").alias("value"))
-            for n in names
-        ]
-        return df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-
-    def text(c: str) -> Column:
+    def four(c: str) -> Column:
         return F.format_string("%.4f", F.col(c))
 
-    out = rows(
-        data.withColumn("drift_share", text("drift_share")),
-        "data_drift",
-        ["drift_detected", "drift_share", "n_drifted_columns"],
-    )
-    out = out.unionByName(
+    parts = [
+        _report_rows(
+            data,
+            "data_drift",
+            {
+                "drift_detected": F.col("drift_detected"),
+                "drift_share": four("drift_share"),
+                "n_drifted_columns": F.col("n_drifted_columns"),
+            },
+        ),
         column_rows.where("drifted").select(
-            F.lit("drifted_features").alias("section"), F.col("column").alias("item"), text("value").alias("value")
-        )
-    )
-    out = out.unionByName(
-        rows(
-            prediction.withColumn("mean_shift", text("mean_shift")),
+            F.lit("drifted_features").alias("section"), F.col("column").alias("item"), four("value").alias("value")
+        ),
+        _report_rows(
+            prediction,
             "prediction_drift",
-            ["prediction_drift_detected", "mean_shift"],
-        )
-    )
+            {"prediction_drift_detected": F.col("prediction_drift_detected"), "mean_shift": four("mean_shift")},
+        ),
+    ]
     if performance is not None:
-        out = out.unionByName(
-            rows(
-                performance.withColumn("pr_auc_drop", text("pr_auc_drop")),
+        parts.append(
+            _report_rows(
+                performance,
                 "performance_drift",
-                ["performance_degraded", "pr_auc_drop"],
+                {"performance_degraded": F.col("performance_degraded"), "pr_auc_drop": four("pr_auc_drop")},
             )
         )
-    return out.unionByName(
-        alert_rows.select(
-            F.lit("alerts").alias("section"),
-            F.col("alert_type").alias("item"),
-            F.concat_ws(": ", "severity", "message").alias("value"),
-        )
-    )
+    told = F.concat_ws(": ", "severity", "message").alias("value")
+    parts.append(alert_rows.select(F.lit("alerts").alias("section"), F.col("alert_type").alias("item"), told))
+    return reduce(DataFrame.unionByName, parts)

@@ -119,11 +119,14 @@ def corr_diff(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFra
     if len(columns) < 2:
         return ref.sparkSession.range(1).select(F.lit(0.0).alias("corr_matrix_mean_abs_diff"))
 
-    def cells(df: DataFrame, out: str) -> DataFrame:
-        return corr_matrix(df, columns).withColumn(out, F.coalesce(F.nanvl("correlation", F.lit(0.0)), F.lit(0.0))).drop("correlation")
+    cells = corr_matrix(_stacked(ref, cur, columns), columns, by=["_ref"])
+    known = F.coalesce(F.nanvl("correlation", F.lit(0.0)), F.lit(0.0))
 
-    both = cells(ref, "r").join(cells(cur, "c"), ["row", "column"])
-    return both.agg(F.avg(F.abs(F.col("r") - F.col("c"))).alias("corr_matrix_mean_abs_diff"))
+    def side(flag: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_ref") == flag, known)), F.lit(0.0))
+
+    both = cells.groupBy("row", "column").agg(F.abs(side(1) - side(0)).alias("gap"))
+    return both.agg(F.avg("gap").alias("corr_matrix_mean_abs_diff"))
 
 
 def compare(ref: DataFrame, cur: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,33 +177,27 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return out.select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def _pairs(df: DataFrame, columns: Sequence[str], measure, name: str, diagonal: Column | None) -> DataFrame:
+def _pairs(df: DataFrame, columns: Sequence[str], measure, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Symmetric matrix in long form from one aggregate over the column pairs."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(
-        *[measure(F.col(a), F.col(b)).alias(f"m{i}") for i, (a, b) in enumerate(pairs)],
-        *([] if diagonal is not None else [measure(F.col(c), F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)]),
-        F.count("*").alias("_n"),
-    )
-    cells = []
-    for i, c in enumerate(columns):
-        value = diagonal if diagonal is not None else F.col(f"d{i}")
-        cells.append(F.struct(F.lit(c).alias("row"), F.lit(c).alias("column"), value.alias(name)))
-    for i, (a, b) in enumerate(pairs):
-        for r, c in ((a, b), (b, a)):
-            cells.append(F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.col(f"m{i}").alias(name)))
-    return _rows(row, cells)
+    pairs = list(combinations_with_replacement(columns, 2))
+    row = df.groupBy(*by).agg(*[measure(F.col(a), F.col(b)).alias(f"m{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [
+        F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.col(f"m{i}").alias(name))
+        for i, pair in enumerate(pairs)
+        for r, c in dict.fromkeys((pair, pair[::-1]))
+    ]
+    return _rows(row, cells, by)
 
 
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(row, column, correlation)``; each pair over the rows where both are present."""
-    # A constant column has no correlation, not even with itself.
-    return _pairs(df, columns, F.corr, "correlation", None)
+def corr_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, row, column, correlation)``; each pair over the rows where both are present.
+    A constant column has no correlation, not even with itself."""
+    return _pairs(df, columns, F.corr, "correlation", by)
 
 
-def cov_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(row, column, covariance)``, sample covariance."""
-    return _pairs(df, columns, F.covar_samp, "covariance", None)
+def cov_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, row, column, covariance)``, sample covariance."""
+    return _pairs(df, columns, F.covar_samp, "covariance", by)
 
 
 def target_correlation(df: DataFrame, label: str = LABEL, n: int = 15, columns: Sequence[str] | None = None) -> DataFrame:

@@ -146,6 +146,23 @@ def row_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*broken)))
 
 
+def staged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Coerced rows that carry their ``errors``, for jobs that write them once and
+    read the verdict from that table instead of parsing the source twice."""
+    absent = [(r.column, "present", 1) for r in rules if r.column not in df.columns]
+    if absent:
+        raise ValidationError(absent)
+    return coerce(row_errors(df, rules), rules)
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """Staged rows without their errors, or ``ValidationError`` if any row has one."""
+    counts = rows.select(F.explode("errors").alias("error")).groupBy("error").count().orderBy("error").collect()
+    if counts:
+        raise ValidationError([(*r["error"].split(":"), r["count"]) for r in counts])
+    return rows.drop("errors")
+
+
 def leakage_columns(columns: Sequence[str], settings: Settings = DEFAULTS, keep: str = KEY) -> list[str]:
     """Sorted names that must not reach training: configured columns, identifiers
     and anything that looks like a model's own output."""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lapsewise.config import DEFAULTS, KEY, Settings
 from lapsewise.functions.ids import job_id, run_id, with_customer_uuid
 from lapsewise.functions.text import normalize
-from lapsewise.operators.quality import RAW_RULES, clean, keep_first, validate
+from lapsewise.operators.quality import RAW_RULES, accepted, clean, keep_first, staged
 from lapsewise.sources.readers import load
 from lapsewise.sources.scratch import stored
 from lapsewise.sources.writers import UPSERT_COLUMNS, customer_records, upsert, write_parquet
@@ -55,13 +55,13 @@ def ingest(
     schema: T.StructType | None = None,
     settings: Settings = DEFAULTS,
 ) -> Ingested:
-    """Run the whole job. The customers table is written as a new version, from the
+    """Run the whole job. The source is parsed once; the customers table is written as a new version, from the
     validated rows; the clean table, without identifiers, feeds training."""
     ids = spark.range(1).select(job_id().alias("job"), run_id("ingestion").alias("run")).first()
     job, run = ids["job"], ids["run"]
     job_event(spark, job, run, "running", source).write.mode("append").parquet(jobs_path)
     try:
-        rows = stored(validate(keyed(load(spark, source, schema=schema)), RAW_RULES), "validated")
+        rows = accepted(stored(staged(keyed(load(spark, source, schema=schema)), RAW_RULES), "staged"))
         batch = customer_records(keep_first(rows), run, F.current_timestamp())
         merged = batch if known_customers is None else upsert(known_customers, batch, KEY, UPSERT_COLUMNS)
         write_parquet(merged, customers_path)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from lapsewise.config import NUMERIC_FEATURES, REQUEST_FEATURES
 from lapsewise.functions import features as fx
 from lapsewise.functions.ids import run_id
-from lapsewise.functions.scoring import RISK_WEIGHTS, add_predictions, risk_level, risk_score, stamp
+from lapsewise.functions.scoring import RISK_WEIGHTS, add_predictions, stamp
 from lapsewise.functions.text import display_name, first_present, mask_pii, normalize
 from lapsewise.operators import alerts as al
 from lapsewise.operators import drift as dr

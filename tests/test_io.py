@@ -8,6 +8,7 @@ from lapsewise.plans.batch_scoring import rule_scorer, score_customers
 from lapsewise.plans.ingestion import ingest
 from lapsewise.plans.snapshot import customer_snapshot, dirty_customers, raw_customers
 from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA, load, query_files, read_csv, read_parquet, read_query, table_exists
+from lapsewise.sources.scratch import scratch_dir, settled, stored
 from lapsewise.sources.writers import UPSERT_COLUMNS, execute, latest_state, upsert, write_csv, write_parquet, write_table
 
 from conftest import SF_DIR
@@ -95,6 +96,14 @@ def test_upsert_keeps_first_seen_values(spark):
     assert same(upsert(old, new.limit(0), KEY, UPSERT_COLUMNS), old)
 
 
+def test_intermediate_tables_go_to_the_shared_folder(spark, small):
+    assert scratch_dir(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert same(stored(small, "t"), small)
+    assert settled(small.limit(1)).count() == 1
+    with pytest.raises(ValueError):
+        settled(small)
+
+
 def test_ingestion_flow(spark, tmp_path):
     snap = customer_snapshot(spark, SF_DIR)
     source, paths = str(tmp_path / "in.csv"), {n: str(tmp_path / n) for n in ("clean", "customers", "jobs")}
