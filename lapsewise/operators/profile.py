@@ -22,23 +22,21 @@ def column_stats(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), more: dict | None = None
 ) -> DataFrame:
     """``(*by, column, count, mean, std, min, max)`` in one pass; nulls are skipped.
-    ``more`` adds further statistics as functions of a column."""
+    ``more`` adds further statistics as functions of the value."""
+    value = F.col("value")
     parts = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": lambda c: F.min(c.cast("double")),
-        "max": lambda c: F.max(c.cast("double")),
-        **(more or {}),
+        "count": F.count(value),
+        "mean": F.avg(value),
+        "std": F.stddev_samp(value),
+        "min": F.min(value),
+        "max": F.max(value),
+        **{name: f(value) for name, f in (more or {}).items()},
     }
-    row = df.groupBy(*by).agg(
-        *[f(F.col(f"`{c}`")).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in parts.items()]
-    )
-    cells = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{i}").alias(name) for name in parts])
-        for i, c in enumerate(columns)
-    ]
-    return _rows(row, cells, by)
+    # Columns as rows: a handful of aggregates for any number of columns compiles to
+    # small code, and each task sends on one row per group and column.
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
+    long = df.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*")
+    return long.groupBy(*by, "column").agg(*[f.alias(name) for name, f in parts.items()])
 
 
 def _wide_quantiles(q: DataFrame, by: Sequence[str], names: dict[float, str]) -> DataFrame:
@@ -54,8 +52,9 @@ def numeric_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     shown = ["column", "count", "mean", "std", "min", *QUARTILES.values(), "max"]
     if not long_columns(df, columns):
         # Few distinct values everywhere: the quartiles come out of the same pass.
-        exact = {name: (lambda c, p=p: F.percentile(c.cast("double"), F.lit(p))) for p, name in QUARTILES.items()}
-        return column_stats(df, columns, more=exact).select(*shown)
+        exact = {"q": lambda c: F.percentile(c, F.array(*[F.lit(p) for p in QUARTILES]))}
+        named = {name: F.col("q")[i] for i, name in enumerate(QUARTILES.values())}
+        return column_stats(df, columns, more=exact).withColumns(named).select(*shown)
     q = _wide_quantiles(quantiles(df, columns, list(QUARTILES)), ["column"], QUARTILES)
     return column_stats(df, columns).join(F.broadcast(q), "column", "left").select(*shown)
 
