@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lapsewise.llm import pii, secrets, urls
+from lapsewise.llm import bpe, decontaminate, html_text, language, pii, secrets, urls
 from lapsewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,36 @@ def op1_url_filter(spark, d):
     return judged.withColumnRenamed("id", "page_id")
 
 
+@query
+def op4_language(spark, d):
+    docs = table(spark, d, "documents")
+    apart = language.held_out(F.col("doc_id"))
+    model = language.fit_languages(docs.where(~apart), public_tokenizers.path("piece_bpe_32k.model"), "doc_id")
+    found = language.predict_languages(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"), language.held_out(F.col("id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
+@query
+def op5_decontamination(spark, d):
+    found = decontaminate.find_overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_html_text(spark, d):
+    return html_text.extract_text(table(spark, d, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op7_byte_bpe(spark, d):
+    coded = bpe.encode_corpus(
+        table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return coded.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_secrets(spark, d):
     return secrets.digest(secrets.find_secrets(table(spark, d, "documents")))
