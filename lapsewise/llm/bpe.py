@@ -1,14 +1,16 @@
 """Byte-level BPE over a corpus: each distinct pre-token is encoded once.
 
-Texts are cut into pre-tokens. A block of texts keeps its distinct pre-tokens and, for
-every position, the number of the pre-token there. The distinct pre-tokens of all blocks
-are encoded once, joined back to the blocks, and put in place by position.
+Texts are cut into pre-tokens. A block of texts keeps, for every position, the number of
+the pre-token there, and deals its distinct pre-tokens by their hash into parts. A part of
+all blocks meets in one place, where each distinct pre-token is encoded once; the ids go
+back to their blocks and are put in place by position.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +19,15 @@ import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from lapsewise.llm.common import keyed_text, small_batches
 from lapsewise.sources.scratch import scratch_dir
 
-BLOCK_SCHEMA = "block long, ids array<long>, counts binary, places binary, words array<string>"
+PART_SCHEMA = "block long, part int, ids array<long>, counts binary, data binary"
 OUT_SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+# Text that one block holds, unless a single text is longer.
+BLOCK_BYTES = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,111 +36,153 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def text_blocks(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks of texts with their distinct pre-tokens and the places of them."""
+def pack(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+unpack = zstandard.decompress
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned numbers, low and high halves apart: the high ones are mostly zeros."""
+    return pack((x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    both = np.frombuffer(unpack(data), np.uint16).reshape(2, -1).astype(np.uint32)
+    return both[0] | both[1] << 16
+
+
+def pack_lists(parts: list) -> bytes:
+    """Lists of numbers: all lengths, then all numbers."""
+    sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
+    flat = np.fromiter((x for p in parts for x in p), np.uint32, int(sizes.sum()))
+    return pack_numbers(np.concatenate([np.array([len(parts)], np.uint32), sizes, flat]))
+
+
+def unpack_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    every = unpack_numbers(data)
+    return every[1 : 1 + every[0]], every[1 + every[0] :]
+
+
+def text_blocks(docs: DataFrame, pattern: str, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Blocks of texts: in part -1 the keys, the pre-tokens of each text and the places;
+    in the others the distinct pre-tokens that fall there, in the order of their numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
         block = TaskContext.get().partitionId() << 33
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, BLOCK_BYTES):
             numbers: dict[str, int] = {}
             places, counts = [], []
-            for text in batch.column(1).to_pylist():
-                found = split.findall(text or "")
-                places.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.uint32, len(found)))
+            for body in batch.column(1).to_pylist():
+                found = split.findall(body or "")
+                for w in found:
+                    if w not in numbers:
+                        numbers[w] = len(numbers)
+                places.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 counts.append(len(found))
-            every = np.concatenate(places) if places else np.zeros(0, np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([np.array(counts, np.int64).tobytes()], pa.binary()),
-                    # The two low bytes and the two high ones apart: the latter are mostly zeros.
-                    pa.array([pack((every & 0xFFFF).astype(np.uint16).tobytes() + (every >> 16).astype(np.uint16).tobytes())], pa.binary()),
-                    pa.array([list(numbers)], pa.list_(pa.string())),
-                ],
-                ["block", "ids", "counts", "places", "words"],
-            )
+            dealt: list[list[bytes]] = [[] for _ in range(parts)]
+            for w in numbers:
+                data = w.encode()
+                dealt[zlib.crc32(data) % parts].append(data)
+            # Numbers follow the parts, so that a part needs no numbers of its own.
+            order = {w: i for i, w in enumerate(w for part in dealt for w in part)}
+            renamed = np.fromiter((order[w.encode()] for w in numbers), np.uint32, len(numbers))
+            every = np.concatenate(places)
+            rows = [(block, -1, batch.column(0).to_pylist(), np.array(counts, np.int64).tobytes(), pack_numbers(renamed[every]))]
+            rows += [(block, i, None, None, pack(b"".join(len(w).to_bytes(4, "little") + w for w in part))) for i, part in enumerate(dealt) if part]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            names = ["block", "part", "ids", "counts", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
             block += 1
 
-    return keyed_text(docs, key, text).mapInArrow(cut, BLOCK_SCHEMA)
+    return keyed_text(docs, key, text).mapInArrow(cut, PART_SCHEMA)
 
 
-def unpack_places(data: bytes) -> np.ndarray:
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16).reshape(2, -1).astype(np.uint32)
-    return both[0] | both[1] << 16
+def words_of(data: bytes) -> Iterator[bytes]:
+    data, at = unpack(data), 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "little")
+        yield data[at + 4 : at + 4 + size]
+        at += 4 + size
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word`` and its ``tokens``, in the order of the text."""
+def encode_parts(parts: DataFrame, path: str) -> DataFrame:
+    """The same parts with the token ids of each pre-token instead of the pre-tokens. All
+    blocks of a part are read in one task, which encodes each distinct one once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            tokens = [codec._encode_single_piece(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int32()))], ["word", "tokens"])
-
-    return words.mapInArrow(encode, "word string, tokens array<int>")
-
-
-def token_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """The token-byte table: as many rows as the vocabulary."""
-    ranks = read_ranks(path)
-    rows = pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
-    return spark.createDataFrame(rows)
-
-
-def decode_words(coded: DataFrame, path: str) -> DataFrame:
-    """``word``, ``tokens`` and the byte strings that the token table has for them."""
-    table = F.broadcast(token_bytes(coded.sparkSession, path))
-    each = coded.select("word", F.posexplode("tokens").alias("place", "token")).join(table, "token")
-    parts = F.sort_array(F.collect_list(F.struct("place", "token", "bytes")))
-    both = each.groupBy("word").agg(parts.alias("parts"))
-    return both.select("word", F.col("parts.token").alias("tokens"), F.col("parts.bytes").alias("bytes"))
-
-
-def _digest(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    order = np.argsort(right.column("number").to_numpy())
-    tokens, parts = right.column("tokens").to_pylist(), right.column("bytes").to_pylist()
-    coded = [",".join(map(str, tokens[i])) for i in order]
-    decoded = [b"".join(parts[i]) for i in order]
-    sizes = np.array([len(tokens[i]) for i in order], np.int64)
-    rows: list[tuple] = []
-    for ids, counts, places in zip(*(left.column(c).to_pylist() for c in ("ids", "counts", "places"))):
-        every, at = unpack_places(places), 0
-        for key_, n in zip(ids, np.frombuffer(counts, np.int64).tolist()):
-            here = every[at : at + n]
-            at += n
-            numbers = here.tolist()
-            sha = hashlib.sha256(",".join(map(coded.__getitem__, numbers)).encode()).hexdigest()
-            back = hashlib.sha256()
-            back.update(b"".join(map(decoded.__getitem__, numbers)))
-            rows.append((key_, int(sizes[here].sum()) if n else 0, sha, back.hexdigest()))
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.table({name: pa.array(c, t) for name, c, t in zip(("id", "n_tokens", "ids_sha256", "decoded_sha256"), cols, types)})
+            out = []
+            for data in batch.column(2).to_pylist():
+                tokens = []
+                for word in words_of(data):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = codec._encode_single_piece(word)
+                    tokens.append(ids)
+                out.append(pack_lists(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["of_block", "of_part", "tokens"])
+
+    return parts.mapInArrow(encode, "of_block long, of_part int, tokens binary")
+
+
+def _assembler(path: str):
+    """Puts the ids of one block in place and decodes them by the token-byte table."""
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = {rank: token for token, rank in read_ranks(path).items()}
+        sizes, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for _, data in sorted(zip(right.column("of_part").to_pylist(), right.column("tokens").to_pylist())):
+            part = unpack_lists(data)
+            sizes.append(part[0])
+            flat.append(part[1])
+        size = np.concatenate(sizes).astype(np.int64)
+        tokens = np.concatenate(flat).tolist()
+        ends = np.cumsum(size).tolist()
+        starts = [0, *ends[:-1]]
+        coded = [",".join(map(str, tokens[a:b])) for a, b in zip(starts, ends)]
+        decoded = [b"".join(map(table.__getitem__, tokens[a:b])) for a, b in zip(starts, ends)]
+        rows: list[tuple] = []
+        for ids, counts, data in zip(*(left.column(c).to_pylist() for c in ("ids", "counts", "data"))):
+            every, at = unpack_numbers(data), 0
+            for key, n in zip(ids, np.frombuffer(counts, np.int64).tolist()):
+                here = every[at : at + n]
+                at += n
+                numbers = here.tolist()
+                sha = hashlib.sha256(",".join(map(coded.__getitem__, numbers)).encode()).hexdigest()
+                back = hashlib.sha256(b"".join(map(decoded.__getitem__, numbers))).hexdigest()
+                rows.append((key, int(size[here].sum()), sha, back))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(names, list(zip(*rows)) or [()] * 4, types)})
+
+    return assemble
 
 
 def encode_corpus(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", assemble=_digest, schema: str = OUT_SCHEMA
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", assemble=None, schema: str = OUT_SCHEMA
 ) -> DataFrame:
-    """One row per input row, made by ``assemble`` from its blocks and their words.
+    """One row per input row, made by ``assemble`` from a block and the ids of its words.
 
     By default ``id``, the number of tokens, and SHA-256 of the ids (decimal, by commas)
-    and of the decoded bytes. A null or empty text has no tokens. Null keys and repeated
-    rows are kept; other columns are ignored. A block holds a few megabytes of text, or
-    one longer text; a frequent pre-token counts once a block.
+    and of the bytes decoded from them. A null or empty text has no tokens. Null keys and
+    repeated rows are kept; other columns are ignored. A block holds some megabytes of
+    text, or one longer text; a frequent pre-token counts once a block. There are as many
+    parts as shuffle partitions.
     """
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = scratch_dir(spark, "bpe-blocks")
-    text_blocks(docs, pattern, key, text).write.option("compression", "zstd").parquet(place)
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(place)
-    here = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    words = decode_words(encode_words(blocks.select(F.explode("words").alias("word")).distinct(), path), path)
-    placed = here.join(words, "word").select(F.col("block").alias("of_block"), "number", "tokens", "bytes")
+    text_blocks(docs, pattern, parts, key, text).write.option("compression", "uncompressed").parquet(place)
+    blocks = spark.read.schema(PART_SCHEMA).parquet(place)
+    words = blocks.where("part >= 0").select("block", "part", "data").repartition(parts, "part")
+    texts = blocks.where("part = -1").select("block", "ids", "counts", "data")
     return (
-        blocks.select("block", "ids", "counts", "places")
-        .groupBy("block")
-        .cogroup(placed.groupBy("of_block"))
-        .applyInArrow(assemble, schema)
+        texts.groupBy("block")
+        .cogroup(encode_parts(words, path).groupBy("of_block"))
+        .applyInArrow(assemble or _assembler(path), schema)
     )

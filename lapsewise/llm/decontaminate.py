@@ -17,7 +17,7 @@ SENT_WORDS = 200_000
 
 def tokens_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def seed(tokens: Column, at: Column, mask: str) -> Column:
@@ -30,7 +30,8 @@ def seed(tokens: Column, at: Column, mask: str) -> Column:
 def seeds(df: DataFrame, at: str, masks: list[str]) -> DataFrame:
     """Rows (..., position, seed) for every position where a mask fits."""
     least = min(map(len, masks))
-    placed = df.where(F.col("n") >= least).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias(at))
+    fits = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.col("n") - least))
+    placed = df.select("*", F.explode(fits).alias(at))
     hashed = placed.select("*", F.explode(F.array(*[seed(F.col("words"), F.col(at), m) for m in masks])).alias("seed"))
     return hashed.where("seed is not null")
 
@@ -67,16 +68,20 @@ def find_overlaps(
     texts = keyed_text(docs, key, text).where("id is not null and text is not null")
     texts = texts.select("id", tokens_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     hits = seeds(texts, "at", masks).join(wanted, "seed")
-    # Lay the item along the document so that the hit falls on itself; places outside of
-    # the document do not agree.
-    first = F.col("at") - F.col("item_at")
+    # Lay the item along the document so that the hit falls on itself. An alignment that
+    # several seeds find is kept once, with the words of the document that it covers; the
+    # words are cut out in the same step as the join, so that no whole text is copied.
+    start = F.col("at") - F.col("item_at")
+    covered = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item_words"))
+    aligned = hits.select("id", "item_id", start.alias("start"), covered.alias("doc_words"), "item_words").distinct()
+    # Places outside of the document do not agree.
+    skipped = F.least(F.col("start"), F.lit(0))
     equal = F.transform(
-        "item_words", lambda w, i: F.when(first + i < 0, 0).otherwise(F.coalesce((F.get(F.col("words"), F.greatest(first + i, F.lit(0))) == w).cast("int"), F.lit(0)))
-    )
-    size = F.least(F.lit(window), F.size("item_words"))
-    best = best_window(F.col("equal"), F.col("size"))
-    aligned = hits.select("id", "item_id", first.alias("start"), equal.alias("equal"), size.alias("size"))
-    confirmed = aligned.select("id", "item_id", "start", "size", best.alias("agreeing"))
+        "item_words",
+        lambda w, i: F.when(i + skipped < 0, 0).otherwise(F.coalesce((F.get(F.col("doc_words"), F.greatest(i + skipped, F.lit(0))) == w).cast("int"), F.lit(0))),
+    )
+    compared = aligned.select("id", "item_id", "start", equal.alias("equal"), F.least(F.lit(window), F.size("item_words")).alias("size"))
+    confirmed = compared.withColumn("agreeing", best_window(F.col("equal"), F.col("size")))
     confirmed = confirmed.where(F.col("agreeing") * window >= F.col("size") * agree)
     top = F.max(F.struct("agreeing", (-F.col("start")).alias("back")))
     return confirmed.groupBy("id", "item_id").agg(top.alias("top")).select(
