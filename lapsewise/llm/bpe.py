@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from lapsewise.llm.common import keyed_text, small_batches
 from lapsewise.sources.scratch import scratch_dir
 
-PART_SCHEMA = "block long, part int, ids array<long>, counts binary, data binary"
+PART_SCHEMA = "block long, part int, ids array<long>, counts binary, data binary, parts binary"
 OUT_SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,13 +44,35 @@ unpack = zstandard.decompress
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Unsigned numbers, low and high halves apart: the high ones are mostly zeros."""
-    return pack((x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes())
+    """Unsigned numbers below 2**23, in one to three bytes each: the first bytes of all,
+    then the further bytes of those that need them."""
+    middle, large = (x >= 192) & (x < 14528), x >= 14528
+    first = np.where(large, 248 + ((x - 14528) >> 16), np.where(middle, 192 + ((x - 192) >> 8), x)).astype(np.uint8)
+    second = np.where(large, (x - 14528) >> 8, x - 192)[middle | large].astype(np.uint8)
+    third = (x[large] - 14528).astype(np.uint8)
+    if large.any() and int(x.max()) - 14528 >= 8 << 16:
+        return b"w" + pack(x.astype(np.uint32).tobytes())
+    parts = [pack(a.tobytes()) for a in (first, second, third)]
+    return b"n" + b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    both = np.frombuffer(unpack(data), np.uint16).reshape(2, -1).astype(np.uint32)
-    return both[0] | both[1] << 16
+    if data[:1] == b"w":
+        return np.frombuffer(unpack(data[1:]), np.uint32)
+    parts, at = [], 1
+    for _ in range(3):
+        size = int.from_bytes(data[at : at + 4], "little")
+        parts.append(np.frombuffer(unpack(data[at + 4 : at + 4 + size]), np.uint8).astype(np.uint32))
+        at += 4 + size
+    out, more, last = parts[0].copy(), parts[1], parts[2]
+    longer = parts[0] >= 192
+    large = parts[0] >= 248
+    high = parts[0][longer]
+    both = np.where(high >= 248, 0, 192 + ((high - 192) << 8) + more)
+    both[high >= 248] = 14528 + ((high[high >= 248] - 248) << 16) + (more[high >= 248] << 8) + last
+    out[longer] = both
+    assert last.size == int(large.sum())
+    return out
 
 
 def pack_lists(parts: list) -> bytes:
@@ -82,30 +104,40 @@ def text_blocks(docs: DataFrame, pattern: str, parts: int, key: str = "doc_id",
                         numbers[w] = len(numbers)
                 places.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 counts.append(len(found))
-            dealt: list[list[bytes]] = [[] for _ in range(parts)]
-            for w in numbers:
-                data = w.encode()
-                dealt[zlib.crc32(data) % parts].append(data)
-            # Numbers follow the parts, so that a part needs no numbers of its own.
-            order = {w: i for i, w in enumerate(w for part in dealt for w in part)}
-            renamed = np.fromiter((order[w.encode()] for w in numbers), np.uint32, len(numbers))
+            # Frequent pre-tokens get small numbers; a part keeps that order.
             every = np.concatenate(places)
-            rows = [(block, -1, batch.column(0).to_pylist(), np.array(counts, np.int64).tobytes(), pack_numbers(renamed[every]))]
-            rows += [(block, i, None, None, pack(b"".join(len(w).to_bytes(4, "little") + w for w in part))) for i, part in enumerate(dealt) if part]
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            names = ["block", "part", "ids", "counts", "data"]
+            order = np.argsort(-np.bincount(every, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(numbers), np.uint32)
+            rank[order] = np.arange(len(numbers), dtype=np.uint32)
+            words = list(numbers)
+            dealt: list[list[bytes]] = [[] for _ in range(parts)]
+            of = np.empty(len(numbers), np.uint32)
+            for i, at in enumerate(order.tolist()):
+                data = words[at].encode()
+                of[i] = zlib.crc32(data) % parts
+                dealt[of[i]].append(data)
+            rows = [(block, -1, batch.column(0).to_pylist(), np.array(counts, np.int64).tobytes(), pack_numbers(rank[every]), pack_numbers(of))]
+            rows += [(block, i, None, None, pack_words(part), None) for i, part in enumerate(dealt) if part]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            names = ["block", "part", "ids", "counts", "data", "parts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
             block += 1
 
     return keyed_text(docs, key, text).mapInArrow(cut, PART_SCHEMA)
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), np.uint32, len(words)).tobytes()
+    return pack(len(words).to_bytes(4, "little") + sizes + b"".join(words))
+
+
 def words_of(data: bytes) -> Iterator[bytes]:
-    data, at = unpack(data), 0
-    while at < len(data):
-        size = int.from_bytes(data[at : at + 4], "little")
-        yield data[at + 4 : at + 4 + size]
-        at += 4 + size
+    data = unpack(data)
+    n = int.from_bytes(data[:4], "little")
+    at = 4 + 4 * n
+    for size in np.frombuffer(data, np.uint32, n, 4).tolist():
+        yield data[at : at + size]
+        at += size
 
 
 def encode_parts(parts: DataFrame, path: str) -> DataFrame:
@@ -135,15 +167,20 @@ def _assembler(path: str):
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         table = {rank: token for token, rank in read_ranks(path).items()}
-        sizes, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for _, data in sorted(zip(right.column("of_part").to_pylist(), right.column("tokens").to_pylist())):
-            part = unpack_lists(data)
-            sizes.append(part[0])
-            flat.append(part[1])
-        size = np.concatenate(sizes).astype(np.int64)
-        tokens = np.concatenate(flat).tolist()
-        ends = np.cumsum(size).tolist()
-        starts = [0, *ends[:-1]]
+        answers = {i: unpack_lists(data) for i, data in zip(right.column("of_part").to_pylist(), right.column("tokens").to_pylist())}
+        of = unpack_numbers(left.column("parts")[0].as_py())
+        # Word i of the block is the next one of its part.
+        size = np.zeros(len(of), np.int64)
+        starts, flat, base = np.zeros(len(of), np.int64), [], 0
+        for i, (sizes, ids) in answers.items():
+            mine = of == i
+            size[mine] = sizes
+            starts[mine] = base + np.cumsum(sizes, dtype=np.int64) - sizes
+            flat.append(ids)
+            base += len(ids)
+        tokens = np.concatenate(flat).tolist() if flat else []
+        ends = (starts + size).tolist()
+        starts = starts.tolist()
         coded = [",".join(map(str, tokens[a:b])) for a, b in zip(starts, ends)]
         decoded = [b"".join(map(table.__getitem__, tokens[a:b])) for a, b in zip(starts, ends)]
         rows: list[tuple] = []
@@ -180,7 +217,7 @@ def encode_corpus(
     text_blocks(docs, pattern, parts, key, text).write.option("compression", "uncompressed").parquet(place)
     blocks = spark.read.schema(PART_SCHEMA).parquet(place)
     words = blocks.where("part >= 0").select("block", "part", "data").repartition(parts, "part")
-    texts = blocks.where("part = -1").select("block", "ids", "counts", "data")
+    texts = blocks.where("part = -1").select("block", "ids", "counts", "data", "parts")
     return (
         texts.groupBy("block")
         .cogroup(encode_parts(words, path).groupBy("of_block"))

@@ -7,32 +7,38 @@ from pyspark.sql import functions as F
 
 from lapsewise.llm.common import column, keyed_text
 
-# Seeds over consecutive words; 1 must agree, 0 may differ.
-MASKS = ["11101101", "1101100111", "10110100111"]
+# Seeds over consecutive words; 1 must agree, 0 may differ. All begin with
+# two words that must agree, which are looked up before the rest of a seed is made.
+MASKS = ["11101101", "1101100111", "11010011011"]
 # An aligned stretch of WINDOW words with at least AGREE equal ones is an overlap.
 WINDOW, AGREE = 16, 13
 # Words of benchmark text up to which its hashes are sent to every task.
 SENT_WORDS = 200_000
+# Positions of a document that one row of the search covers.
+STRETCH = 256
 
 
-def tokens_of(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+def words_of(text: Column) -> Column:
+    """Hashes of the lower-case runs of letters and digits."""
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed(tokens: Column, at: Column, mask: str) -> Column:
+def lead(words: Column, at: Column) -> Column:
+    """The two words from a position on, as one number."""
+    return F.shiftleft(F.get(words, at), 1).bitwiseXOR(F.get(words, at + 1))
+
+
+def seed(words: Column, at: Column, mask: str) -> Column:
     """Hash of the words that a mask picks, from a position counted from 0; null where the
     mask reaches beyond the last word."""
-    picked = F.xxhash64(F.lit(mask), *[F.get(tokens, at + i) for i, bit in enumerate(mask) if bit == "1"])
-    return F.when(at + len(mask) <= F.col("n"), picked)
+    picked = F.xxhash64(F.lit(mask), *[F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"])
+    return F.when(at + len(mask) <= F.size(words), picked)
 
 
 def seeds(df: DataFrame, at: str, masks: list[str]) -> DataFrame:
-    """Rows (..., position, seed) for every position where a mask fits."""
-    least = min(map(len, masks))
-    fits = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.col("n") - least))
-    placed = df.select("*", F.explode(fits).alias(at))
-    hashed = placed.select("*", F.explode(F.array(*[seed(F.col("words"), F.col(at), m) for m in masks])).alias("seed"))
+    """Rows (..., seed) for every mask that fits at the position of a row."""
+    hashed = df.select("*", F.explode(F.array(*[seed(F.col("words"), F.col(at), m) for m in masks])).alias("seed"))
     return hashed.where("seed is not null")
 
 
@@ -56,24 +62,37 @@ def find_overlaps(
     Null or empty texts and items have no words and no overlaps; rows with a null key are
     left out; repeated rows give one pair. Only DataFrame expressions are used. The
     hashes of the benchmark are broadcast while it has at most ``sent_words`` words, and
-    joined as they are beyond.
+    joined as they are beyond. A document is searched in stretches, each with as many
+    words around it as the longest item has, so that rows stay short.
     """
+    if any(not m.startswith("11") or set(m) - {"0", "1"} for m in masks):
+        raise ValueError("masks hold 0 and 1 and begin with 11")
     items = benchmark.select(column(item).cast("long").alias("item_id"), column(item_text).cast("string").alias("text"))
-    items = items.where("item_id is not null and text is not null").select("item_id", tokens_of(F.col("text")).alias("words"))
-    items = items.withColumn("n", F.size("words"))
-    n_words = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    wanted = seeds(items, "item_at", masks).select("seed", "item_id", "item_at", F.col("words").alias("item_words"))
-    if n_words <= sent_words:
-        wanted = F.broadcast(wanted)
-    texts = keyed_text(docs, key, text).where("id is not null and text is not null")
-    texts = texts.select("id", tokens_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    items = items.where("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("words"))
+    total, longest = items.agg(F.sum(F.size("words")), F.max(F.size("words"))).first()
+    total, reach = total or 0, max(longest or 0, max(map(len, masks)))
+    places = items.select("*", F.explode(F.when(F.size("words") > 1, F.sequence(F.lit(0), F.size("words") - 2))).alias("item_at"))
+    leads = places.select(lead(F.col("words"), F.col("item_at")).alias("lead")).distinct()
+    wanted = seeds(places, "item_at", masks).select("seed", "item_id", "item_at", F.col("words").alias("item_words"))
+    if total <= sent_words:
+        leads, wanted = F.broadcast(leads), F.broadcast(wanted)
+    texts = keyed_text(docs, key, text).where("id is not null and text is not null").select("id", words_of(F.col("text")).alias("all"))
+    # From ``base`` on, the words of a stretch and ``reach`` more on either side.
+    texts = texts.select("id", "all", F.explode(F.sequence(F.lit(0), F.size("all"), F.lit(STRETCH))).alias("from"))
+    base = F.greatest(F.col("from") - reach, F.lit(0))
+    texts = texts.select("id", base.alias("base"), (F.col("from") - base).alias("skip"), F.slice("all", base + 1, STRETCH + 2 * reach).alias("words"))
+    last = F.least(F.col("skip") + STRETCH, F.size("words")) - 1
+    texts = texts.select("id", "base", "words", F.explode(F.when(last >= F.col("skip"), F.sequence("skip", last))).alias("at"))
+    texts = texts.withColumn("lead", lead(F.col("words"), F.col("at"))).join(leads, "lead", "left_semi").drop("lead")
     hits = seeds(texts, "at", masks).join(wanted, "seed")
     # Lay the item along the document so that the hit falls on itself. An alignment that
-    # several seeds find is kept once, with the words of the document that it covers; the
-    # words are cut out in the same step as the join, so that no whole text is copied.
+    # several seeds find is kept once, with the words of the document that it covers.
     start = F.col("at") - F.col("item_at")
-    covered = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item_words"))
-    aligned = hits.select("id", "item_id", start.alias("start"), covered.alias("doc_words"), "item_words").distinct()
+    covered = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item_words") + F.least(start, F.lit(0)))
+    aligned = hits.select("id", "item_id", (F.col("base") + start).alias("start"), covered.alias("doc_words"), "item_words")
+    aligned = aligned.groupBy("id", "item_id", "start", F.xxhash64("doc_words").alias("version"))
+    # An aggregate rather than a distinct: a filter is not moved from above it into the join.
+    aligned = aligned.agg(F.max("doc_words").alias("doc_words"), F.max("item_words").alias("item_words"))
     # Places outside of the document do not agree.
     skipped = F.least(F.col("start"), F.lit(0))
     equal = F.transform(
