@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, secrets, urls
+from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, repeats, secrets, urls
 from lapsewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_url_filter(spark, d):
     return judged.withColumnRenamed("id", "page_id")
 
 
+@query
+def op2_suffix_repeats(spark, d):
+    return repeats.remove_repeats(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_ngram_jaccard(spark, d):
     return jaccard.near_duplicates(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
