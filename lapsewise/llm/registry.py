@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, repeats, secrets, urls
+from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, repeats, secrets, urls, vectors
 from lapsewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,12 @@ def op7_byte_bpe(spark, d):
     return coded.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_epsilon_grid(spark, d):
+    found = vectors.near_vectors(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @query
 def op9_secrets(spark, d):
     return secrets.digest(secrets.find_secrets(table(spark, d, "documents")))

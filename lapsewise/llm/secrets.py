@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.common import count_of, keyed_text, small_batches, spans_digest
+from lapsewise.llm.common import column, count_of, keyed_text, small_batches, spans_digest
 
 # Kinds with a fixed form, in the order they are listed in.
 KINDS = ["assign", "access", "hex"]
@@ -130,6 +130,36 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return df.withColumn("text", F.when(F.col("text").rlike(NEEDED), F.col("text"))).mapInArrow(_scan, SCHEMA)
 
 
+def without_spans(text: str, spans: list[tuple[str, int, int, float]], mark: str) -> str:
+    """A text with each run of overlapping spans replaced by one mark."""
+    parts, at = [], 0
+    for _, start, end, _ in sorted(spans, key=lambda s: s[1]):
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def masked(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
+    """The same rows and columns with ``mark`` in place of every secret of the text.
+
+    Null texts stay null. Only texts that may hold a secret are sent to Python.
+    """
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in small_batches([batch]):
+                bodies = part.column(at).to_pylist()
+                flags = part.column(part.num_columns - 1).to_pylist()
+                clean = [without_spans(t, spans_of(t), mark) if f else t for t, f in zip(bodies, flags)]
+                columns = [pa.array(clean, pa.string()) if i == at else part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    flagged = docs.withColumn("_may_hold_a_secret", F.coalesce(column(text).rlike(NEEDED), F.lit(False)))
+    return flagged.mapInArrow(mask, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     counts = [count_of(kind) for kind in KINDS]
