@@ -24,7 +24,7 @@ from lapsewise.llm.hashing import Substrings, U, mix
 WORDS = 5
 LEAST = (75, 100)
 # Text hashed at once, and text whose n-grams go out together.
-STEP_BYTES, FLUSH_BYTES = 4 << 20, 16 << 20
+STEP_BYTES, FLUSH_BYTES = 2 << 20, 12 << 20
 # Documents that one trie holds; a larger cluster is joined block by block.
 BLOCK = 1000
 BITS = 40  # of a hash, besides those that choose its part
