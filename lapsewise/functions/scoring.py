@@ -17,7 +17,9 @@ RISK_WEIGHTS = {
 
 
 def clip(column: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), column))
+    """Bounded value; null and NaN give null, never a bound."""
+    known = column.isNotNull() & ~F.isnan(column.cast("double"))
+    return F.when(known, F.greatest(F.lit(low), F.least(F.lit(high), column)))
 
 
 def risk_logit() -> Column:
@@ -36,7 +38,8 @@ def risk_score(digits: int = 6) -> Column:
 def risk_level(p: Column | str = SCORE, settings: Settings = DEFAULTS) -> Column:
     c = F.col(p) if isinstance(p, str) else p
     return (
-        F.when(c >= settings.high_risk_threshold, "high")
+        F.when(c.isNull() | F.isnan(c.cast("double")), F.lit(None).cast("string"))
+        .when(c >= settings.high_risk_threshold, "high")
         .when(c >= settings.medium_risk_threshold, "medium")
         .otherwise("low")
     )

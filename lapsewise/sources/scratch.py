@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The session names it in ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) is a temporary folder used.
+    The session names it in ``spark.checkpoint.dir``; only where that is unset on a local
+    master (tests on one machine) is a temporary folder used. On a cluster each executor
+    would write to its own disk, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -136,3 +136,14 @@ def test_settings_ranges(bad):
 def test_settings_defaults():
     s = Settings()
     assert (s.seed, s.test_size, s.val_size, s.top_k_percent) == (529, 0.2, 0.2, 0.15)
+
+
+def test_missing_scores_stay_missing(spark):
+    from pyspark.sql import functions as F
+
+    from lapsewise.functions.scoring import add_predictions
+
+    df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.5), (4, -1.0)], "k int, s double")
+    rows = {r.k: r for r in add_predictions(df, F.col("s")).collect()}
+    assert [(rows[k].probability, rows[k].prediction, rows[k].risk_level) for k in (1, 2)] == [(None, None, None)] * 2
+    assert (rows[3].probability, rows[3].prediction, rows[4].probability) == (1.0, 1, 0.0)
