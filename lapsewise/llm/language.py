@@ -23,8 +23,14 @@ ROUNDS = 2
 UNKNOWN, PSEUDO = 1e-8, 0.05
 # Scores of words that a task remembers before it starts anew.
 REMEMBERED = 200_000
+# Bytes of text that a step inside a task reads at once.
+STEP_BYTES = 2 << 20
 # Longest piece looked up, in characters.
 LONGEST = 16
+# Words whose segmentations are summed together, and their most letters; a longer word is
+# summed alone, and teaches only if it is no longer than LONG.
+STEP_WORDS, SHORT, LONG = 5_000, 30, 200
+CODE_BITS = 21  # of a character
 
 
 def word_pieces(path: str) -> list[str]:
@@ -39,73 +45,134 @@ def word_pieces(path: str) -> list[str]:
     return list(pieces)
 
 
+class Pieces:
+    """The pieces as a trie that many positions of many words walk at once."""
+
+    def __init__(self, pieces: list[str]):
+        steps: dict[int, int] = {}
+        last = np.zeros(len(pieces), np.int64)
+        for i, piece in enumerate(pieces):
+            at = 0
+            for c in piece:
+                at = steps.setdefault(at << CODE_BITS | ord(c), len(steps) + 1)
+            last[i] = at
+        # The key after all others is never asked for.
+        self.keys = np.array(sorted(steps) + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([steps.get(k, 0) for k in self.keys.tolist()], np.int64)
+        self.piece = np.full(len(steps) + 1, -1)
+        self.piece[last] = np.arange(len(pieces))
+
+    def lattice(self, words: list[str]) -> Lattice:
+        """All segmentations of the words: each edge is a piece between two places, or -1
+        for a character that is no piece. A word ends on a place of its own."""
+        codes = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        offset = np.arange(len(codes)) - np.repeat(ends - sizes, sizes + 1)
+        at = np.setdiff1d(np.arange(len(codes)), ends, assume_unique=True)
+        state, found = np.zeros(len(at), np.int64), []
+        for length in range(1, LONGEST + 1):
+            key = state << CODE_BITS | codes[at + length - 1]
+            step = np.searchsorted(self.keys, key)
+            known = self.keys[step] == key
+            piece = np.where(known, self.piece[self.to[step]], -1)
+            edge = piece >= 0 if length > 1 else np.ones(len(at), bool)
+            found.append((at[edge], at[edge] + length, piece[edge]))
+            at, state = at[known], self.to[step[known]]
+        start, end, piece = map(np.concatenate, zip(*found))
+        return Lattice(start, end, piece, offset, ends - sizes, ends)
+
+
+@dataclass
+class Lattice:
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    offset: np.ndarray  # of each place in its word
+    firsts: np.ndarray
+    lasts: np.ndarray
+
+    def sums(self, chance: np.ndarray, back: bool = False) -> np.ndarray:
+        """At each place the sum over all ways there from the begin of its word, or with
+        ``back`` from its end; ``chance`` has a row for each edge."""
+        source, target = (self.end, self.start) if back else (self.start, self.end)
+        out = np.zeros((len(self.offset), chance.shape[1]))
+        out[self.lasts if back else self.firsts] = 1.0
+        order = np.lexsort((target, self.offset[target]))
+        source, target, chance = source[order], target[order], chance[order]
+        runs = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+        # Places equally far into their words are summed together.
+        level = self.offset[target[runs]]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]])), len(runs))
+        steps = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        for a, b in reversed(steps) if back else steps:
+            lo, hi = runs[a], runs[b] if b < len(runs) else len(target)
+            out[target[runs[a:b]]] = np.add.reduceat(out[source[lo:hi]] * chance[lo:hi], runs[a:b] - lo, axis=0)
+        return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     index: dict[str, int]
     chances: np.ndarray  # piece x language
+    pieces: Pieces | None = None
 
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position, the (start, piece) pairs that end there; -1 for a
-        character that no piece covers."""
-        out: list[list[tuple[int, int]]] = [[]]
-        for end in range(1, len(word) + 1):
-            found = [(s, i) for s in range(max(0, end - LONGEST), end) if (i := self.index.get(word[s:end])) is not None]
-            if not any(s == end - 1 for s, _ in found):
-                found.append((end - 1, -1))
-            out.append(found)
-        return out
+    def __post_init__(self):
+        self.pieces = self.pieces or Pieces(list(self.index))
 
-    def forward(self, word: str) -> tuple[list[np.ndarray], np.ndarray]:
-        """Forward sums over all segmentations by position, scaled at each position, and
-        the log of the scale by language."""
-        ahead = [np.ones(len(self.languages))]
-        logs = [np.zeros(len(self.languages))]
-        for found in self.edges(word)[1:]:
-            top = np.max([logs[s] for s, _ in found], axis=0)
-            total = np.zeros(len(self.languages))
-            for s, i in found:
-                chance = self.chances[i] if i >= 0 else UNKNOWN
-                total += ahead[s] * np.exp(logs[s] - top) * chance
-            ahead.append(np.ones(len(self.languages)))
-            logs.append(top + np.log(total))
-        return logs, logs[-1]
+    def by_edge(self, lattice: Lattice, languages: slice = slice(None)) -> np.ndarray:
+        return np.where(lattice.piece[:, None] >= 0, self.chances[lattice.piece, languages], UNKNOWN)
 
     def score_word(self, word: str) -> np.ndarray:
-        """Log probability of a word by language: the sum over all its segmentations."""
-        if len(word) > 200:
-            return self.forward(word)[1]
-        # Short words do not underflow, so plain sums do.
-        chances, ahead = self.chances, [1.0]
-        for found in self.edges(word)[1:]:
-            total = 0.0
-            for s, i in found:
-                total = total + ahead[s] * (chances[i] if i >= 0 else UNKNOWN)
-            ahead.append(total)
-        return np.log(np.maximum(ahead[-1] * np.ones(len(self.languages)), 1e-300))
-
-    def expected(self, word: str, language: int, totals: np.ndarray, count: float) -> None:
-        """Add the expected uses of each piece in a word (forward and backward sums)."""
-        edges, p = self.edges(word), self.chances[:, language]
-        n = len(word)
-        ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
-        ahead[0] = back[n] = 1.0
-        for end in range(1, n + 1):
-            ahead[end] = sum(ahead[s] * (p[i] if i >= 0 else UNKNOWN) for s, i in edges[end])
-        for end in range(n, 0, -1):
-            for s, i in edges[end]:
-                back[s] += back[end] * (p[i] if i >= 0 else UNKNOWN)
-        if not ahead[n] > 0:
-            return
-        for end in range(1, n + 1):
-            for s, i in edges[end]:
-                if i >= 0:
-                    totals[i] += count * ahead[s] * p[i] * back[end] / ahead[n]
+        """Log probability of a word by language, with sums scaled at each place and only
+        the places kept that a piece can still reach back to."""
+        logs: dict[int, np.ndarray] = {0: np.zeros(len(self.languages))}
+        for end in range(1, len(word) + 1):
+            edges = [(s, i) for s in range(max(0, end - LONGEST), end) if (i := self.index.get(word[s:end])) is not None]
+            if not any(s == end - 1 for s, _ in edges):
+                edges.append((end - 1, -1))
+            top = np.max([logs[s] for s, _ in edges], axis=0)
+            total = sum(np.exp(logs[s] - top) * (self.chances[i] if i >= 0 else UNKNOWN) for s, i in edges)
+            logs[end] = top + np.log(total)
+            logs.pop(end - LONGEST, None)
+        return logs[len(word)]
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word by language: the sum over all its segmentations."""
+        out = np.zeros((len(words), len(self.languages)))
+        # Sums over short words do not underflow.
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for at in range(0, len(short), STEP_WORDS):
+            mine = short[at : at + STEP_WORDS]
+            lattice = self.pieces.lattice([words[i] for i in mine])
+            sums = lattice.sums(self.by_edge(lattice))
+            out[mine] = np.log(np.maximum(sums[lattice.lasts], 1e-300))
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = self.score_word(w)
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
+        """Expected uses of each piece in counted words (forward and backward sums)."""
+        totals = np.zeros(len(self.chances))
+        for at in range(0, len(words), STEP_WORDS):
+            lattice = self.pieces.lattice(words[at : at + STEP_WORDS])
+            chance = self.by_edge(lattice, slice(language, language + 1))
+            ahead, back = lattice.sums(chance)[:, 0], lattice.sums(chance, back=True)[:, 0]
+            whole = ahead[lattice.lasts]
+            weight = np.divide(counts[at : at + STEP_WORDS], whole, out=np.zeros(len(whole)), where=whole > 0)
+            weight = np.repeat(weight, lattice.lasts - lattice.firsts + 1)  # by place
+            used = weight[lattice.start] * ahead[lattice.start] * chance[:, 0] * back[lattice.end]
+            real = lattice.piece >= 0
+            totals += np.bincount(lattice.piece[real], used[real], len(totals))
+        return totals
 
 
 def words_of(text: str) -> Counter:
-    """Words with a mark at their begin, counted."""
-    return Counter(w for w in WORD.findall(text.lower()) if any(map(str.isalpha, w)))
+    """Words, counted."""
+    found = Counter(WORD.findall(text.lower()))
+    return Counter({w: n for w, n in found.items() if any(map(str.isalpha, w))})
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,23 +209,24 @@ def fit_languages(
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, fit_rows / n))])
     drawn = df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     words = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
-    words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = stored(words.where(F.length("word") <= LONG).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
         current = model
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals = np.zeros((len(current.languages), len(current.index)))
-            at = {name: i for i, name in enumerate(current.languages)}
             for batch in batches:
-                for name, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    current.expected("▁" + word, at[name], totals[at[name]], n)
+                names, spelled = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist(), object)
+                for i, name in enumerate(current.languages):
+                    mine = names == name
+                    totals[i] += current.expected(["▁" + w for w in spelled[mine]], batch.column(2).to_numpy()[mine], i)
             rows, cols = np.nonzero(totals)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols), pa.array(totals[rows, cols])], ["l", "p", "c"])
 
         sums = words.mapInArrow(expect, "l long, p long, c double").groupBy("l", "p").agg(F.sum("c").alias("c")).toArrow()
         totals = np.full(model.chances.shape, PSEUDO)
         totals[sums["p"].to_numpy(), sums["l"].to_numpy()] += sums["c"].to_numpy()
-        model = LanguageModel(languages, index, totals / totals.sum(axis=0))
+        model = LanguageModel(languages, index, totals / totals.sum(axis=0), model.pieces)
     return model
 
 
@@ -172,20 +240,24 @@ def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id"
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in small_batches(batches):
+        known: dict[str, int] = {}
+        logs = np.zeros((0, len(model.languages)))
+        for batch in small_batches(batches, STEP_BYTES):
             names, scores = [], []
-            for body in batch.column(1).to_pylist():
-                counts = words_of(body) if body and model.languages else None
+            counted = [words_of(body) if body and model.languages else {} for body in batch.column(1).to_pylist()]
+            if len(known) > REMEMBERED:
+                known, logs = {}, logs[:0]
+            fresh = [w for w in dict.fromkeys(w for counts in counted for w in counts) if w not in known]
+            if fresh:
+                known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+                logs = np.concatenate([logs, model.score_words(["▁" + w for w in fresh])])
+            for counts in counted:
                 if not counts:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for w in counts.keys() - known.keys():
-                    known[w] = model.score_word("▁" + w)
-                total = np.array(list(counts.values()), float) @ np.array([known[w] for w in counts])
+                n = np.fromiter(counts.values(), float, len(counts))
+                total = n @ logs[np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))]
                 best = int(total.argmax())
                 names.append(model.languages[best])
                 scores.append(1.0 / float(np.exp(np.maximum(total - total[best], -700.0)).sum()))

@@ -80,7 +80,12 @@ def test_segmentations_are_summed():
 
     model = language.LanguageModel(["x"], {"a": 0, "b": 1, "ab": 2}, np.array([[0.2], [0.3], [0.5]]))
     assert abs(float(model.score_word("ab")[0]) - np.log(0.2 * 0.3 + 0.5)) < 1e-12
-    assert abs(float(model.forward("ab")[1][0]) - np.log(0.2 * 0.3 + 0.5)) < 1e-12
+    words = ["ab", "b", "abxab", "a" * 40, "ab" * 3, "x"]
+    assert np.allclose(model.score_words(words)[:, 0], [model.score_word(w)[0] for w in words], rtol=1e-12)
+    assert abs(float(model.score_words(["ab"])[0, 0]) - np.log(0.2 * 0.3 + 0.5)) < 1e-12
+    # "ab" twice and "b" once: of "ab", the share 0.06 / 0.56 is cut in two.
+    cut = 0.06 / 0.56
+    assert np.allclose(model.expected(["ab", "b"], np.array([2.0, 1.0]), 0), [2 * cut, 2 * cut + 1, 2 * (1 - cut)])
 
 
 def test_held_out(spark):
