@@ -22,7 +22,7 @@ ROUNDS = 2
 # Probability of a character that is no piece, and pseudo-count of a piece.
 UNKNOWN, PSEUDO = 1e-8, 0.05
 # Scores of words that a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 # Bytes of text that a step inside a task reads at once.
 STEP_BYTES = 2 << 20
 # Longest piece looked up, in characters.
@@ -98,7 +98,7 @@ class Lattice:
         source, target = (self.end, self.start) if back else (self.start, self.end)
         out = np.zeros((len(self.offset), chance.shape[1]))
         out[self.lasts if back else self.firsts] = 1.0
-        order = np.lexsort((target, self.offset[target]))
+        order = np.argsort(self.offset[target] * len(self.offset) + target)
         source, target, chance = source[order], target[order], chance[order]
         runs = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
         # Places equally far into their words are summed together.
@@ -122,7 +122,9 @@ class LanguageModel:
         self.pieces = self.pieces or Pieces(list(self.index))
 
     def by_edge(self, lattice: Lattice, languages: slice = slice(None)) -> np.ndarray:
-        return np.where(lattice.piece[:, None] >= 0, self.chances[lattice.piece, languages], UNKNOWN)
+        # The last row is that of -1.
+        chances = self.chances[:, languages]
+        return np.vstack([chances, np.full((1, chances.shape[1]), UNKNOWN)])[lattice.piece]
 
     def score_word(self, word: str) -> np.ndarray:
         """Log probability of a word by language, with sums scaled at each place and only
@@ -172,7 +174,9 @@ class LanguageModel:
 def words_of(text: str) -> Counter:
     """Words, counted."""
     found = Counter(WORD.findall(text.lower()))
-    return Counter({w: n for w, n in found.items() if any(map(str.isalpha, w))})
+    if not all(map(str.isalpha, found)):
+        found = Counter({w: n for w, n in found.items() if any(map(str.isalpha, w))})
+    return found
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +251,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id"
             counted = [words_of(body) if body and model.languages else {} for body in batch.column(1).to_pylist()]
             if len(known) > REMEMBERED:
                 known, logs = {}, logs[:0]
-            fresh = [w for w in dict.fromkeys(w for counts in counted for w in counts) if w not in known]
+            fresh = list(set().union(*counted) - known.keys())
             if fresh:
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
                 logs = np.concatenate([logs, model.score_words(["▁" + w for w in fresh])])
