@@ -67,12 +67,32 @@ def masked(column: Column) -> Column:
 
 
 def mask_pii(df: DataFrame, fields: Iterable[str] = PII_FIELDS) -> DataFrame:
-    """Mask personal fields by name, at any depth of nested structs."""
+    """Mask personal fields by name, at any depth of structs, arrays and maps. In a map
+    with text values the keys are names too."""
     wanted = {f.lower() for f in fields}
 
+    def holds_names(dtype: T.DataType) -> bool:
+        if isinstance(dtype, T.StructType):
+            return any(f.name.lower() in wanted or holds_names(f.dataType) for f in dtype.fields)
+        if isinstance(dtype, T.ArrayType):
+            return holds_names(dtype.elementType)
+        if isinstance(dtype, T.MapType):
+            return isinstance(dtype.valueType, T.StringType) or holds_names(dtype.valueType)
+        return False
+
     def rewrite(value: Column, name: str, dtype: T.DataType) -> Column | None:
         if name.lower() in wanted:
             return masked(value)
+        if isinstance(dtype, T.ArrayType):
+            if not holds_names(dtype.elementType):
+                return None
+            return F.transform(value, lambda x: rewrite(x, "", dtype.elementType))
+        if isinstance(dtype, T.MapType):
+            if not holds_names(dtype):
+                return None
+            if isinstance(dtype.valueType, T.StringType):
+                return F.transform_values(value, lambda k, v: F.when(F.lower(k.cast("string")).isin(*wanted), masked(v)).otherwise(v))
+            return F.transform_values(value, lambda k, v: rewrite(v, "", dtype.valueType))
         if not isinstance(dtype, T.StructType):
             return None
         out, touched = value, False

@@ -211,11 +211,13 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str = KEY, order: str = "RowNumber") -> DataFrame:
-    """First row per key. An aggregate with a map-side step: however many rows one
-    key has, each input partition sends on a single row of it."""
+    """First row per key; equal positions are told apart by the other columns, in their
+    order, and a missing position comes last. An aggregate with a map-side step: however
+    many rows one key has, each input partition sends on a single row of it."""
     rest = [F.col(f"`{c}`") for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.col(f"`{order}`"))
-    return df.groupBy(key).agg(first.alias("row")).select(key, "row.*").select(*[f"`{c}`" for c in df.columns])
+    place = F.col(f"`{order}`")
+    first = F.min(F.struct(place.isNull().alias("missing"), place.alias("place"), F.struct(*rest).alias("row")))
+    return df.groupBy(key).agg(first["row"].alias("row")).select(key, "row.*").select(*[f"`{c}`" for c in df.columns])
 
 
 def clean(

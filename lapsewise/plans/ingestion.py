@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,16 @@ class Ingested:
     customers_path: str
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, if there is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def ingest(
     spark: SparkSession,
     source: str,
@@ -55,20 +66,24 @@ def ingest(
     schema: T.StructType | None = None,
     settings: Settings = DEFAULTS,
 ) -> Ingested:
-    """Run the whole job. The source is parsed once; the customers table is written as a new version, from the
-    validated rows; the clean table, without identifiers, feeds training."""
+    """Run the whole job. The source is parsed once; its validated rows are merged into the
+    customers table, which keeps the customers of earlier deliveries (those at
+    ``customers_path`` unless ``known_customers`` are given). The merged table is complete
+    in the scratch folder before it replaces the old one. The clean table, without
+    identifiers, feeds training."""
     ids = spark.range(1).select(job_id().alias("job"), run_id("ingestion").alias("run")).first()
     job, run = ids["job"], ids["run"]
     job_event(spark, job, run, "running", source).write.mode("append").parquet(jobs_path)
     try:
         rows = accepted(stored(staged(keyed(load(spark, source, schema=schema)), RAW_RULES), "staged"))
         batch = customer_records(keep_first(rows), run, F.current_timestamp())
-        merged = batch if known_customers is None else upsert(known_customers, batch, KEY, UPSERT_COLUMNS)
+        known = existing(spark, customers_path) if known_customers is None else known_customers
+        merged = batch if known is None else stored(upsert(known, batch, KEY, UPSERT_COLUMNS), "merged")
         write_parquet(merged, customers_path)
         write_parquet(clean(rows, settings=settings), clean_path)
         n = spark.read.parquet(clean_path).count()
     except Exception as error:
-        job_event(spark, job, run, "failed", source, error=str(error)[:2000]).write.mode("append").parquet(jobs_path)
+        job_event(spark, job, run, "failed", source, error=str(error)).write.mode("append").parquet(jobs_path)
         raise
     job_event(spark, job, run, "completed", source, n, clean_path).write.mode("append").parquet(jobs_path)
     return Ingested(job, run, n, clean_path, customers_path)

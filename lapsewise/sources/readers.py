@@ -33,11 +33,14 @@ RAW_CUSTOMER_SCHEMA = T.StructType(
 )
 
 _NAME = re.compile(r"[A-Za-z_]\w*")
+# Quotes as other programs write them: doubled, without escapes.
+CSV_FORMAT = {"header": True, "quote": '"', "escape": '"'}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, **options) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred in an extra pass."""
-    reader = spark.read.option("header", True).options(**options)
+    """CSV with a header, a quote inside quotes doubled. Without a schema the types are
+    inferred in an extra pass."""
+    reader = spark.read.options(**CSV_FORMAT).options(**options)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

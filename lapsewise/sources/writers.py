@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.config import KEY
+from lapsewise.sources.readers import CSV_FORMAT
 
 COMPRESSIONS = ("snappy", "gzip", "brotli", "zstd")
 _TABLE_MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
@@ -23,7 +24,7 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partiti
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; blanks around a value are kept, as on reading."""
     blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.mode("overwrite").options(header=True, **blanks).csv(path)
+    df.write.mode("overwrite").options(**CSV_FORMAT, **blanks).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lapsewise.config import DEFAULTS, KEY, REQUEST_FEATURES
 from lapsewise.functions.text import normalize
 from lapsewise.operators.quality import require_columns
-from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA
+from lapsewise.sources.readers import CSV_FORMAT, RAW_CUSTOMER_SCHEMA
 from lapsewise.sources.writers import upsert
 
 
@@ -25,7 +25,7 @@ def read_customer_stream(
     """CSV files of a folder, each read once, a bounded number per micro-batch."""
     return (
         spark.readStream.schema(schema)
-        .option("header", True)
+        .options(**CSV_FORMAT)
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(path)
     )

@@ -36,6 +36,16 @@ def test_first_present(spark):
         first_present(df, ["absent"], "card")
 
 
+def test_mask_pii_in_arrays_and_maps(spark):
+    df = spark.sql(
+        "SELECT array(named_struct('surname', 'Abernathy', 'v', 1)) AS list, map('surname', 'Abernathy', 'city', 'Rome') AS map, "
+        "map('x', array(named_struct('surname', 'Bo'))) AS deep, array(1) AS plain"
+    )
+    row = mask_pii(df).first()
+    assert row["list"][0]["surname"] == "***athy" and row["list"][0]["v"] == 1 and row["plain"] == [1]
+    assert row["map"] == {"surname": "***athy", "city": "Rome"} and row["deep"]["x"][0]["surname"] == "***"
+
+
 def test_mask_pii(spark):
     df = spark.sql(
         "SELECT 15634602 AS CustomerId, 'Li' AS surname, named_struct('Email', 'ann@x.org', 'in',"

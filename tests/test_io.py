@@ -43,6 +43,25 @@ def test_csv_round_trip(spark, small, tmp_path):
         read_csv(spark, str(tmp_path / "absent.csv")).count()
 
 
+def test_csv_quotes(spark, tmp_path):
+    odd = spark.createDataFrame([('say "hi", x', 1), ('back\\slash', 2), ('"', 3), ("a,b", 4)], "a string, b int")
+    path = str(tmp_path / "q.csv")
+    write_csv(odd, path)
+    assert same(read_csv(spark, path, odd.schema), odd)
+    (tmp_path / "other.csv").write_text('a,b\n"say ""hi"", x",1\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "other.csv"), odd.schema).collect()] == [('say "hi", x', 1)]
+
+
+def test_two_deliveries(spark, tmp_path):
+    raw = raw_customers(customer_snapshot(spark, SF_DIR))
+    paths = [str(tmp_path / n) for n in ("clean", "customers", "jobs")]
+    for i, rows in enumerate((raw.where("CustomerId % 2 = 0"), raw.where("CustomerId % 3 = 0"))):
+        write_csv(rows, str(tmp_path / f"in{i}.csv"))
+        ingest(spark, str(tmp_path / f"in{i}.csv"), *paths, schema=RAW_CUSTOMER_SCHEMA)
+    customers = spark.read.parquet(paths[1])
+    assert customers.count() == customers.select("bank_customer_id").distinct().count() == raw.where("CustomerId % 2 = 0 or CustomerId % 3 = 0").count()
+
+
 def test_load_dispatch(spark, small, tmp_path):
     write_parquet(small, str(tmp_path / "t.parquet"))
     small.createOrReplaceTempView("small_view")

@@ -116,6 +116,12 @@ def test_keep_first_with_a_hot_key(spark):
     assert len(out) == 201 and out["hot"]["RowNumber"] == 3 and out["hot"]["v"] == 6
 
 
+def test_keep_first_among_equal_numbers(spark):
+    rows = [(1, "a", 5), (1, "a", 3), (None, "a", 1), (None, "b", 9)]
+    out = keep_first(spark.createDataFrame(rows, "RowNumber int, customer_uuid string, v int").repartition(3))
+    assert sorted((r["customer_uuid"], r["v"]) for r in out.collect()) == [("a", 3), ("b", 9)]
+
+
 def test_clean(spark):
     rows = [(2, "a", 1.0, 0), (1, "a", None, 0), (3, "b", 2.0, 1), (4, "b", 3.0, 1)]
     df = spark.createDataFrame(rows, "RowNumber int, customer_uuid string, Balance double, Complain int")
