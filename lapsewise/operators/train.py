@@ -174,7 +174,8 @@ def tune(
         rows.unpersist()
     if not done:
         raise RuntimeError("every trial failed") from (failures[0] if failures else None)
-    return sorted(done, key=lambda r: -r["objective"])
+    # A trial without a value, as where no row is positive, comes last.
+    return sorted(done, key=lambda r: (r["objective"] is None, -(r["objective"] or 0.0)))
 
 
 class RankingEvaluator(Evaluator):
