@@ -33,7 +33,7 @@ def score_curve(
     p: str = SCORE,
     by: Sequence[str] = (),
     threshold: float = DEFAULTS.prediction_threshold,
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """One row per distinct score, from the top, with running and total counts.
 
@@ -44,7 +44,7 @@ def score_curve(
         rows = rows.where(F.col(c).isNotNull())
     rows, block = graded(rows, p, digits)
     label, over = F.col(y).cast("long"), (F.col(p) >= threshold).cast("long")
-    points = rows.groupBy(*by, *([block] if block else []), "_s").agg(
+    points = rows.groupBy(*by, block, "_s").agg(
         F.count("*").alias("n"),
         F.sum(label).alias("pos"),
         F.sum(over).alias("hit"),
@@ -143,7 +143,7 @@ def topk_metrics(
     k: int | None = None,
     pct: float | None = None,
     on_zero: str = "zero",
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """Precision, recall, lift and F1 of the K best-scored rows of each group.
 
@@ -172,7 +172,7 @@ def confusion(
 
 
 def curve_metrics(
-    df: DataFrame, y: str = LABEL, p: str = SCORE, by: Sequence[str] = (), digits: int | None = 6
+    df: DataFrame, y: str = LABEL, p: str = SCORE, by: Sequence[str] = (), digits: int | None = None
 ) -> DataFrame:
     """``roc_auc``, ``pr_auc`` (trapezoid) and ``average_precision`` (steps) per group.
 
@@ -187,15 +187,15 @@ def curve_metrics(
     )
 
 
-def roc_auc(df, y=LABEL, p=SCORE, by=(), digits=6) -> DataFrame:
+def roc_auc(df, y=LABEL, p=SCORE, by=(), digits=None) -> DataFrame:
     return curve_metrics(df, y, p, by, digits).select(*by, "roc_auc")
 
 
-def pr_auc(df, y=LABEL, p=SCORE, by=(), digits=6) -> DataFrame:
+def pr_auc(df, y=LABEL, p=SCORE, by=(), digits=None) -> DataFrame:
     return curve_metrics(df, y, p, by, digits).select(*by, "pr_auc")
 
 
-def average_precision(df, y=LABEL, p=SCORE, by=(), digits=6) -> DataFrame:
+def average_precision(df, y=LABEL, p=SCORE, by=(), digits=None) -> DataFrame:
     return curve_metrics(df, y, p, by, digits).select(*by, "average_precision")
 
 
@@ -208,7 +208,7 @@ def all_metrics(
     threshold: float = DEFAULTS.prediction_threshold,
     k: int | None = None,
     pct: float | None = None,
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """Every metric of each group in one row; top-K columns carry the prefix ``top_``."""
     sums = _curve_sums(score_curve(df, y, p, by, threshold, digits), by, k, pct)

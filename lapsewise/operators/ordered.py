@@ -10,6 +10,7 @@ added to the running totals inside each block.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from os.path import commonprefix
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 # Distinct values one window task may hold before the list is split into blocks.
 VALUES_PER_BLOCK = 1 << 18
-MAX_BLOCKS = 4096
+# Bytes of a text key, after the start that all keys share, by which it is put in order.
+KEY_BYTES = 6
 
 
 def long_columns(
@@ -28,7 +30,7 @@ def long_columns(
     One narrow aggregate."""
     per_block = values_per_block or VALUES_PER_BLOCK
     sizes = df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    return {c: min(MAX_BLOCKS, sizes[c] // per_block + 1) for c in columns if sizes[c] > per_block}
+    return {c: sizes[c] // per_block + 1 for c in columns if sizes[c] > per_block}
 
 
 def value_blocks(
@@ -46,13 +48,13 @@ def value_blocks(
         return df, blocks
     cuts = df.agg(
         *[
-            F.percentile_approx(F.col(c).cast("double"), [i / n for i in range(1, n)], 10_000).alias(c)
+            F.percentile_approx(F.col(c).cast("double"), [i / n for i in range(1, n)], max(10_000, 4 * n)).alias(c)
             for c, n in long.items()
         ]
     ).first()
     inf = float("inf")
-    for i, c in enumerate(long):
-        source, out = f"_value{i}", f"_block{i}"
+    for c in long:
+        source, out = f"_value_{c}", f"_block_{c}"
         splits = [-inf, *sorted(set(cuts[c]) - {-inf, inf}), inf]
         if len(splits) < 3:
             continue
@@ -200,41 +202,58 @@ def points_quantiles(points: DataFrame, probs: Sequence[float], by: Sequence[str
     )
 
 
-def tie_block(df: DataFrame, key: str) -> Column:
-    """Coarse, order-keeping block of a unique key, to split a large tie.
+def key_code(df: DataFrame, key: str) -> Column:
+    """A double that never decreases with the key.
 
-    Integer keys: runs of 65,536 ids. String keys: their first four characters,
-    which for the UUID keys used here means 65,536 even blocks.
+    Numbers and times are cast. Texts give the bytes after the start that the least and
+    the greatest key share; Spark orders texts by bytes, so the code does too. Other
+    types give 0.
     """
-    if isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType)):
-        return F.shiftright(F.col(key).cast("long"), 16)
-    return F.substring(F.col(key).cast("string"), 1, 4)
-
-
-def graded(df: DataFrame, score: str, digits: int | None = 6) -> tuple[DataFrame, str | None]:
+    kind, c = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return c.cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return c.cast("timestamp").cast("double")
+    if not isinstance(kind, T.StringType):
+        return F.lit(0.0)
+    ends = df.agg(F.min(F.encode(c, "UTF-8")).alias("low"), F.max(F.encode(c, "UTF-8")).alias("high")).first()
+    shared = len(commonprefix([bytes(ends["low"] or b""), bytes(ends["high"] or b"")]))
+    part = F.hex(F.substring(F.encode(c, "UTF-8"), shared + 1, KEY_BYTES))
+    return F.conv(F.rpad(part, 2 * KEY_BYTES, "0"), 16, 10).cast("double")
+
+
+def tie_blocks(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_tb``, a block number that never decreases with the key, to split a large tie."""
+    df = df.withColumn("_key", key_code(df, key))
+    df, blocks = value_blocks(df, ["_key"])
+    return df.withColumn("_tb", blocks["_key"])
+
+
+def graded(df: DataFrame, score: str, digits: int | None = None) -> tuple[DataFrame, str]:
     """Add ``_s``, the score to order by, and say which block column goes with it.
 
-    Rounded to six places a probability has at most 1,000,001 distinct values, so
-    one window task per group is enough (no block column). With ``digits=None`` the
-    score is taken as it is and ``_b`` holds its block.
+    ``_b`` holds the block of the score, which is taken as it is unless ``digits`` are asked for.
     """
-    if digits is not None:
-        return df.withColumn("_s", F.round(F.col(score), digits)), None
-    df = df.withColumn("_s", F.col(score).cast("double"))
+    value = F.col(score).cast("double")
+    df = df.withColumn("_s", value if digits is None else F.round(value, digits))
     df, blocks = value_blocks(df, ["_s"])
     return df.withColumn("_b", blocks["_s"]), "_b"
 
 
 def positions(
-    df: DataFrame, score: str, key: str, by: Sequence[str] = (), out: str = "position", digits: int | None = 6
+    df: DataFrame, score: str, key: str, by: Sequence[str] = (), out: str = "position", digits: int | None = None
 ) -> DataFrame:
     """Exact 1-based position by score descending, ties by key ascending.
 
     A tie of any size is spread over blocks of the key. Null scores are left out.
     """
     rows, block = graded(df.where(F.col(score).isNotNull()), score, digits)
-    rows = rows.withColumn("_tb", tie_block(df, key))
-    at = [*by, *([block] if block else []), "_s"]
+    rows = tie_blocks(rows, key)
+    at = [*by, block, "_s"]
     blocks = rows.groupBy(*at, "_tb").agg(F.count("*").alias("_n"))
     totals = blocks.groupBy(*at).agg(F.sum("_n").alias("_m"))
     starts = running(totals, by, "_s", ["_m"], descending=True, block=block).select(

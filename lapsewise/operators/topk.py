@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULTS, KEY, SCORE
 from lapsewise.operators.ordered import graded, positions, running
 
-# A table of this many rows, or a list this short, is simply ordered and cut: every
-# task sends k rows on. Otherwise the cut score is found first.
-SMALL_TABLE = 1 << 20
-SHORT_LIST = 100
-
 
 def check_k(k: int | None, pct: float | None) -> None:
     if k is not None and k < 1:
@@ -30,11 +25,10 @@ def resolve_k(n: Column, k: int | None = None, pct: float | None = None) -> Colu
     return F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(float(share)))).cast("long")
 
 
-def cut_score(df: DataFrame, score: str, k: int | None, pct: float | None, digits: int | None = 6) -> DataFrame:
+def cut_score(df: DataFrame, score: str, k: int | None, pct: float | None, digits: int | None = None) -> DataFrame:
     """One row: ``(cut, k, n)``, the score of the k-th row from the top."""
     rows, block = graded(df.where(F.col(score).isNotNull()), score, digits)
-    at = [block, "_s"] if block else ["_s"]
-    points = rows.groupBy(*at).agg(F.count("*").alias("n"))
+    points = rows.groupBy(block, "_s").agg(F.count("*").alias("n"))
     run = running(points, [], "_s", ["n"], descending=True, block=block)
     want = resolve_k(F.col("total_n"), k, pct)
     return run.agg(
@@ -50,32 +44,19 @@ def top_k(
     key: str = KEY,
     k: int | None = None,
     pct: float | None = None,
-    digits: int | None = 6,
+    digits: int | None = None,
     rank: str = "risk_rank",
 ) -> DataFrame:
-    """The K highest scores with their rank 1..k, ties by key ascending.
+    """The K highest scores with their rank 1..k, ties by key ascending; missing scores are left out.
 
-    On a large table one aggregate finds the K-th score; rows below it never reach
-    the ranking shuffle, and no task holds K rows.
+    One aggregate finds the K-th score; rows below it never reach the ranking shuffle,
+    and no task holds K rows.
     """
     check_k(k, pct)
     value = F.col(score) if digits is None else F.round(F.col(score), digits)
-    rows = df.where(F.col(score).isNotNull())
-    if k is not None and k <= SHORT_LIST:
-        return _ordered_head(rows, value, key, k, rank)
-    n = rows.count()
-    if n <= SMALL_TABLE:
-        share = DEFAULTS.top_k_percent if pct is None else pct
-        want = max(1, int(n * share)) if k is None else k
-        return _ordered_head(rows, value, key, want, rank)
     cut = cut_score(df, score, k, pct, digits).first()
-    above = rows.where(value >= F.lit(cut["cut"]))
-    return positions(above, score, key, out=rank, digits=digits).where(F.col(rank) <= cut["k"])
-
-
-def _ordered_head(rows: DataFrame, value: Column, key: str, k: int, rank: str) -> DataFrame:
-    order = [value.desc(), F.col(key).asc()]
-    return rows.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    above = df.where(value >= F.lit(cut["cut"]))
+    return positions(above, score, key, out=rank, digits=digits).where(F.col(rank) <= F.lit(cut["k"]))
 
 
 def score_summary(df: DataFrame, p: str = SCORE, level: str = "risk_level") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lapsewise.operators import ordered, topk
+from lapsewise.operators import ordered
 from lapsewise.operators.ordered import positions, quantiles, running, value_points
 from lapsewise.operators.topk import top_k
 
@@ -46,13 +46,20 @@ def test_running_totals_across_blocks(spark, skewed, descending):
 
 
 @pytest.mark.parametrize("digits", [6, None])
-@pytest.mark.parametrize("key", ["long", "string"])
+@pytest.mark.parametrize("key", ["long", "string", "prefixed", "decimal", "double"])
 def test_positions_with_a_third_of_rows_tied(spark, skewed, digits, key, monkeypatch):
     monkeypatch.setattr(ordered, "VALUES_PER_BLOCK", 50)
     df = spark.createDataFrame(skewed, "id long, g string, v double")
     # Ids far apart, so that a tie spreads over many key blocks.
-    spread = F.col("id") * 40_000 if key == "long" else F.md5(F.col("id").cast("string"))
-    rows = df.withColumn("k", spread)
+    spread = {
+        "long": F.col("id") * 40_000,
+        "string": F.md5(F.col("id").cast("string")),
+        "prefixed": F.concat(F.lit("KUNDE-é-"), F.col("id").cast("string")),
+        "decimal": (2999 - F.col("id")).cast("decimal(10,0)"),
+        "double": F.col("id") / 7000,
+    }
+    rows = df.withColumn("k", spread[key])
+    assert ordered.tie_blocks(rows, "k").select("_tb").distinct().count() > 20
     out = positions(rows, "v", "k", ["g"], digits=digits).collect()
     for g in "ab":
         mine = sorted((r["position"], r["k"]) for r in out if r["g"] == g)
@@ -60,9 +67,9 @@ def test_positions_with_a_third_of_rows_tied(spark, skewed, digits, key, monkeyp
         assert mine == [(i + 1, r["k"]) for i, r in enumerate(want)]
 
 
-@pytest.mark.parametrize("table", [1 << 20, 100])
-def test_top_k_cuts_inside_the_tie(spark, skewed, table, monkeypatch):
-    monkeypatch.setattr(topk, "SMALL_TABLE", table)
+@pytest.mark.parametrize("per_block", [1 << 18, 100])
+def test_top_k_cuts_inside_the_tie(spark, skewed, per_block, monkeypatch):
+    monkeypatch.setattr(ordered, "VALUES_PER_BLOCK", per_block)
     df = spark.createDataFrame(skewed, "id long, g string, v double")
     want = sorted(skewed, key=lambda r: (-r[2], r[0]))
     for args in ({"pct": 0.5}, {"pct": 0.0}, {"k": 17}, {"k": 20_000}, {}):
@@ -77,9 +84,17 @@ def test_top_k_cuts_inside_the_tie(spark, skewed, table, monkeypatch):
 
 def test_no_single_task_over_rows(spark, customers, monkeypatch):
     """Ranking a large table gathers no row-level data in one partition."""
-    monkeypatch.setattr(topk, "SMALL_TABLE", 10)
+    monkeypatch.setattr(ordered, "VALUES_PER_BLOCK", 10)
     plan = top_k(customers, pct=0.3)._jdf.queryExecution().executedPlan().toString()
     gathered = plan.split("SinglePartition")[1:]
-    # Only the list of distinct scores: its partial aggregate comes right below.
-    assert len(gathered) == 1 and "HashAggregate" in gathered[0].splitlines()[1]
+    # Only block totals: their partial aggregate comes right below.
+    assert gathered and all("HashAggregate" in part.splitlines()[1] for part in gathered)
     assert "TakeOrdered" not in plan and "CartesianProduct" not in plan
+
+
+def test_top_k_ranks_scores_as_they_are(spark):
+    rows = [("a", 0.1234561), ("b", 0.1234564), ("c", None), ("d", 0.1)]
+    df = spark.createDataFrame(rows, "k string, s double")
+    assert [(r["k"], r["risk_rank"]) for r in top_k(df, "s", "k", k=2).orderBy("risk_rank").collect()] == [("b", 1), ("a", 2)]
+    assert top_k(df.where("s > 1"), "s", "k", k=2).count() == 0
+    assert top_k(df.where("s IS NULL"), "s", "k").count() == 0
