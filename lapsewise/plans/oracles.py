@@ -661,7 +661,7 @@ add(
     " (SELECT DISTINCT * EXCLUDE (RowNumber) FROM dirty)",
     DIRTY,
 )
-add("distinct_rows", "SELECT DISTINCT Geography, Gender, CardType, Exited FROM dirty", DIRTY)
+add("distinct_rows", "SELECT DISTINCT * EXCLUDE (RowNumber) FROM dirty", DIRTY, "Balance EstimatedSalary")
 _FIRST = "(SELECT *, row_number() OVER (PARTITION BY customer_uuid ORDER BY RowNumber) AS rn FROM dirty) WHERE rn = 1"
 add("first_per_customer", f"SELECT customer_uuid, RowNumber, Balance FROM {_FIRST}", DIRTY, "Balance")
 add(
@@ -751,13 +751,12 @@ def _corr_diff(columns: list[str]) -> str:
 
 
 add("corr_diff", f"SELECT d AS corr_matrix_mean_abs_diff FROM ({_corr_diff(NUMERIC)})", SHIFT, "corr_matrix_mean_abs_diff")
-_THREE = ["Age", "Balance", "CreditScore"]
 add(
     "quality_report_file",
     "SELECT col AS \"column\", 'ks' AS statistic, max(gap) AS value FROM walk GROUP BY col"
     " UNION ALL SELECT col, 'psi', psi FROM psi"
-    f" UNION ALL SELECT '*', 'corr_matrix_mean_abs_diff', d FROM ({_corr_diff(_THREE)})",
-    _sides(_THREE) + _STEPS + _psi_ctes(_THREE),
+    f" UNION ALL SELECT '*', 'corr_matrix_mean_abs_diff', d FROM ({_corr_diff(NUMERIC)})",
+    _sides(NUMERIC) + _STEPS + _psi_ctes(NUMERIC),
     "value",
 )
 
@@ -821,9 +820,9 @@ add(
 )
 
 
-# The three results on the columns Age, Balance and Geography, one row each.
+# The three results on all feature columns, one row each.
 def _monitor() -> str:
-    drift = _column_drift(["Age", "Balance"], ["Geography"]).removeprefix(SHIFT)
+    drift = _column_drift(NUMERIC, TEXT).removeprefix(SHIFT)
     drift = drift.replace("walk AS", "steps AS").replace("FROM walk", "FROM steps")
     return f"""{PERF}{drift},
 data AS (

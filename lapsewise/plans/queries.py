@@ -196,7 +196,7 @@ def job_latest_state(spark, d):
 @query
 def quality_report_file(spark, d):
     path = scratch_dir(spark, "report")
-    write_json(dr.compare(*_sides(spark, d), ["Age", "Balance", "CreditScore"]), path)
+    write_json(dr.compare(*_sides(spark, d), DRIFT_NUMERIC), path)
     return spark.read.schema("column string, statistic string, value double").json(path)
 
 
@@ -651,7 +651,7 @@ def duplicate_count(spark, d):
 
 @query
 def distinct_rows(spark, d):
-    return dirty(spark, d).select("Geography", "Gender", "CardType", "Exited").distinct()
+    return dirty(spark, d).drop("RowNumber").distinct()
 
 
 @query
@@ -721,7 +721,7 @@ def performance_drift(spark, d):
 
 
 def _monitored(spark: SparkSession, d: str):
-    return monitor(*_sides(spark, d), ["Age", "Balance", "Geography"], p="p")
+    return monitor(*_sides(spark, d), [*DRIFT_NUMERIC, *DRIFT_TEXT], p="p")
 
 
 @query
