@@ -1,6 +1,7 @@
 """Operators that compare documents or vectors, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -105,6 +106,36 @@ def test_decontamination(spark, docs, no_docs, corpus):
     assert kept.columns == docs.columns and kept.count() == len(corpus) - 1
 
 
+def test_every_alignment_holds_a_seed(spark):
+    """All ways to change words, of items of all lengths up to over a window."""
+    items, texts, want = [], [], set()
+    for n in range(1, 18):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        size = min(n, 16)
+        for changes in range(n * 3 // 16 + 2):
+            for c in itertools.combinations(range(n), changes):
+                doc = len(texts)
+                texts.append((doc, " ".join(["before", *("other" if i in c else w for i, w in enumerate(words)), "after"])))
+                best = max(sum(i not in c for i in range(s, s + size)) for s in range(n - size + 1))
+                if best * 16 >= size * 13:
+                    want.add((doc, n, 1, best))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_overlaps(docs, benchmark).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_items_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "这是一个句子。然后"), (2, "so It is!"), (3, "is it"), (4, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "这是一个句子"), (2, "it is")], "item_id long, text string")
+    want = [(1, 1, 0, 1), (2, 2, 1, 2)]
+    assert sorted(map(tuple, decontaminate.find_overlaps(docs, benchmark).collect())) == want
+    assert sorted(map(tuple, decontaminate.find_overlaps(docs, benchmark, sent_words=0).collect())) == want
+    with pytest.raises(ValueError):
+        decontaminate.find_overlaps(docs, benchmark, masks={1: ["11101101", "1101100111", "11010011011"]})
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_vectors(spark, block):
     rnd = np.random.default_rng(2)
