@@ -30,7 +30,14 @@ LEAST_VALUE = 6
 
 # Candidates of the novelty test: long unbroken strings with a digit and a letter.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-SENSITIVE = re.compile(r"(?i)\b(?:pass|pwd|secret|token|auth|bearer|credential|private|api|key|login|access)")
+# Sensitive words begin a word or a part of a name: after no letter, or at a camel-case border.
+WORDS = ["pass", "pwd", "secret", "token", "auth", "bearer", "credential", "private", "api", "key", "login", "access"]
+SENSITIVE = re.compile(
+    rf"(?<![^\W\d_])(?i:{'|'.join(WORDS)})|(?<=[^\W\d_])(?:{'|'.join(w.capitalize() for w in WORDS)})|(?<=[a-z])(?:{'|'.join(w.upper() for w in WORDS)})"
+)
+# The rest of a candidate behind a name and '='; '=' at its end is padding.
+VALUE = re.compile(r"[^=]+=*\Z|[^=]+(?==)")
+LEAST_CANDIDATE = 16
 # Characters before a candidate that tell what it is, and that prime the compressor.
 NEAR, AROUND = 48, 512
 # Marginal compressed bits a character from which a string counts as unpredictable.
@@ -87,18 +94,28 @@ def base_spans(text: str) -> list[tuple[str, int, int, float]]:
     return found
 
 
+def novel_span(text: str, start: int, end: int, least_bits: float) -> list[tuple[str, int, int, float]]:
+    """The span of one string, if it is unpredictable and stands next to a sensitive word."""
+    value = text[start:end]
+    if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return []
+    if not SENSITIVE.search(text, max(0, start - NEAR), start):
+        return []
+    bits = novelty(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND])
+    return [("novel", start, end, round(bits, 3))] if bits >= least_bits else []
+
+
 def novel_spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[str, int, int, float]]:
-    """Unpredictable strings that stand next to a sensitive word."""
+    """Unpredictable strings that stand next to a sensitive word.
+
+    In NAME=value the value is looked at by itself, and the name is part of what stands
+    before it; where no part is found, the string is looked at as a whole.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        value, start, end = m[0], m.start(), m.end()
-        if value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-            continue
-        if not SENSITIVE.search(text, max(0, start - NEAR), start):
-            continue
-        bits = novelty(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND])
-        if bits >= least_bits:
-            found.append(("novel", start, end, round(bits, 3)))
+        parts = [(v.start(), v.end()) for v in VALUE.finditer(text, m.start(), m.end())] if "=" in m[0].rstrip("=") else []
+        spans = [s for a, b in parts if b - a >= LEAST_CANDIDATE for s in novel_span(text, a, b, least_bits)]
+        found += spans or novel_span(text, m.start(), m.end(), least_bits)
     return found
 
 

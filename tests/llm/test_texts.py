@@ -64,6 +64,20 @@ def test_secrets(spark):
     assert clean[1] == "fine" and clean[None] is None and "abc123" not in clean[0] and clean[0].startswith("é <secret>")
 
 
+def test_secrets_behind_names():
+    value = "wJ4lrXUtnFEMiK7MDENGbPxRf2CYzQ81kLmT0v6H"
+    forms = [
+        "aws_secret_access_key = @", "AWS_SECRET_ACCESS_KEY=@", "db_pwd=@", "my_access_key: @", "private_key=@", "client_private_key = ...\n@", "see ?auth=@&x=1",
+        "dbKey: @", "awsAPIKey=@", "userPWD = @", "x2key @", "a=b=auth=@", "auth=@=",
+    ]
+    for form in forms:
+        text = form.replace("@", value)
+        assert value in [text[a:b].rstrip("=") for kind, a, b, _ in secrets.spans_of(text) if kind == "novel"], form
+        assert re.search(secrets.NEEDED.replace("*+", "*"), text)
+    for form in ["monkey @", "a turkey=@", "the rapid @"]:
+        assert secrets.spans_of(form.replace("@", value)) == [], form
+
+
 def test_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat is on the mat and the dog", "en"), ("le chat est sur la table et le chien", "fr")] * 20)]
     model = language.fit_languages(spark.createDataFrame(rows + [(99, None, "en"), (98, "x", None)], "k long, text string, lang string"), VOCABULARY, "k")
