@@ -94,6 +94,15 @@ def base_spans(text: str) -> list[tuple[str, int, int, float]]:
     return found
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text on either side of a string, with its other copies blanked out: a string that
+    stands twice is no less a secret. Copies that the limits cut count too."""
+    copy = text[start:end].rstrip("=")
+    blank, far = " " * len(copy), AROUND + end - start
+    before, after = text[max(0, start - far) : start].replace(copy, blank), text[end : end + far].replace(copy, blank)
+    return before[-AROUND:] + after[:AROUND]
+
+
 def novel_span(text: str, start: int, end: int, least_bits: float) -> list[tuple[str, int, int, float]]:
     """The span of one string, if it is unpredictable and stands next to a sensitive word."""
     value = text[start:end]
@@ -101,7 +110,7 @@ def novel_span(text: str, start: int, end: int, least_bits: float) -> list[tuple
         return []
     if not SENSITIVE.search(text, max(0, start - NEAR), start):
         return []
-    bits = novelty(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND])
+    bits = novelty(value, surroundings(text, start, end))
     return [("novel", start, end, round(bits, 3))] if bits >= least_bits else []
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -78,6 +79,19 @@ def test_secrets_behind_names():
         assert secrets.spans_of(form.replace("@", value)) == [], form
 
 
+def test_secrets_that_stand_twice():
+    rnd = random.Random(5)
+    for size in (16, 24, 40, 64):
+        value = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(size - 2)) + "a1"
+        for gap in (5, 100, 505, 530):
+            between = ("and so on " * 60)[:gap]
+            text = f"auth {value} {between} bearer {value} {between} key={value}=="
+            found = [text[a:b].rstrip("=") for kind, a, b, _ in secrets.spans_of(text) if kind == "novel"]
+            assert found == [value] * 3
+            clean = secrets.without_spans(text, secrets.spans_of(text), "")
+            assert value not in clean
+
+
 def test_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat is on the mat and the dog", "en"), ("le chat est sur la table et le chien", "fr")] * 20)]
     model = language.fit_languages(spark.createDataFrame(rows + [(99, None, "en"), (98, "x", None)], "k long, text string, lang string"), VOCABULARY, "k")
