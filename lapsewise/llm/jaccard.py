@@ -8,6 +8,7 @@ documents into clusters. Within a cluster the sets form a trie.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ WORDS = 5
 LEAST = (75, 100)
 # Text hashed at once, and text whose n-grams go out together.
 STEP_BYTES, FLUSH_BYTES = 2 << 20, 12 << 20
-# Documents that one trie holds; a larger cluster is joined block by block.
+# Documents that one trie holds; a larger cluster is joined block by block, each pair of
+# blocks that can hold similar sets by itself.
 BLOCK = 1000
 BITS = 40  # of a hash, besides those that choose its part
 
@@ -322,6 +324,56 @@ def _join_clusters(least: tuple[int, int]):
     return run
 
 
+LINKS = "a long, b long"
+
+
+def _large_clusters(sets: DataFrame, places: DataFrame, member: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
+    """Links that connect the similar sets of clusters of ``k`` blocks; every task group
+    holds two blocks at most.
+
+    First each block is joined with itself and with the first one, which finds most near
+    copies. What is not connected by then can only be similar over a prefix n-gram that
+    two of the groups found so far hold, and at sizes that come near enough; the sets that
+    have one are joined block by block, without those pairs of blocks where both are of
+    the largest group.
+    """
+    mine = member.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    pairs = mine.withColumn("other", F.explode(others)).select(
+        "id", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
+    )
+    near = sets.join(pairs, "id").select("cluster", "i", "j", "block", "id", "n", "tokens")
+    first = stored(near.groupBy("cluster", "i", "j").applyInArrow(_join_clusters(least), LINKS), "first_links")
+    groups = components(first).withColumnRenamed("node", "id")
+    groups = member.join(groups, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("group"))
+    groups = stored(groups, "groups")
+    held = places.join(groups, "id")
+    across = held.groupBy("token").agg(F.min("group").alias("m"), F.max("group").alias("x")).where("m < x").select("token")
+    open_ = held.join(across, "token", "left_semi").select("id", "cluster", "group").distinct()
+    largest = open_.groupBy("cluster", "group").count().groupBy("cluster").agg(F.max_by("group", F.struct("count", "group")).alias("largest"))
+    # Sizes of similar sets are in the same band or in neighbouring ones; the bands are a
+    # little wider than that takes.
+    width = math.log(1.0001 * least[1] / least[0])
+    open_ = sets.select("id", "n").distinct().join(open_.join(largest, "cluster"), "id").select(
+        "id", "n", "cluster", F.floor(F.log("n") / width).alias("band"), (F.col("group") == F.col("largest")).cast("int").alias("side")
+    )
+    kind = ["cluster", "band", "side"]
+    counts = open_.groupBy(*kind).agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    named = open_.join(counts, kind).withColumn("name", F.concat_ws(":", *kind, F.pmod(F.xxhash64("id"), F.col("k"))))
+    named = stored(named.select("id", "n", "cluster", "band", "side", "name"), "open_sets")
+    blocks = named.select(*kind, "name").distinct()
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns]) for s in "ab")
+    meet = a.join(b, (F.col("cluster_a") == F.col("cluster_b")) & (F.col("band_b") - F.col("band_a")).isin(0, 1) & (F.col("side_a") + F.col("side_b") < 2))
+    meet = stored(meet.where("band_a < band_b or name_a <= name_b").select("name_a", "name_b"), "block_pairs")
+    apart = F.col("name_a") != F.col("name_b")
+    sides = meet.select(F.col("name_a").alias("name"), F.lit(0).alias("block"), "name_a", "name_b").union(
+        meet.where(apart).select(F.col("name_b").alias("name"), F.lit(1).alias("block"), "name_a", "name_b")
+    )
+    dealt = sets.join(named.join(sides, "name").select("id", "n", "block", "name_a", "name_b"), ["id", "n"])
+    dealt = dealt.select("name_a", "name_b", F.lit(0).alias("cluster"), F.lit(0).alias("i"), apart.cast("int").alias("j"), "block", "id", "n", "tokens")
+    return first.union(dealt.groupBy("name_a", "name_b").applyInArrow(_join_clusters(least), LINKS))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``id``, ``n_shingles`` (size of its set of word n-grams) and
     ``component_id`` (least id reachable by links of similarity ``least`` or more).
@@ -348,16 +400,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     least_id = places.groupBy("token").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select(F.col("token").alias("t"), "m")
     near = places.join(least_id, F.col("token") == F.col("t")).where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     clusters = stored(components(near), "clusters")
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
-    member = clusters.join(blocks, "component").select(
-        F.col("node").alias("id"), F.col("component").alias("cluster"), "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block")
+    members = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    member = clusters.join(members, "component").select(
+        F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("k")
     )
+    member = stored(member, "members")
     groups = max(parts, sets.count() // 2000)
-    dealt_sets = sets.join(member, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt_sets = dealt_sets.select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "tokens"
-    ).withColumn("bin", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)))
-    links = dealt_sets.groupBy("bin").applyInArrow(_join_clusters(least), "a long, b long")
+    one = F.lit(0)
+    small = sets.join(member.where("k = 1"), "id").select("cluster", one.alias("i"), one.alias("j"), one.alias("block"), "id", "n", "tokens")
+    small = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(groups)))
+    links = small.groupBy("bin").applyInArrow(_join_clusters(least), LINKS)
+    if not member.where("k > 1").isEmpty():
+        links = links.union(_large_clusters(sets, places, member.where("k > 1"), least, block))
     found = components(links)
     named = classes.join(found, F.col("first") == F.col("node"), "left").select(
         "n", "h1", "h2", F.coalesce("component", "first").alias("component_id")

@@ -45,6 +45,37 @@ def test_jaccard(docs, corpus, block):
     assert edges and len(set(want.values())) < len(want)
 
 
+def test_jaccard_of_large_clusters(spark, monkeypatch):
+    """Chains of near copies, and families of them that share a rare n-gram only."""
+    inner = jaccard._join_clusters
+
+    def bounded(least):
+        run = inner(least)
+
+        def checked(table):
+            assert table.num_rows <= 60
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_join_clusters", bounded)
+    rnd, texts = random.Random(8), []
+    for family in range(3):
+        words = [f"f{family}w{i}" for i in range(60)]
+        for i in range(60):
+            if i % 2:
+                words[i] = f"f{family}new{i}"
+            texts.append(" ".join(words + [f"f{family}more{x}" for x in range(i % 3 * 7)] + ["the", "link", "of", "all", "families"]))
+    texts += [" ".join([f"only{i}x{k}" for k in range(8)] + ["the", "link", "of", "all", "families"]) for i in range(30)]
+    rnd.shuffle(texts)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = least_of(sets, edges)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component_id for r in jaccard.near_duplicates(df, block=10).collect()} == want
+    assert 1 < len(set(want.values())) < len(want)
+
+
 def test_jaccard_of_nothing(no_docs, docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
     kept = jaccard.firsts(docs)
