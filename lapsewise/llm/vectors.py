@@ -25,10 +25,13 @@ LEAST_COSINE = 0.93
 DIMENSIONS = 4
 BLOCK = 2048
 LEAF = 128
+# Lengths that have principal directions of their own, the commonest ones; the grid of the
+# others is on their first dimensions.
+LENGTHS = 16
 # Distances are compared with this much to spare, so that rounding loses no pair.
 SLACK = 1e-6
 
-BLOCKS = "block long, label long, size int, low array<double>, high array<double>, ids binary, counts binary, vectors binary"
+BLOCKS = "block long, label long, length int, size int, low array<double>, high array<double>, ids binary, counts binary, vectors binary"
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,7 +40,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def matrix(column_: pa.Array) -> np.ndarray:
     """A batch of equally long arrays as rows of doubles."""
-    return np.array(column_.to_pylist(), np.float64)
+    return column_.flatten().to_numpy(zero_copy_only=False).reshape(len(column_), -1)
 
 
 def principal(vectors: DataFrame, size: int, dimensions: int) -> np.ndarray:
@@ -62,25 +65,32 @@ def principal(vectors: DataFrame, size: int, dimensions: int) -> np.ndarray:
     return directions[:, ::-1][:, :dimensions]
 
 
-def _cut_blocks(directions: np.ndarray, block: int):
+def directions_of(directions: dict[int, np.ndarray], length: int) -> np.ndarray:
+    """The directions of vectors of a length; the first axes, where it has none of its own."""
+    found = directions.get(length)
+    return np.eye(length, min(DIMENSIONS, length)) if found is None else found
+
+
+def _cut_blocks(directions: dict[int, np.ndarray], block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            ids, counts, labels = (batch.column(i).to_numpy() for i in range(3))
-            x = matrix(batch.column(3))
-            at = unit(x) @ directions
-            cuts = np.flatnonzero(np.diff(labels, prepend=labels[:1] - 1))
+            ids, counts, labels, lengths = (batch.column(i).to_numpy() for i in range(4))
+            new = (np.diff(labels, prepend=labels[:1] - 1) != 0) | (np.diff(lengths, prepend=lengths[:1]) != 0)
+            cuts = np.flatnonzero(new)
             rows = []
             for a, b in zip(cuts, np.append(cuts[1:], len(labels))):
                 for low in range(a, b, block):
                     s = slice(low, min(low + block, b))
+                    x = matrix(batch.column(4)[s.start : s.stop])
+                    at = unit(x) @ directions_of(directions, x.shape[1])
                     rows.append(
-                        (number, int(labels[low]), s.stop - s.start, at[s].min(0).tolist(), at[s].max(0).tolist(), ids[s].astype(np.int64).tobytes(),
-                         counts[s].astype(np.int64).tobytes(), x[s].tobytes())
+                        (number, int(labels[low]), x.shape[1], len(x), at.min(0).tolist(), at.max(0).tolist(), ids[s].astype(np.int64).tobytes(),
+                         counts[s].astype(np.int64).tobytes(), x.tobytes())
                     )
                     number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, types)], [f.split()[0] for f in BLOCKS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], [f.split()[0] for f in BLOCKS.split(", ")])
 
     return run
 
@@ -113,7 +123,7 @@ def interval_join(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
         yield i, j
 
 
-def _join(directions: np.ndarray, least: float):
+def _join(directions: dict[int, np.ndarray], least: float):
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
 
     def run(table: pa.Table) -> pa.Table:
@@ -125,7 +135,7 @@ def _join(directions: np.ndarray, least: float):
             for side in "ab":
                 ids = np.frombuffer(row[f"ids_{side}"], np.int64)
                 v = np.frombuffer(row[f"vectors_{side}"], np.float64).reshape(len(ids), -1)
-                sides.append((ids, np.frombuffer(row[f"counts_{side}"], np.int64), v, unit(v) @ directions))
+                sides.append((ids, np.frombuffer(row[f"counts_{side}"], np.int64), v, unit(v) @ directions_of(directions, v.shape[1])))
             (ia, ca, x, px), (ib, cb, y, py) = sides
             same = row["block_a"] == row["block_b"]
             of_a, of_b, known = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), Sets()
@@ -150,10 +160,10 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: ``id, n_links, component_id``.
 
-    Vectors with the same label link at a cosine of ``least`` or more, in double
+    Vectors with the same label and length link at a cosine of ``least`` or more, in double
     precision. One that is null, empty, zero, or has a null or non-finite part links with
-    nothing, and so does one without a label or a key, and one whose length differs from
-    the longest usable one's (a cosine needs equal lengths). Equal vectors are one class
+    nothing, and so does one without a label or a key. Vectors of unequal lengths never
+    link (a cosine needs equal lengths). Equal vectors are one class
     that is compared once and counted as often as it occurs; links within a block pair are
     summed up there, and only a spanning forest of them goes on. A vector without links is
     its own component; a null key has none. Other columns are ignored.
@@ -166,25 +176,31 @@ def near_vectors(
         {f"h{i}": F.when(F.col("usable"), F.xxhash64(F.lit(i), "label", "embedding")) for i in (1, 2)}
     )
     good = df.where("usable")
-    size = good.agg(F.max(F.size("embedding"))).first()[0] or 1
-    classes = good.where(F.size("embedding") == size).groupBy("h1", "h2").agg(
+    classes = good.groupBy("h1", "h2").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.min("label").alias("label"), F.first("embedding").alias("embedding")
     )
-    classes = stored(classes, "classes")
-    directions = principal(classes, size, min(dimensions, size))
+    classes = stored(classes.withColumn("length", F.size("embedding")), "classes")
+    # One block needs no directions: it is joined with itself alone.
+    common = classes.groupBy("length").count().where(F.col("count") > block).orderBy(F.desc("count"), "length").limit(LENGTHS).collect()
+    directions = {r.length: principal(classes.where(F.col("length") == r.length), r.length, min(dimensions, r.length)) for r in common}
     width = math.sqrt(max(0.0, 2 - 2 * least)) or 1.0
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    cells = [
-        F.floor(F.aggregate(F.zip_with("embedding", F.lit(d.tolist()), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / norm / width).alias(f"c{i}")
-        for i, d in enumerate(directions.T)
-    ]
-    placed = stored(classes.select("id", "n", "label", "embedding", *cells), "cells")
-    order = ["label", *[f"c{i}" for i in range(len(cells))], "id"]
+    cells = []
+    for i in range(dimensions):
+        place = F.coalesce(F.get("embedding", F.lit(i)), F.lit(0.0))
+        for length, of_length in directions.items():
+            if i < length:
+                d = F.lit(of_length[:, i].tolist())
+                along = F.aggregate(F.zip_with("embedding", d, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+                place = F.when(F.col("length") == length, along).otherwise(place)
+        cells.append(F.floor(place / norm / width).alias(f"c{i}"))
+    placed = stored(classes.select("id", "n", "label", "length", "embedding", *cells), "cells")
+    order = ["label", "length", *[f"c{i}" for i in range(len(cells))], "id"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "label", "embedding")
+    sorted_ = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "label", "length", "embedding")
     blocks = stored(sorted_.mapInArrow(_cut_blocks(directions, block), BLOCKS), "blocks")
     # Pairs of blocks of one label whose boxes come near enough.
-    meta = blocks.select("block", "label", "low", "high")
+    meta = blocks.select("block", "label", "length", "low", "high")
     left, right = (meta.select(*[F.col(c).alias(f"{c}_{s}") for c in meta.columns]) for s in "ab")
     gap = F.aggregate(
         F.transform(
@@ -193,7 +209,8 @@ def near_vectors(
         ),
         F.lit(0.0), lambda a, x: a + x,
     )
-    near = left.join(right, (F.col("label_a") == F.col("label_b")) & (F.col("block_a") <= F.col("block_b")))
+    alike = (F.col("label_a") == F.col("label_b")) & (F.col("length_a") == F.col("length_b"))
+    near = left.join(right, alike & (F.col("block_a") <= F.col("block_b")))
     near = near.where(gap <= (width + SLACK) ** 2).select("block_a", "block_b")
     held = blocks.select("block", "ids", "counts", "vectors")
     for s in "ab":

@@ -188,6 +188,28 @@ def test_vectors(spark, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 5])
+def test_vectors_of_several_lengths(spark, block):
+    rnd = np.random.default_rng(6)
+    rows = []
+    for length, n in ((8, 40), (3, 30), (1, 4), (12, 1)):
+        base = rnd.normal(size=(n, length))
+        for v in np.vstack([base, base[: n // 2] + 0.1 * rnd.normal(size=(n // 2, length)), base[: n // 4]]):
+            rows.append((len(rows), list(map(float, v)), len(rows) % 2))
+    good = {i: (np.array(v), label) for i, v, label in rows}
+
+    def linked(a, b):
+        (x, p), (y, q) = good[a], good[b]
+        return len(x) == len(y) and p == q and x @ y >= 0.93 * np.linalg.norm(x) * np.linalg.norm(y)
+
+    edges = [(a, b) for a in good for b in good if a < b and linked(a, b)]
+    want = least_of(good, edges)
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.component_id, r.n_links) == (want[r.id], sum(r.id in e for e in edges))
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(50)] + [(5, None), (7, 7)]
