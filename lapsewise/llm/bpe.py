@@ -27,7 +27,9 @@ from lapsewise.sources.scratch import scratch_dir
 PART_SCHEMA = "block long, part int, ids array<long>, counts binary, data binary, parts binary"
 OUT_SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+# Distinct pre-tokens whose ids one task remembers at once; beyond it starts to remember anew.
+KNOWN_WORDS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -97,27 +99,28 @@ def text_blocks(docs: DataFrame, pattern: str, parts: int, key: str = "doc_id",
         for batch in small_batches(batches, BLOCK_BYTES):
             numbers: dict[str, int] = {}
             places, counts = [], []
-            for body in batch.column(1).to_pylist():
-                found = split.findall(body or "")
-                for w in found:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
-                places.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+            for body in batch.column(1):
+                found = split.findall(body.as_py() or "")
+                places.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.uint32, len(found)))
                 counts.append(len(found))
+                del found
             # Frequent pre-tokens get small numbers; a part keeps that order.
             every = np.concatenate(places)
+            del places
             order = np.argsort(-np.bincount(every, minlength=len(numbers)), kind="stable")
             rank = np.empty(len(numbers), np.uint32)
             rank[order] = np.arange(len(numbers), dtype=np.uint32)
-            words = list(numbers)
-            dealt: list[list[bytes]] = [[] for _ in range(parts)]
-            of = np.empty(len(numbers), np.uint32)
-            for i, at in enumerate(order.tolist()):
-                data = words[at].encode()
-                of[i] = zlib.crc32(data) % parts
-                dealt[of[i]].append(data)
-            rows = [(block, -1, batch.column(0).to_pylist(), np.array(counts, np.int64).tobytes(), pack_numbers(rank[every]), pack_numbers(of))]
-            rows += [(block, i, None, None, pack_words(part), None) for i, part in enumerate(dealt) if part]
+            every = pack_numbers(rank[every])
+            words = [w.encode() for w in numbers]
+            del numbers, rank
+            of = np.fromiter((zlib.crc32(w) % parts for w in words), np.uint32, len(words))[order]
+            rows = [(block, -1, batch.column(0).to_pylist(), np.array(counts, np.int64).tobytes(), every, pack_numbers(of))]
+            by_part = order[np.argsort(of, kind="stable")]
+            ends = np.cumsum(np.bincount(of, minlength=parts))
+            for i, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                if end > start:
+                    rows.append((block, i, None, None, pack_words([words[at] for at in by_part[start:end].tolist()]), None))
+            del words, order, by_part
             types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             names = ["block", "part", "ids", "counts", "data", "parts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -154,6 +157,8 @@ def encode_parts(parts: DataFrame, path: str) -> DataFrame:
                 for word in words_of(data):
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         ids = known[word] = codec._encode_single_piece(word)
                     tokens.append(ids)
                 out.append(pack_lists(tokens))
