@@ -29,6 +29,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return SF_DIR
+
+
 @pytest.fixture(scope="session")
 def customers(spark):
     """The snapshot of the smallest data set, scored, written once."""

@@ -11,7 +11,6 @@ from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA, load, query_files, re
 from lapsewise.sources.scratch import scratch_dir, settled, stored
 from lapsewise.sources.writers import UPSERT_COLUMNS, execute, latest_state, upsert, write_csv, write_parquet, write_table
 
-from conftest import SF_DIR
 
 
 @pytest.fixture
@@ -52,8 +51,8 @@ def test_csv_quotes(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "other.csv"), odd.schema).collect()] == [('say "hi", x', 1)]
 
 
-def test_two_deliveries(spark, tmp_path):
-    raw = raw_customers(customer_snapshot(spark, SF_DIR))
+def test_two_deliveries(spark, tmp_path, sf_dir):
+    raw = raw_customers(customer_snapshot(spark, sf_dir))
     paths = [str(tmp_path / n) for n in ("clean", "customers", "jobs")]
     for i, rows in enumerate((raw.where("CustomerId % 2 = 0"), raw.where("CustomerId % 3 = 0"))):
         write_csv(rows, str(tmp_path / f"in{i}.csv"))
@@ -123,8 +122,8 @@ def test_intermediate_tables_go_to_the_shared_folder(spark, small):
         settled(small)
 
 
-def test_ingestion_flow(spark, tmp_path):
-    snap = customer_snapshot(spark, SF_DIR)
+def test_ingestion_flow(spark, tmp_path, sf_dir):
+    snap = customer_snapshot(spark, sf_dir)
     source, paths = str(tmp_path / "in.csv"), {n: str(tmp_path / n) for n in ("clean", "customers", "jobs")}
     write_csv(raw_customers(snap), source)
     done = ingest(spark, source, paths["clean"], paths["customers"], paths["jobs"], schema=RAW_CUSTOMER_SCHEMA)

@@ -4,7 +4,6 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
-from conftest import SF_DIR
 
 SAMPLE = [
     "snapshot", "features", "risk_rank", "all_metrics", "metrics_by_segment", "numeric_describe", "psi", "column_drift",
@@ -25,5 +24,5 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", SAMPLE)
-def test_twin(spark, name):
-    assert check.compare(spark, check.tables(SF_DIR), name, SF_DIR).startswith("ok")
+def test_twin(spark, name, sf_dir):
+    assert check.compare(spark, check.tables(sf_dir), name, sf_dir).startswith("ok")

@@ -8,11 +8,10 @@ from lapsewise.streaming.monitor import graded_shift, mean_by_window
 from lapsewise.streaming.scoring import deduplicated, prepare, read_customer_stream, score_stream, upsert_stream
 
 import pytest
-from conftest import SF_DIR
 
 
-def test_scoring_takes_only_new_files_and_equals_the_batch_result(spark, tmp_path):
-    raw = raw_customers(customer_snapshot(spark, SF_DIR))
+def test_scoring_takes_only_new_files_and_equals_the_batch_result(spark, tmp_path, sf_dir):
+    raw = raw_customers(customer_snapshot(spark, sf_dir))
     inbox, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     half = F.col("CustomerId") % 2 == 0
     write_csv(raw.where(half), inbox + "/a")
@@ -33,8 +32,8 @@ def test_missing_header_is_an_error_at_start(spark, tmp_path):
         prepare(stream)
 
 
-def test_duplicates_within_the_watermark_are_dropped(spark, tmp_path):
-    dirty = dirty_customers(customer_snapshot(spark, SF_DIR))
+def test_duplicates_within_the_watermark_are_dropped(spark, tmp_path, sf_dir):
+    dirty = dirty_customers(customer_snapshot(spark, sf_dir))
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_csv(dirty.repartition(3), inbox)
     rows = keyed(read_customer_stream(spark, inbox, files_per_trigger=1)).withColumn("at", F.lit("2024-01-01").cast("timestamp"))
@@ -56,8 +55,8 @@ def test_upsert_versions(spark, tmp_path):
     assert got == [("a", 3, 1, 3), ("b", 1, 1, 1), ("c", 2, 2, 2)]
 
 
-def test_mean_by_window_stream_equals_batch(spark, tmp_path):
-    rows = spark.read.parquet(f"{SF_DIR}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("p"))
+def test_mean_by_window_stream_equals_batch(spark, tmp_path, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("p"))
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows.repartition(1).sortWithinPartitions("ts").write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).parquet(inbox)
