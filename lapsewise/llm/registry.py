@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, repeats, secrets, urls, vectors
+from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, prefixes, repeats, runs, secrets, urls, vectors
 from lapsewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,13 @@ def op9_secrets(spark, d):
 @query
 def op10_pii(spark, d):
     return pii.digest(pii.find_pii(table(spark, d, "documents")))
+
+
+@query
+def op12_periodic_runs(spark, d):
+    return runs.digest(runs.word_runs(table(spark, d, "documents"), reorder=runs.planted_tail))
+
+
+@query
+def op13_prefix_trie(spark, d):
+    return prefixes.rebuilt_trie(table(spark, d, "conversations"))
