@@ -25,7 +25,7 @@ from lapsewise.llm.hashing import Substrings, U, mix
 WORDS = 5
 LEAST = (75, 100)
 # Text hashed at once, and text whose n-grams go out together.
-STEP_BYTES, FLUSH_BYTES = 2 << 20, 12 << 20
+STEP_BYTES, FLUSH_BYTES = 1 << 20, 6 << 20
 # Documents that one trie holds; a larger cluster is joined block by block, each pair of
 # blocks that can hold similar sets by itself.
 BLOCK = 1000
