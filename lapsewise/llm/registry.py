@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, prefixes, repeats, runs, secrets, urls, vectors
+from lapsewise.llm import bpe, decontaminate, html_text, jaccard, language, pii, prefixes, repeats, runs, secrets, toxicity, urls, vectors
 from lapsewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,19 @@ def op10_pii(spark, d):
     return pii.digest(pii.find_pii(table(spark, d, "documents")))
 
 
+@query
+def op11_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    network = toxicity.fit_toxicity(docs.where(~language.held_out(F.col("doc_id"))), table(spark, d, "labels"))
+    found = toxicity.score_texts(docs, network)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        language.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op12_periodic_runs(spark, d):
     return runs.digest(runs.word_runs(table(spark, d, "documents"), reorder=runs.planted_tail))
