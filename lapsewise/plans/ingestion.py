@@ -15,7 +15,8 @@ from lapsewise.functions.text import normalize
 from lapsewise.operators.quality import RAW_RULES, accepted, clean, keep_first, staged
 from lapsewise.sources.readers import load
 from lapsewise.sources.scratch import stored
-from lapsewise.sources.writers import UPSERT_COLUMNS, customer_records, upsert, write_parquet
+from lapsewise.sources.versions import create_version, current_version, merge_version
+from lapsewise.sources.writers import UPSERT_COLUMNS, customer_records, write_parquet
 
 JOB_SCHEMA = (
     "job_id string, run_id string, job_type string, status string, input_path string,"
@@ -44,12 +45,13 @@ class Ingested:
     rows: int
     clean_path: str
     customers_path: str
+    customers_version: int
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, if there is one."""
+def plain_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """Parquet files that lie in a folder itself, if there are any."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(f"{path}/*.parquet")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -67,23 +69,24 @@ def ingest(
     settings: Settings = DEFAULTS,
 ) -> Ingested:
     """Run the whole job. The source is parsed once; its validated rows are merged into the
-    customers table, which keeps the customers of earlier deliveries (those at
-    ``customers_path`` unless ``known_customers`` are given). The merged table is complete
-    in the scratch folder before it replaces the old one. The clean table, without
-    identifiers, feeds training."""
+    customers table, which keeps the customers of earlier deliveries. The table lies in
+    versions: a job that dies leaves the newest one as it was. Where there is no version
+    yet, it starts with ``known_customers`` or with a plain Parquet table found at
+    ``customers_path``. The clean table, without identifiers, feeds training."""
     ids = spark.range(1).select(job_id().alias("job"), run_id("ingestion").alias("run")).first()
     job, run = ids["job"], ids["run"]
     job_event(spark, job, run, "running", source).write.mode("append").parquet(jobs_path)
     try:
         rows = accepted(stored(staged(keyed(load(spark, source, schema=schema)), RAW_RULES), "staged"))
         batch = customer_records(keep_first(rows), run, F.current_timestamp())
-        known = existing(spark, customers_path) if known_customers is None else known_customers
-        merged = batch if known is None else stored(upsert(known, batch, KEY, UPSERT_COLUMNS), "merged")
-        write_parquet(merged, customers_path)
+        if current_version(spark, customers_path) is None:
+            known = plain_table(spark, customers_path) if known_customers is None else known_customers
+            create_version(batch.limit(0) if known is None else known, customers_path, KEY)
+        version = merge_version(batch, customers_path, UPSERT_COLUMNS)
         write_parquet(clean(rows, settings=settings), clean_path)
         n = spark.read.parquet(clean_path).count()
     except Exception as error:
         job_event(spark, job, run, "failed", source, error=str(error)).write.mode("append").parquet(jobs_path)
         raise
     job_event(spark, job, run, "completed", source, n, clean_path).write.mode("append").parquet(jobs_path)
-    return Ingested(job, run, n, clean_path, customers_path)
+    return Ingested(job, run, n, clean_path, customers_path, version)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +13,7 @@ from lapsewise.config import DEFAULTS, KEY, REQUEST_FEATURES
 from lapsewise.functions.text import normalize
 from lapsewise.operators.quality import require_columns
 from lapsewise.sources.readers import CSV_FORMAT, RAW_CUSTOMER_SCHEMA
-from lapsewise.sources.writers import upsert
+from lapsewise.sources.versions import merge_version, version_at
 
 
 def read_customer_stream(
@@ -74,23 +74,24 @@ def upsert_stream(
     key: str = KEY,
     order: str | None = None,
 ) -> StreamingQuery:
-    """Merge every micro-batch into a versioned Parquet table, then stop.
+    """Merge every micro-batch into the versioned table at ``base_dir``, then stop.
 
-    Batch ``n`` reads version ``n`` and writes version ``n + 1``, so running a batch
-    again after a failure writes the same version again and changes nothing.
+    Only the buckets that a batch touches are written anew. The table records the last
+    batch of each query, so a batch that runs again after a failure changes nothing, and a
+    query with a fresh checkpoint goes on from the newest version.
     """
     spark = stream.sparkSession
+    name = f"upsert-{uuid.uuid4().hex}"
+    if version_at(spark, base_dir).key != key:
+        raise ValueError(f"the table at {base_dir} is not kept by {key!r}")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        target = spark.read.parquet(f"{base_dir}/version={batch_id}")
-        rest = [c for c in batch.columns if c != key]
-        last = F.max_by(F.struct(*rest), F.col(order or "updated_at"))
-        once = batch.groupBy(key).agg(last.alias("r")).select(key, "r.*").select(*target.columns)
-        merged = upsert(target, once, key, update_cols)
-        merged.write.mode("overwrite").parquet(f"{base_dir}/version={batch_id + 1}")
+        query = next(q for q in spark.streams.active if q.name == name)
+        merge_version(batch, base_dir, update_cols, source=(str(query.id), batch_id), order=order or "updated_at")
 
     return (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.queryName(name)
+        .foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

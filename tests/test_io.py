@@ -9,6 +9,7 @@ from lapsewise.plans.ingestion import ingest
 from lapsewise.plans.snapshot import customer_snapshot, dirty_customers, raw_customers
 from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA, load, query_files, read_csv, read_parquet, read_query, table_exists
 from lapsewise.sources.scratch import scratch_dir, settled, stored
+from lapsewise.sources.versions import read_version
 from lapsewise.sources.writers import UPSERT_COLUMNS, execute, latest_state, upsert, write_csv, write_parquet, write_table
 
 
@@ -57,7 +58,7 @@ def test_two_deliveries(spark, tmp_path, sf_dir):
     for i, rows in enumerate((raw.where("CustomerId % 2 = 0"), raw.where("CustomerId % 3 = 0"))):
         write_csv(rows, str(tmp_path / f"in{i}.csv"))
         ingest(spark, str(tmp_path / f"in{i}.csv"), *paths, schema=RAW_CUSTOMER_SCHEMA)
-    customers = spark.read.parquet(paths[1])
+    customers = read_version(spark, paths[1])
     assert customers.count() == customers.select("bank_customer_id").distinct().count() == raw.where("CustomerId % 2 = 0 or CustomerId % 3 = 0").count()
 
 
@@ -130,7 +131,7 @@ def test_ingestion_flow(spark, tmp_path, sf_dir):
     clean = spark.read.parquet(paths["clean"])
     assert done.rows == clean.count() == snap.count()
     assert not {"CustomerId", "Surname", "Complain", "Satisfaction Score"} & set(clean.columns)
-    customers = spark.read.parquet(paths["customers"])
+    customers = read_version(spark, paths["customers"])
     assert customers.columns[:3] == ["customer_uuid", "bank_customer_id", "surname"]
     assert '"CreditScore":' in customers.first()["raw_data"]
     jobs = spark.read.parquet(paths["jobs"])

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from lapsewise.plans.batch_scoring import rule_scorer
 from lapsewise.plans.ingestion import keyed
 from lapsewise.plans.snapshot import customer_snapshot, dirty_customers, raw_customers
+from lapsewise.sources.versions import create_version, read_version, version_at
 from lapsewise.sources.writers import write_csv
 from lapsewise.streaming.monitor import graded_shift, mean_by_window
 from lapsewise.streaming.scoring import deduplicated, prepare, read_customer_stream, score_stream, upsert_stream
@@ -46,13 +47,21 @@ def test_duplicates_within_the_watermark_are_dropped(spark, tmp_path, sf_dir):
 
 def test_upsert_versions(spark, tmp_path):
     cols = "customer_uuid string, v int, created_at int, updated_at int"
-    base, inbox = str(tmp_path / "base"), str(tmp_path / "in")
-    spark.createDataFrame([("a", 1, 1, 1), ("b", 1, 1, 1)], cols).write.parquet(f"{base}/version=0")
+    base, inbox, mark = str(tmp_path / "base"), str(tmp_path / "in"), str(tmp_path / "mark")
+    create_version(spark.createDataFrame([("a", 1, 1, 1), ("b", 1, 1, 1)], cols), base, "customer_uuid")
     spark.createDataFrame([("a", 2, 2, 2), ("a", 3, 3, 3), ("c", 2, 2, 2)], cols).coalesce(1).write.parquet(inbox)
-    stream = spark.readStream.schema(cols).parquet(inbox)
-    upsert_stream(stream, base, str(tmp_path / "mark"), ["v", "updated_at"]).awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/version=1").collect())
-    assert got == [("a", 3, 1, 3), ("b", 1, 1, 1), ("c", 2, 2, 2)]
+
+    def run(mark):
+        upsert_stream(spark.readStream.schema(cols).parquet(inbox), base, mark, ["v", "updated_at"]).awaitTermination()
+        return sorted(tuple(r) for r in read_version(spark, base).collect())
+
+    assert run(mark) == [("a", 3, 1, 3), ("b", 1, 1, 1), ("c", 2, 2, 2)]
+    # The same checkpoint adds what is new; a fresh one goes on from the newest version.
+    spark.createDataFrame([("b", 4, 4, 4)], cols).write.mode("append").parquet(inbox)
+    assert run(mark) == [("a", 3, 1, 3), ("b", 4, 1, 4), ("c", 2, 2, 2)]
+    spark.createDataFrame([("d", 5, 5, 5)], cols).write.mode("append").parquet(inbox)
+    assert run(mark + "-2") == [("a", 3, 1, 3), ("b", 4, 1, 4), ("c", 2, 2, 2), ("d", 5, 5, 5)]
+    assert len(version_at(spark, base).sources) == 2
 
 
 def test_mean_by_window_stream_equals_batch(spark, tmp_path, sf_dir):
