@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from lapsewise.config import DEFAULTS, KEY, Settings
 from lapsewise.functions.ids import job_id, run_id, with_customer_uuid
 from lapsewise.functions.text import normalize
-from lapsewise.operators.quality import RAW_RULES, accepted, clean, keep_first, staged
-from lapsewise.sources.readers import load
+from lapsewise.operators.quality import RAW_RULES, accepted, clean, coerced, keep_first, staged
+from lapsewise.sources.readers import load, source_kind
+from lapsewise.sources.rejects import LINE, REJECTED, column_types, fitting, marked, set_aside, text_cells
 from lapsewise.sources.scratch import stored
 from lapsewise.sources.versions import create_version, current_version, merge_version
 from lapsewise.sources.writers import UPSERT_COLUMNS, customer_records, write_parquet
@@ -58,6 +59,20 @@ def plain_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def checked_cells(spark: SparkSession, source: str, schema: T.StructType, quarantine_path: str | None) -> DataFrame:
+    """Staged rows of a CSV file whose cells were held against their types."""
+    types = column_types(schema)
+    rows = marked(text_cells(spark, source, schema), types)
+    if quarantine_path:
+        rows = stored(rows, "cells")
+        set_aside(rows, source).write.mode("append").parquet(quarantine_path)
+        return staged(fitting(rows, types), RAW_RULES)
+    found = F.transform(F.col(REJECTED)["column"], lambda c: F.concat(c, F.lit(":type")))
+    staged_rows = staged(rows, RAW_RULES)
+    staged_rows = staged_rows.withColumn("errors", F.array_union("errors", found)).drop(REJECTED, LINE)
+    return staged_rows.withColumns({c: coerced(c, t) for c, t in types.items() if c in staged_rows.columns})
+
+
 def ingest(
     spark: SparkSession,
     source: str,
@@ -67,17 +82,26 @@ def ingest(
     known_customers: DataFrame | None = None,
     schema: T.StructType | None = None,
     settings: Settings = DEFAULTS,
+    quarantine_path: str | None = None,
 ) -> Ingested:
     """Run the whole job. The source is parsed once; its validated rows are merged into the
     customers table, which keeps the customers of earlier deliveries. The table lies in
     versions: a job that dies leaves the newest one as it was. Where there is no version
     yet, it starts with ``known_customers`` or with a plain Parquet table found at
-    ``customers_path``. The clean table, without identifiers, feeds training."""
+    ``customers_path``. The clean table, without identifiers, feeds training.
+
+    Cells of a CSV file with a schema are read as text: one that does not fit fails the job
+    as ``column:type``. With ``quarantine_path`` such rows, and lines with more or fewer
+    cells than columns, are appended there instead, and the job goes on without them."""
     ids = spark.range(1).select(job_id().alias("job"), run_id("ingestion").alias("run")).first()
     job, run = ids["job"], ids["run"]
     job_event(spark, job, run, "running", source).write.mode("append").parquet(jobs_path)
     try:
-        rows = accepted(stored(staged(keyed(load(spark, source, schema=schema)), RAW_RULES), "staged"))
+        if schema is not None and source_kind(source) == "csv":
+            rows = checked_cells(spark, source, schema, quarantine_path)
+        else:
+            rows = staged(normalize(load(spark, source)), RAW_RULES)
+        rows = with_customer_uuid(accepted(stored(rows, "staged")))
         batch = customer_records(keep_first(rows), run, F.current_timestamp())
         if current_version(spark, customers_path) is None:
             known = plain_table(spark, customers_path) if known_customers is None else known_customers

@@ -145,6 +145,43 @@ SELECT s.customer_uuid, CustomerId AS bank_customer_id, Surname AS surname,
 FROM snap s WHERE known = 1 OR Lapsed = 0"""
 add("upsert_customers", _UPSERT)
 add("stream_upserted", _UPSERT)
+add(
+    "ingestion_two_deliveries",
+    "SELECT customer_uuid, CustomerId AS bank_customer_id, Surname AS surname, CASE WHEN Lapsed = 0 THEN 2 ELSE 1 END AS delivery,"
+    " known = 1 AND Lapsed = 0 AS changed FROM snap WHERE known = 1 OR Lapsed = 0",
+)
+add(
+    "ingestion_log",
+    "SELECT 1 AS delivery, 'completed' AS status, count(*) AS rows_processed, CAST(NULL AS BOOLEAN) AS invalid FROM snap WHERE known = 1"
+    " UNION ALL SELECT 2, 'completed', count(*), NULL FROM snap WHERE Lapsed = 0"
+    " UNION ALL SELECT 3, 'failed', NULL, true",
+)
+# Cells that do not fit, and the text that stands in them.
+_SPOILED = {
+    "Age": ("HasCrCard = 0 AND CardType = 'Diamond'", "abc"),
+    "Balance": ("Gender = 'Female' AND NumOfProducts = 3", "12,5x"),
+    "NumOfProducts": ("Age > 85", "2.5"),
+}
+add(
+    "rejected_cells_report",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", 'type' AS \"check\", count(*) FILTER ({bad}) AS failures FROM snap" for c, (bad, _) in _SPOILED.items()
+    )
+    + ") WHERE failures > 0",
+)
+add(
+    "ingestion_quarantine",
+    " UNION ALL ".join(
+        f"SELECT CustomerId, '{c}' AS \"column\", '{text}' AS cell FROM snap WHERE {bad}" for c, (bad, text) in _SPOILED.items()
+    ),
+)
+_BAD = " OR ".join(f"({bad})" for bad, _ in _SPOILED.values())
+add(
+    "stream_rejected",
+    f"SELECT CustomerId, CASE WHEN {_BAD} THEN 'rejected' ELSE 'scored' END AS status, count(*) OVER () AS rows_seen,"
+    f" count(*) FILTER ({_BAD}) OVER () AS rows_rejected FROM snap",
+)
 add(
     "job_latest_state",
     "SELECT job_id, event_ts, run_id, status FROM (SELECT o_custkey AS job_id, o_orderdate AS event_ts,"
@@ -970,12 +1007,16 @@ _DAYS = (
     "SELECT strftime(ts, '%Y-%m-%d') AS start, count(*) AS n, avg(greatest(0::DOUBLE, least(1::DOUBLE, value / 100))) AS mean"
     " FROM events GROUP BY 1"
 )
-add("stream_mean_by_day", _DAYS, "", "mean")
-add(
-    "prediction_mean_by_day",
+_GRADED = (
     "SELECT start, n, mean, mean - base AS mean_shift, CASE WHEN abs(mean - base) >= 0.15::DOUBLE THEN 'critical'"
     " WHEN abs(mean - base) >= 0.1::DOUBLE THEN 'warning' ELSE 'info' END AS severity"
-    f" FROM ({_DAYS}), (SELECT avg(greatest(0::DOUBLE, least(1::DOUBLE, value / 100))) AS base FROM events)",
+    f" FROM ({_DAYS}), (SELECT avg(greatest(0::DOUBLE, least(1::DOUBLE, value / 100))) AS base FROM events)"
+)
+add("prediction_mean_by_day", _GRADED, "", "mean mean_shift")
+add(
+    "stream_mean_by_day",
+    f"SELECT *, (SELECT count(*) FROM events WHERE ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events)) AS late_rows,"
+    f" 0 AS open_buckets FROM ({_GRADED})",
     "",
     "mean mean_shift",
 )

@@ -7,6 +7,7 @@ rounded to six places, so that engines adding in another order agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,12 @@ from lapsewise.plans.snapshot import (
     dirty_customers,
     raw_customers,
     shifted_customers,
+    spoiled_customers,
 )
 from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA, load, query_files, read_csv, read_parquet, read_query
+from lapsewise.sources.rejects import REJECT_SCHEMA, text_cells
 from lapsewise.sources.scratch import scratch_dir, stored
+from lapsewise.sources.versions import create_version, read_version
 from lapsewise.sources.writers import (
     UPSERT_COLUMNS,
     as_document,
@@ -52,8 +56,15 @@ from lapsewise.sources.writers import (
     write_parquet,
     write_table,
 )
-from lapsewise.streaming.monitor import graded_shift, mean_by_window
-from lapsewise.streaming.scoring import deduplicated, read_customer_stream, score_stream, upsert_stream
+from lapsewise.streaming.monitor import graded_shift, late_rows, mean_by_window, monitor_stream, open_buckets
+from lapsewise.streaming.scoring import (
+    deduplicated,
+    observed,
+    quarantine_stream,
+    read_customer_stream,
+    score_stream,
+    upsert_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,6 +232,67 @@ def ingestion_job(spark, d):
     return spark.read.parquet(done.clean_path)
 
 
+def _three_deliveries(spark: SparkSession, d: str) -> tuple[str, str, str]:
+    """Customers known at the cut-off, those seen later, and a delivery with faults."""
+    base = scratch_dir(spark, "ingested")
+    raw = [raw_customers(snap(spark, d).where(c)) for c in ("known = 1", "Lapsed = 0")]
+    for i, rows in enumerate([*raw, dirty_customers(snap(spark, d))], 1):
+        write_csv(rows, f"{base}/delivery-{i}.csv")
+        try:
+            ingest(spark, f"{base}/delivery-{i}.csv", f"{base}/clean-{i}", f"{base}/customers", f"{base}/jobs", schema=RAW_CUSTOMER_SCHEMA)
+        except qu.ValidationError:
+            if i < 3:
+                raise
+    return base, f"{base}/customers", f"{base}/jobs"
+
+
+@query
+def ingestion_two_deliveries(spark, d):
+    """The customers table after two deliveries and a failed one: who came with which."""
+    _, customers, jobs = _three_deliveries(spark, d)
+    runs = latest_state(spark.read.parquet(jobs)).select(F.col("run_id").alias("ingestion_run_id"), F.regexp_extract("input_path", r"delivery-(\d)", 1).cast("int").alias("delivery"))
+    rows = read_version(spark, customers).join(F.broadcast(runs), "ingestion_run_id")
+    changed = (F.col("updated_at") > F.col("created_at")).alias("changed")
+    return rows.select("customer_uuid", "bank_customer_id", "surname", "delivery", changed)
+
+
+@query
+def ingestion_log(spark, d):
+    """What the log says of each job after it ended."""
+    _, _, jobs = _three_deliveries(spark, d)
+    return latest_state(spark.read.parquet(jobs)).select(
+        F.regexp_extract("input_path", r"delivery-(\d)", 1).cast("int").alias("delivery"),
+        "status",
+        "rows_processed",
+        F.col("error_message").startswith("validation failed").alias("invalid"),
+    )
+
+
+def _spoiled_file(spark: SparkSession, d: str) -> str:
+    path = scratch_dir(spark, "spoiled") + ".csv"
+    write_csv(spoiled_customers(snap(spark, d)), path)
+    return path
+
+
+@query
+def rejected_cells_report(spark, d):
+    """Failed checks of a delivery with cells that do not fit, counted from its text."""
+    cells = normalize(text_cells(spark, _spoiled_file(spark, d), RAW_CUSTOMER_SCHEMA))
+    return qu.validation_report(cells, qu.RAW_RULES).where("failures > 0")
+
+
+@query
+def ingestion_quarantine(spark, d):
+    """The cells that the ingestion job set aside."""
+    base = scratch_dir(spark, "ingested")
+    paths = [f"{base}/{n}" for n in ("clean", "customers", "jobs")]
+    ingest(spark, _spoiled_file(spark, d), *paths, schema=RAW_CUSTOMER_SCHEMA, quarantine_path=f"{base}/quarantine")
+    aside = spark.read.parquet(f"{base}/quarantine").select(
+        F.get_json_object("cells", "$.CustomerId").cast("long").alias("CustomerId"), F.explode("rejected").alias("r")
+    )
+    return aside.select("CustomerId", "r.column", "r.cell")
+
+
 # ---- projections and filters -------------------------------------------------
 
 
@@ -884,18 +956,35 @@ def stream_scored(spark, d):
     return spark.read.parquet(out)
 
 
+@query
+def stream_rejected(spark, d):
+    """Files with cells that do not fit: who is scored, who is set aside, and how many rows
+    the quarantine stream counted."""
+    incoming = _raw_files(spark, d, spoiled_customers(snap(spark, d)))
+    out, aside = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-aside")
+    score_stream(spark, incoming, _by_id_scorer, out, scratch_dir(spark, "stream-mark")).awaitTermination()
+    query = quarantine_stream(spark, incoming, aside, scratch_dir(spark, "stream-mark"))
+    query.awaitTermination()
+    seen = observed([query], "cells")
+    rejected = spark.read.schema(REJECT_SCHEMA).parquet(aside).select(F.get_json_object("cells", "$.CustomerId").cast("long").alias("CustomerId"), F.lit("rejected").alias("status"))
+    scored = spark.read.parquet(out).select("CustomerId", F.lit("scored").alias("status"))
+    counts = {"rows_seen": F.lit(seen.get("rows", 0)), "rows_rejected": F.lit(seen.get("rejected", 0))}
+    return scored.union(rejected).withColumns({k: v.cast("long") for k, v in counts.items()})
+
+
 @query
 def stream_upserted(spark, d):
+    """Customers seen later, in two streams: the second has a checkpoint of its own and goes
+    on from the version that the first one left."""
     known, batch = _known_and_batch(spark, d)
-    base, incoming = scratch_dir(spark, "versions"), scratch_dir(spark, "upserts")
-    known.write.parquet(f"{base}/version=0")
-    batch.repartition(2, "customer_uuid").write.parquet(incoming)
-    arriving = spark.readStream.schema(batch.schema).parquet(incoming)
-    done = upsert_stream(arriving, base, scratch_dir(spark, "stream-mark"), UPSERT_COLUMNS)
-    done.awaitTermination()
-    if done.lastProgress is None:
-        return spark.read.parquet(f"{base}/version=0").drop("raw_data")
-    return spark.read.parquet(f"{base}/version={done.lastProgress['batchId'] + 1}").drop("raw_data")
+    base = scratch_dir(spark, "versions")
+    create_version(known, base, "customer_uuid")
+    for name, half in (("first", "bank_customer_id % 2 = 0"), ("second", "bank_customer_id % 2 = 1")):
+        incoming = scratch_dir(spark, f"upserts-{name}")
+        batch.where(half).repartition(2, "customer_uuid").write.parquet(incoming)
+        arriving = spark.readStream.schema(batch.schema).parquet(incoming)
+        upsert_stream(arriving, base, scratch_dir(spark, "stream-mark"), UPSERT_COLUMNS).awaitTermination()
+    return read_version(spark, base).drop("raw_data")
 
 
 @query
@@ -924,12 +1013,22 @@ def prediction_mean_by_day(spark, d):
 
 @query
 def stream_mean_by_day(spark, d):
-    """The same buckets from a stream, written as they stand after the last batch."""
-    events = spark.read.parquet(f"{d}/events.parquet")
-    out, mark = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-mark")
-    source = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
-    buckets = mean_by_window(_event_scores(source), "ts", "p")
-    buckets.writeStream.outputMode("complete").foreachBatch(
-        lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    ).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    """Graded buckets from a stream in append mode. Events come in two deliveries, then those
+    of the first day once more, too late, and at last one that closes the open buckets."""
+    events = _event_scores(spark.read.parquet(f"{d}/events.parquet"))
+    ends = events.agg(F.min("ts"), F.max("ts"), F.avg("p")).first()
+    first_day, middle = ends[0].date() + timedelta(days=1), ends[0] + (ends[1] - ends[0]) / 2
+    until = ends[1] + timedelta(days=2)
+    closing = spark.range(1).select(F.lit(until + timedelta(days=2)).alias("ts"), F.lit(0.0).alias("p"))
+    deliveries = [events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle), events.where(F.col("ts") < F.lit(first_day)), closing]
+    incoming, out, mark = (scratch_dir(spark, f"stream-{n}") for n in ("in", "out", "mark"))
+    queries = []
+    for rows in deliveries:
+        rows.write.mode("append").parquet(incoming)
+        source = spark.readStream.schema(events.schema).parquet(incoming)
+        queries.append(monitor_stream(source, "ts", "p", ends[2], out, mark, until=until))
+        queries[-1].awaitTermination()
+    closed = spark.read.parquet(out)
+    late = late_rows(closed, observed(queries, "arrivals")["rows"])
+    closed = closed.crossJoin(late).withColumn("open_buckets", F.lit(open_buckets(queries[-1])))
+    return closed.withColumn("start", F.date_format("start", "yyyy-MM-dd"))

@@ -124,6 +124,22 @@ def dirty_customers(snapshot: DataFrame) -> DataFrame:
     return raw_customers(twice)
 
 
+def spoiled_customers(snapshot: DataFrame) -> DataFrame:
+    """The raw file as text with cells that do not fit their column: ages of Diamond
+    customers without a card, balances of women with three products, and half products of
+    customers past 85."""
+    rows = raw_customers(snapshot)
+    text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+    no_card, woman = (F.col("HasCrCard") == "0") & (F.col("`Card Type`") == "Diamond"), (F.col("Gender") == "Female") & (F.col("NumOfProducts") == "3")
+    return text.withColumns(
+        {
+            "NumOfProducts": F.when(F.col("Age").cast("int") > 85, "2.5").otherwise(F.col("NumOfProducts")),
+            "Balance": F.when(woman, "12,5x").otherwise(F.col("Balance")),
+            "Age": F.when(no_card, "abc").otherwise(F.col("Age")),
+        }
+    )
+
+
 def shifted_customers(snapshot: DataFrame) -> DataFrame:
     """The same customers after a change of mix, scored again: the current side of
     a drift check. Labels stay as they were."""

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lapsewise.config import DEFAULTS, KEY, REQUEST_FEATURES
 from lapsewise.functions.text import normalize
 from lapsewise.operators.quality import require_columns
-from lapsewise.sources.readers import CSV_FORMAT, RAW_CUSTOMER_SCHEMA
+from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA
+from lapsewise.sources.rejects import REJECTED, column_types, fitting, marked, set_aside, text_cells
 from lapsewise.sources.versions import merge_version, version_at
 
 
@@ -22,15 +25,47 @@ def read_customer_stream(
     schema: T.StructType = RAW_CUSTOMER_SCHEMA,
     files_per_trigger: int = DEFAULTS.csv_files_per_trigger,
 ) -> DataFrame:
-    """CSV files of a folder, each read once, a bounded number per micro-batch."""
+    """CSV files of a folder, each read once, a bounded number per micro-batch. Rows with
+    cells that do not fit are left out; ``quarantine_stream`` keeps them."""
+    types = column_types(schema)
+    return fitting(marked(text_cells(spark, path, schema, stream=True, maxFilesPerTrigger=files_per_trigger), types), types)
+
+
+def quarantine_stream(
+    spark: SparkSession,
+    in_dir: str,
+    out_dir: str,
+    checkpoint: str,
+    schema: T.StructType = RAW_CUSTOMER_SCHEMA,
+    files_per_trigger: int = DEFAULTS.csv_files_per_trigger,
+) -> StreamingQuery:
+    """Append the rows that ``read_customer_stream`` leaves out as Parquet, then stop.
+
+    ``observedMetrics["cells"]`` of its progress counts all rows and those set aside.
+    """
+    rows = marked(text_cells(spark, in_dir, schema, stream=True, maxFilesPerTrigger=files_per_trigger), column_types(schema))
+    seen = rows.observe("cells", F.count(F.lit(1)).alias("rows"), F.count_if(F.size(REJECTED) > 0).alias("rejected"))
     return (
-        spark.readStream.schema(schema)
-        .options(**CSV_FORMAT)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .csv(path)
+        set_aside(seen, in_dir)
+        .writeStream.format("parquet")
+        .option("path", out_dir)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
+def observed(queries: Iterable[StreamingQuery], name: str) -> dict[str, int]:
+    """Observed counts of some finished queries, added up over the batches that Spark
+    still remembers (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    totals: Counter[str] = Counter()
+    for query in queries:
+        for progress in query.recentProgress:
+            metrics = progress.observedMetrics.get(name)
+            totals.update(metrics.asDict() if metrics is not None else {})
+    return dict(totals)
+
+
 def prepare(stream: DataFrame, required: Sequence[str] = REQUEST_FEATURES, keep: Sequence[str] = ("CustomerId",)) -> DataFrame:
     """Normalised rows with the required features; missing headers are an error at start."""
     rows = normalize(stream)
