@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lapsewise.llm.common import keyed_text, small_batches
+from lapsewise.llm.common import keyed_text, release, small_batches
 from lapsewise.sources.scratch import scratch_dir
 
 PART_SCHEMA = "block long, part int, ids array<long>, counts binary, data binary, parts binary"
@@ -163,6 +163,8 @@ def encode_parts(parts: DataFrame, path: str) -> DataFrame:
                     tokens.append(ids)
                 out.append(pack_lists(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["of_block", "of_part", "tokens"])
+        known.clear()
+        release()
 
     return parts.mapInArrow(encode, "of_block long, of_part int, tokens binary")
 
@@ -200,6 +202,8 @@ def _assembler(path: str):
                 rows.append((key, int(size[here].sum()), sha, back))
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        del answers, coded, decoded, tokens, starts, ends
+        release()
         return pa.table({name: pa.array(c, t) for name, c, t in zip(names, list(zip(*rows)) or [()] * 4, types)})
 
     return assemble

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -11,13 +12,24 @@ from pyspark.sql import functions as F
 
 from lapsewise.sources.scratch import stored
 
-__all__ = ["stored", "column", "keyed_text", "table", "lower_ascii", "spans_digest", "count_of", "small_batches"]
+__all__ = ["stored", "column", "keyed_text", "table", "lower_ascii", "spans_digest", "count_of", "small_batches", "release"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text that one step inside a task handles at once; a longer text comes alone.
 BATCH_BYTES = 8 << 20
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker serves the tasks of many
+    stages, and would keep what the largest of them took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,3 +69,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -
         step = max(1, math.ceil(batch.num_rows / parts))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    release()

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.common import keyed_text, small_batches, stored
+from lapsewise.llm.common import keyed_text, release, small_batches, stored
 from lapsewise.llm.components import Sets, components
 from lapsewise.llm.hashing import Substrings, U, mix
 
@@ -154,6 +154,8 @@ def _keep_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
                 (columns["label"][i], key[0].as_py(), np.diff(ids[has], prepend=0).tobytes(), sizes[has].tobytes(), left[has].astype(np.uint32).tobytes(),
                  (t & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (t >> U(32)).astype(np.uint8).tobytes(), n[keep].astype(np.uint32).tobytes())
             )
+    del columns, tokens, every, where, counts, docs
+    release()
     types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
     names = ["label", "part", "ids", "sizes", "held", "tokens", "docs"]
     return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names=names)
