@@ -10,17 +10,17 @@ added to the running totals inside each block.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from os.path import commonprefix
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lapsewise.sources.scratch import stored
 
 # Distinct values one window task may hold before the list is split into blocks.
 VALUES_PER_BLOCK = 1 << 18
-# Bytes of a text key, after the start that all keys share, by which it is put in order.
-KEY_BYTES = 6
 
 
 def long_columns(
@@ -202,37 +202,6 @@ def points_quantiles(points: DataFrame, probs: Sequence[float], by: Sequence[str
     )
 
 
-def key_code(df: DataFrame, key: str) -> Column:
-    """A double that never decreases with the key.
-
-    Numbers and times are cast. Texts give the bytes after the start that the least and
-    the greatest key share; Spark orders texts by bytes, so the code does too. Other
-    types give 0.
-    """
-    kind, c = df.schema[key].dataType, F.col(key)
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return c.cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return c.cast("timestamp").cast("double")
-    if not isinstance(kind, T.StringType):
-        return F.lit(0.0)
-    ends = df.agg(F.min(F.encode(c, "UTF-8")).alias("low"), F.max(F.encode(c, "UTF-8")).alias("high")).first()
-    shared = len(commonprefix([bytes(ends["low"] or b""), bytes(ends["high"] or b"")]))
-    part = F.hex(F.substring(F.encode(c, "UTF-8"), shared + 1, KEY_BYTES))
-    return F.conv(F.rpad(part, 2 * KEY_BYTES, "0"), 16, 10).cast("double")
-
-
-def tie_blocks(df: DataFrame, key: str) -> DataFrame:
-    """Add ``_tb``, a block number that never decreases with the key, to split a large tie."""
-    df = df.withColumn("_key", key_code(df, key))
-    df, blocks = value_blocks(df, ["_key"])
-    return df.withColumn("_tb", blocks["_key"])
-
-
 def graded(df: DataFrame, score: str, digits: int | None = None) -> tuple[DataFrame, str]:
     """Add ``_s``, the score to order by, and say which block column goes with it.
 
@@ -244,31 +213,46 @@ def graded(df: DataFrame, score: str, digits: int | None = None) -> tuple[DataFr
     return df.withColumn("_b", blocks["_s"]), "_b"
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Rows with ``_place``, their number from 0 in the given order, written once.
+
+    Tasks take ranges of the whole order, so a value that a third of the rows share is
+    split wherever the further columns of the order differ. Spark samples the bounds of the
+    ranges; they only balance the work. A place is the rows of all ranges before, and the
+    rows before it in its own.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    task, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(task.alias("_task")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    # One row for each task that wrote.
+    before = counts.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), task == F.col("_task")).withColumn("_place", F.col("_before") + at)
+
+
 def positions(
     df: DataFrame, score: str, key: str, by: Sequence[str] = (), out: str = "position", digits: int | None = None
 ) -> DataFrame:
-    """Exact 1-based position by score descending, ties by key ascending.
+    """Exact 1-based position by score descending, ties by key ascending, in each group.
 
-    A tie of any size is spread over blocks of the key. Null scores are left out.
+    A tie of any size is spread over ranges of the key. Missing scores (null, NaN) are left
+    out. Rows equal in group, score and key stand next to each other in no set order.
     """
-    rows, block = graded(df.where(F.col(score).isNotNull()), score, digits)
-    rows = tie_blocks(rows, key)
-    at = [*by, block, "_s"]
-    blocks = rows.groupBy(*at, "_tb").agg(F.count("*").alias("_n"))
-    totals = blocks.groupBy(*at).agg(F.sum("_n").alias("_m"))
-    starts = running(totals, by, "_s", ["_m"], descending=True, block=block).select(
-        *at, (F.col("cum__m") - F.col("_m")).alias("_start")
-    )
-    in_tie = Window.partitionBy(*at).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocks.withColumn("_before", F.coalesce(F.sum("_n").over(in_tie), F.lit(0)))
-        .join(starts, at)
-        .select(*at, "_tb", (F.col("_start") + F.col("_before")).alias("_offset"))
-    )
-    local = Window.partitionBy(*at, "_tb").orderBy(key)
-    return (
-        rows.withColumn("_rn", F.row_number().over(local))
-        .join(offsets, [*at, "_tb"])
-        .withColumn(out, F.col("_offset") + F.col("_rn"))
-        .select(*df.columns, out)
-    )
+    value = F.col(score).cast("double")
+    rows = df.withColumn("_s", value if digits is None else F.round(value, digits)).where("_s is not null and not isnan(_s)")
+    placed = numbered(rows, [*by, F.desc("_s"), key])
+    if not by:
+        return placed.select(*df.columns, (F.col("_place") + 1).alias(out))
+    first = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_place").alias("_first"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return placed.join(first, same).select(*df.columns, (F.col("_place") - F.col("_first") + 1).alias(out))
+
+
+def score_bin(value: Column) -> Column:
+    """A whole number that never decreases with a finite or infinite score: its sign, the
+    power of two below it, and in 128 steps where it lies between that and the next."""
+    size = F.least(F.abs(value), F.lit(1.7976931348623157e308))
+    power = F.floor(F.log2(size))
+    steps = F.floor((power + 1076 + (size / F.pow(F.lit(2.0), power) - 1)) * 128)
+    return F.when(size > 0, steps * F.signum(value)).otherwise(0).cast("long")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULTS, KEY, SCORE
-from lapsewise.operators.ordered import graded, positions, running
+from lapsewise.operators.ordered import positions, score_bin
 
 
 def check_k(k: int | None, pct: float | None) -> None:
@@ -25,17 +25,22 @@ def resolve_k(n: Column, k: int | None = None, pct: float | None = None) -> Colu
     return F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(float(share)))).cast("long")
 
 
-def cut_score(df: DataFrame, score: str, k: int | None, pct: float | None, digits: int | None = None) -> DataFrame:
-    """One row: ``(cut, k, n)``, the score of the k-th row from the top."""
-    rows, block = graded(df.where(F.col(score).isNotNull()), score, digits)
-    points = rows.groupBy(block, "_s").agg(F.count("*").alias("n"))
-    run = running(points, [], "_s", ["n"], descending=True, block=block)
-    want = resolve_k(F.col("total_n"), k, pct)
-    return run.agg(
-        F.max(F.when(F.col("cum_n") >= want, F.col("_s"))).alias("cut"),
-        F.max(want).alias("k"),
-        F.max("total_n").alias("n"),
-    )
+def scored_rows(df: DataFrame, score: str, digits: int | None = None) -> tuple[DataFrame, Column]:
+    """Rows that have a score, and the score to order by."""
+    value = F.col(score).cast("double")
+    value = value if digits is None else F.round(value, digits)
+    return df.where(value.isNotNull() & ~F.isnan(value)), value
+
+
+def cut_bin(df: DataFrame, value: Column, k: int | None, pct: float | None) -> DataFrame:
+    """One row: ``(bin, k, n)``, the bin of the k-th score from the top. One pass that
+    counts scores by bin; tables of counts are added up as they are."""
+    bins = df.groupBy(score_bin(value).alias("bin")).agg(F.count("*").alias("n"))
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = bins.select("bin", F.sum("n").over(above).alias("up_to"), F.sum("n").over(every).alias("n"))
+    want = resolve_k(F.col("n"), k, pct)
+    return run.agg(F.max(F.when(F.col("up_to") >= want, F.col("bin"))).alias("bin"), F.max(want).alias("k"), F.max("n").alias("n"))
 
 
 def top_k(
@@ -49,23 +54,24 @@ def top_k(
 ) -> DataFrame:
     """The K highest scores with their rank 1..k, ties by key ascending; missing scores are left out.
 
-    One aggregate finds the K-th score; rows below it never reach the ranking shuffle,
-    and no task holds K rows.
+    A count by bins of the score finds the bin of the K-th; rows below it never reach the
+    ranking shuffle, and no task or driver holds K rows.
     """
     check_k(k, pct)
-    value = F.col(score) if digits is None else F.round(F.col(score), digits)
-    cut = cut_score(df, score, k, pct, digits).first()
-    above = df.where(value >= F.lit(cut["cut"]))
+    rows, value = scored_rows(df, score, digits)
+    cut = cut_bin(rows, value, k, pct).first()
+    above = rows.where(score_bin(value) >= F.lit(cut["bin"]))
     return positions(above, score, key, out=rank, digits=digits).where(F.col(rank) <= F.lit(cut["k"]))
 
 
 def score_summary(df: DataFrame, p: str = SCORE, level: str = "risk_level") -> DataFrame:
-    """One row: rows scored, rows per risk level, mean probability."""
+    """One row: rows, rows and share per risk level, mean probability."""
+    counts = {name: F.count_if(F.col(level) == name) for name in ("high", "medium", "low")}
+    rows = F.nullif(F.count("*"), F.lit(0))
     return df.agg(
         F.count("*").alias("total_customers"),
-        F.count_if(F.col(level) == "high").alias("high_risk"),
-        F.count_if(F.col(level) == "medium").alias("medium_risk"),
-        F.count_if(F.col(level) == "low").alias("low_risk"),
+        *[n.alias(f"{name}_risk") for name, n in counts.items()],
+        *[(n / rows).alias(f"{name}_share") for name, n in counts.items()],
         F.avg(p).alias("mean_probability"),
     )
 
@@ -73,10 +79,15 @@ def score_summary(df: DataFrame, p: str = SCORE, level: str = "risk_level") -> D
 def run_summary(
     df: DataFrame, p: str = SCORE, pct: float | None = None, threshold: float = DEFAULTS.high_risk_threshold
 ) -> DataFrame:
-    """One row: rows scored, size of the top-K list, mean probability, high-risk count."""
+    """One row: rows with a score, size of the top-K list and its real share of them, mean
+    probability, high-risk count. A list of no rows has size and share 0."""
+    df, _ = scored_rows(df, p)
+    n = F.count("*")
+    k = F.least(resolve_k(n, None, pct), n)
     return df.agg(
-        F.count("*").alias("total_scored"),
-        resolve_k(F.count("*"), None, pct).alias("top_k"),
+        n.alias("total_scored"),
+        k.alias("top_k"),
+        F.coalesce(k / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("top_share"),
         F.avg(p).alias("mean_probability"),
         F.count_if(F.col(p) >= threshold).alias("high_risk_count"),
     )

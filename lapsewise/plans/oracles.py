@@ -334,14 +334,16 @@ add(
     "risk_summary",
     "SELECT count(*) AS total_customers, count(*) FILTER (p >= 0.7::DOUBLE) AS high_risk,"
     " count(*) FILTER (p >= 0.4::DOUBLE AND p < 0.7::DOUBLE) AS medium_risk, count(*) FILTER (p < 0.4::DOUBLE) AS low_risk,"
-    " avg(p) AS mean_probability FROM snap",
-    doubles="mean_probability",
+    " avg(CAST(p >= 0.7::DOUBLE AS INTEGER)) AS high_share, avg(CAST(p >= 0.4::DOUBLE AND p < 0.7::DOUBLE AS INTEGER)) AS medium_share,"
+    " avg(CAST(p < 0.4::DOUBLE AS INTEGER)) AS low_share, avg(p) AS mean_probability FROM snap",
+    doubles="high_share medium_share low_share mean_probability",
 )
 add(
     "scoring_run_summary",
     "SELECT count(*) AS total_scored, CAST(greatest(1, floor(count(*) * 0.15::DOUBLE)) AS BIGINT) AS top_k,"
+    " greatest(1, floor(count(*) * 0.15::DOUBLE)) / count(*) AS top_share,"
     " avg(p) AS mean_probability, count(*) FILTER (p >= 0.7::DOUBLE) AS high_risk_count FROM snap",
-    doubles="mean_probability",
+    doubles="top_share mean_probability",
 )
 _ORDER = "row_number() OVER (ORDER BY p DESC, customer_uuid) AS r, count(*) OVER () AS n"
 add(

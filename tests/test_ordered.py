@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.operators import ordered
 from lapsewise.operators.ordered import positions, quantiles, running, value_points
-from lapsewise.operators.topk import top_k
+from lapsewise.operators.topk import run_summary, top_k
 
 
 @pytest.fixture(scope="module")
@@ -47,8 +47,7 @@ def test_running_totals_across_blocks(spark, skewed, descending):
 
 @pytest.mark.parametrize("digits", [6, None])
 @pytest.mark.parametrize("key", ["long", "string", "prefixed", "decimal", "double"])
-def test_positions_with_a_third_of_rows_tied(spark, skewed, digits, key, monkeypatch):
-    monkeypatch.setattr(ordered, "VALUES_PER_BLOCK", 50)
+def test_positions_with_a_third_of_rows_tied(spark, skewed, digits, key):
     df = spark.createDataFrame(skewed, "id long, g string, v double")
     # Ids far apart, so that a tie spreads over many key blocks.
     spread = {
@@ -59,7 +58,6 @@ def test_positions_with_a_third_of_rows_tied(spark, skewed, digits, key, monkeyp
         "double": F.col("id") / 7000,
     }
     rows = df.withColumn("k", spread[key])
-    assert ordered.tie_blocks(rows, "k").select("_tb").distinct().count() > 20
     out = positions(rows, "v", "k", ["g"], digits=digits).collect()
     for g in "ab":
         mine = sorted((r["position"], r["k"]) for r in out if r["g"] == g)
@@ -82,6 +80,37 @@ def test_top_k_cuts_inside_the_tie(spark, skewed, per_block, monkeypatch):
             top_k(df, "v", "id", **bad)
 
 
+def test_a_tie_is_split_whatever_its_keys(spark):
+    """A third of the rows share a score, under keys with a long common start and a stray one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 9000).alias("v"), F.concat(F.lit("CUSTOMER-2024-REGION-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("k"))
+        rows = rows.union(spark.createDataFrame([(0.5, "zz")], rows.schema))
+        placed = ordered.numbered(rows, [F.desc("v"), "k"])
+        sizes = [r["count"] for r in placed.where("v = 0.5").groupBy("_task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
+
+
+def test_bins_never_decrease_with_the_score(spark):
+    inf = float("inf")
+    values = sorted({s * m * 2.0**e for s in (-1, 1) for e in (-1074, -1022, -3, -1, 0, 1, 52, 1000) for m in (1.0, 1.0000001, 1.5, 1.9999999)} | {0.0, inf, -inf, 0.1, 0.3})
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered.score_bin(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) > 40
+
+
+def test_missing_scores_and_summary(spark):
+    rows = [("a", 0.9), ("b", float("nan")), ("c", None), ("d", 0.2)]
+    df = spark.createDataFrame(rows, "k string, p double")
+    listed = top_k(df, "p", "k", pct=0.5).collect()
+    summary = run_summary(df, "p", 0.5).first()
+    assert [r["k"] for r in listed] == ["a"]
+    assert (summary["total_scored"], summary["top_k"], summary["top_share"]) == (2, 1, 0.5)
+    none = run_summary(df.where("p > 1"), "p", 0.5).first()
+    assert (none["total_scored"], none["top_k"], none["top_share"]) == (0, 0, 0.0)
+
+
 def test_no_single_task_over_rows(spark, customers, monkeypatch):
     """Ranking a large table gathers no row-level data in one partition."""
     monkeypatch.setattr(ordered, "VALUES_PER_BLOCK", 10)
