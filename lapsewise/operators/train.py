@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +21,7 @@ from lapsewise.config import DEFAULTS, KEY, LABEL, SCORE, Settings
 from lapsewise.functions.scoring import add_predictions
 from lapsewise.operators.evaluate import all_metrics, joint_objective
 from lapsewise.operators.preprocess import build_preprocessor, feature_names
+from lapsewise.operators.search import Trial, search
 from lapsewise.operators.split import class_weights
 
 # Default parameters of the boosted trees.
@@ -50,7 +52,8 @@ OUTPUTS = (SCORE, "prediction", "risk_level", "rawPrediction")
 def boosted_trees(params: dict | None = None, seed: int = DEFAULTS.seed) -> GBTClassifier:
     """Gradient-boosted trees; training stops early on the validation rows.
 
-    ``gamma`` and ``min_child_weight`` map to the closest tree settings Spark has.
+    ``min_child_weight`` is the least number of rows of a leaf. ``gamma`` has no
+    counterpart: Spark's least gain of a split is relative to the rows of its node.
     """
     p = {**DEFAULT_PARAMS, **(params or {})}
     return GBTClassifier(
@@ -62,7 +65,6 @@ def boosted_trees(params: dict | None = None, seed: int = DEFAULTS.seed) -> GBTC
         subsamplingRate=p["subsample"],
         featureSubsetStrategy=str(p["colsample"]),
         minInstancesPerNode=int(p["min_child_weight"]),
-        minInfoGain=p["gamma"] / 1000,
         validationIndicatorCol=_VALIDATION,
         seed=seed,
     )
@@ -136,6 +138,30 @@ def sample_params(n: int, seed: int = DEFAULTS.seed, space: dict = SEARCH_SPACE)
     return out
 
 
+@contextmanager
+def _trials(split: DataFrame, feature_engineering: bool, make) -> Iterator[Callable[[dict], dict]]:
+    """A function that fits one parameter set and grades it on the validation rows.
+
+    Preprocessing is fitted once and the prepared rows are written, since every fit reads
+    them again.
+    """
+    train = split.where(F.col("split") == "train")
+    prep = build_preprocessor(feature_engineering).fit(train)
+    rows = prep.transform(split.where(F.col("split") != "test").withColumn(_VALIDATION, F.col("split") == "val"))
+    rows = rows.select(KEY, "features", LABEL, "split", _VALIDATION).persist()
+
+    def trial(params: dict) -> dict:
+        model = make(params).fit(rows)
+        scored = model.transform(rows.where(F.col("split") == "val")).withColumn("p1", vector_to_array("probability")[1])
+        graded = joint_objective(all_metrics(scored, LABEL, "p1", KEY)).select("objective", "pr_auc", "top_recall_at_k").first()
+        return {"params": params, **graded.asDict()}
+
+    try:
+        yield trial
+    finally:
+        rows.unpersist()
+
+
 def tune(
     split: DataFrame,
     grid: Sequence[dict],
@@ -144,40 +170,38 @@ def tune(
     make=boosted_trees,
 ) -> list[dict]:
     """Fit one model per parameter set and rank them by the joint objective on the
-    fixed validation rows. Failed fits are left out; if all fail that is an error.
-
-    Preprocessing is fitted once and the prepared rows are kept, since every fit
-    reads them again.
-    """
-    train = split.where(F.col("split") == "train")
-    prep = build_preprocessor(feature_engineering).fit(train)
-    rows = prep.transform(split.where(F.col("split") != "test").withColumn(_VALIDATION, F.col("split") == "val"))
-    rows = rows.select(KEY, "features", LABEL, "split", _VALIDATION).persist()
+    fixed validation rows. Failed fits are left out; if all fail that is an error."""
     failures: list[Exception] = []
 
-    def trial(params: dict) -> dict | None:
+    def tried(params: dict) -> dict | None:
         try:
-            model = make(params).fit(rows)
-            scored = model.transform(rows.where(F.col("split") == "val")).withColumn(
-                "p1", vector_to_array("probability")[1]
-            )
-            best = joint_objective(all_metrics(scored, LABEL, "p1", KEY)).select("objective", "pr_auc", "top_recall_at_k").first()
-            return {"params": params, **best.asDict()}
+            return trial(params)
         except Exception as error:  # a bad parameter set must not end the search
             failures.append(error)
             return None
 
-    try:
-        with ThreadPool(parallelism) as pool:
-            done = [r for r in pool.map(trial, grid) if r is not None]
-    finally:
-        rows.unpersist()
+    with _trials(split, feature_engineering, make) as trial, ThreadPool(parallelism) as pool:
+        done = [r for r in pool.map(tried, grid) if r is not None]
     if not done:
         raise RuntimeError("every trial failed") from (failures[0] if failures else None)
     # A trial without a value, as where no row is positive, comes last.
     return sorted(done, key=lambda r: (r["objective"] is None, -(r["objective"] or 0.0)))
 
 
+def optimize(
+    split: DataFrame,
+    n_trials: int,
+    space: dict = SEARCH_SPACE,
+    seed: int = DEFAULTS.seed,
+    feature_engineering: bool = True,
+    parallelism: int = 1,
+    make=boosted_trees,
+) -> list[Trial]:
+    """All trials of a sequential search for the best joint objective on the validation rows."""
+    with _trials(split, feature_engineering, make) as trial:
+        return search(lambda params: trial(params)["objective"], space, n_trials, seed, _LOG_SCALE, parallelism)
+
+
 class RankingEvaluator(Evaluator):
     """Grades a model's predictions by one of our metrics, for Spark's own search:
     ``average_precision``, ``pr_auc`` or ``objective``."""

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from lapsewise.config import DEFAULTS, Settings
 from lapsewise.operators.quality import TRAINING_RULES, class_balance, missing_share, validate
 from lapsewise.operators.split import stratified_split
+from lapsewise.operators.search import best_trial, trials_table
 from lapsewise.operators.train import (
+    SEARCH_SPACE,
     boosted_trees,
     evaluate_splits,
     feature_importance,
     fit,
-    sample_params,
+    optimize,
     training_summary,
-    tune,
 )
 from lapsewise.plans.monitoring import Monitoring
 from lapsewise.sources.scratch import stored
@@ -31,6 +32,7 @@ class Trained:
     metrics: DataFrame
     importance: DataFrame
     summary: DataFrame
+    trials: DataFrame
 
 
 def check_training_data(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -52,7 +54,7 @@ def train_churn_model(
     n_trials: int = 50,
     baseline_params: dict | None = None,
     space: dict | None = None,
-    parallelism: int = 2,
+    parallelism: int = 1,
     settings: Settings = DEFAULTS,
 ) -> Trained:
     """Validated rows in, tuned model and its metrics out."""
@@ -62,12 +64,12 @@ def train_churn_model(
         stratified_split(rows, test=settings.test_size, val=settings.val_size, seed=settings.seed), "split"
     )
     baseline = fit(split, boosted_trees(baseline_params, settings.seed))
-    grid = sample_params(n_trials, settings.seed, space) if space else sample_params(n_trials, settings.seed)
-    best = tune(split, grid, parallelism=parallelism)[0]["params"]
+    trials = optimize(split, n_trials, space or SEARCH_SPACE, settings.seed, parallelism=parallelism)
+    best = best_trial(trials).params
     model = fit(split, boosted_trees(best, settings.seed))
     before, after = (stored(evaluate_splits(m, split), "metrics") for m in (baseline, model))
     importance = feature_importance(model, spark)
-    return Trained(model, best, after, importance, training_summary(before, after, importance))
+    return Trained(model, best, after, importance, training_summary(before, after, importance), trials_table(spark, trials))
 
 
 def retrain_if_needed(result: Monitoring, train: Callable[[], Trained]) -> Trained | None:
