@@ -18,6 +18,9 @@ from lapsewise.config import (
     NUMERIC_FEATURES,
 )
 from lapsewise.functions.features import add_features
+from lapsewise.operators.lookup import attach
+from lapsewise.operators.ordered import numbered
+from lapsewise.sources.scratch import stored
 
 
 class CustomerFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -57,10 +60,35 @@ def one_hot(df: DataFrame, categories: dict[str, Sequence[str]], drop_first: boo
     return df.withColumns(out)
 
 
+def category_slots(train: DataFrame, column: str) -> DataFrame:
+    """``(value, slot)``: the distinct values of a column in order, numbered from 0. A table
+    of any length; nulls have no slot."""
+    values = train.select(F.col(f"`{column}`").alias("value")).where("value is not null").distinct()
+    return numbered(values, ["value"]).select("value", F.col("_place").alias("slot"))
+
+
+def one_hot_vectors(df: DataFrame, column: str, slots: DataFrame, out: str) -> DataFrame:
+    """A sparse 0/1 vector of the slots instead of a column each, for any number of
+    categories; unknown or null gives zeros.
+
+    The slots come by a lookup: sent to every task while they are few, else an ordinary
+    join, whose skewed keys Spark splits.
+    """
+    slots = stored(slots, "slots")
+    size = slots.count()
+    known = attach(df, slots.select(F.col("value").alias(column), F.col("slot").alias("_slot")), column, "left")
+    known = known.withColumn("_slot", F.coalesce("_slot", F.lit(size)).cast("double"))
+    # The last category, that of unknown values, is the one the encoder drops.
+    ends = df.sparkSession.range(1).select(F.lit(float(size)).alias("_slot"))
+    coder = OneHotEncoder(inputCols=["_slot"], outputCols=[out], dropLast=True).fit(ends)
+    return coder.transform(known).select(*[f"`{c}`" for c in df.columns], out)
+
+
 def fitted_categories(train: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct values of low-cardinality columns.
+    """Sorted distinct values of columns that are to become a column each.
 
-    A column with more than ``limit`` values is refused rather than collected.
+    More than ``limit`` values are refused, as they would be as many columns;
+    ``one_hot_vectors`` takes any number.
     """
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
     long = train.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("value IS NOT NULL")

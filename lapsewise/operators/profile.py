@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.config import LABEL
+from lapsewise.operators.gram import matrix
 from lapsewise.operators.lookup import held_if_small
 from lapsewise.operators.ordered import long_columns, quantiles, running, value_points
 from lapsewise.operators.quality import columns_of_type
@@ -176,27 +176,16 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return out.select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def _pairs(df: DataFrame, columns: Sequence[str], measure, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Symmetric matrix in long form from one aggregate over the column pairs."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    row = df.groupBy(*by).agg(*[measure(F.col(a), F.col(b)).alias(f"m{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.col(f"m{i}").alias(name))
-        for i, pair in enumerate(pairs)
-        for r, c in dict.fromkeys((pair, pair[::-1]))
-    ]
-    return _rows(row, cells, by)
-
-
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(*by, row, column, correlation)``; each pair over the rows where both are present.
     A constant column has no correlation, not even with itself."""
-    return _pairs(df, columns, F.corr, "correlation", by)
+    spread = F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy"))
+    return matrix(df, columns, F.when((F.col("cxx") > 0) & (F.col("cyy") > 0), F.col("cxy") / spread), "correlation", by)
 
 
 def cov_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, row, column, covariance)``, sample covariance."""
-    return _pairs(df, columns, F.covar_samp, "covariance", by)
+    """``(*by, row, column, covariance)``, sample covariance; null below two rows."""
+    return matrix(df, columns, F.when(F.col("n") > 1, F.col("cxy") / (F.col("n") - 1)), "covariance", by)
 
 
 def target_correlation(df: DataFrame, label: str = LABEL, n: int = 15, columns: Sequence[str] | None = None) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from lapsewise.config import DEFAULTS, KEY, LABEL
 from lapsewise.operators.lookup import attach
 from lapsewise.operators.ordered import running
+from lapsewise.sources.scratch import stored
 
 
-MAX_CLASSES = 100
-
 
 def draw(key: str, seed: int) -> Column:
     """Repeatable uniform draw of a row: a hash of key and seed."""
@@ -53,30 +52,6 @@ def split_cuts(
     )
 
 
-def fit_split(
-    df: DataFrame,
-    label: str = LABEL,
-    key: str = KEY,
-    test: float = DEFAULTS.test_size,
-    val: float = DEFAULTS.val_size,
-    seed: int = DEFAULTS.seed,
-) -> Column:
-    """The split as a rule over a row's label and key: two hashes per class.
-
-    A label with more than ``MAX_CLASSES`` values is not a class and is refused.
-    """
-    cuts = split_cuts(df, label, key, test, val, seed).limit(MAX_CLASSES + 1).collect()
-    if len(cuts) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
-    h = draw(key, seed)
-    rule = F.lit(None).cast("string")
-    for row in cuts:
-        test_cut = row["test_cut"] or ""
-        part = F.when(h <= test_cut, "test").when(h <= (row["val_cut"] or test_cut), "val").otherwise("train")
-        rule = F.when(F.col(label) == row[label], part).otherwise(rule)
-    return rule
-
-
 def stratified_split(
     df: DataFrame,
     label: str = LABEL,
@@ -89,10 +64,16 @@ def stratified_split(
     ``ceil(val * rest)`` of validation, the rest train. Keys are unique; rows
     without a label are left out.
 
-    Rows are only compared with the two hashes of their class: nothing is shuffled.
+    Rows are compared with the two hashes of their class, which a lookup brings: while the
+    classes are few enough to be sent to every task, nothing is shuffled.
     """
-    rule = fit_split(df, label, key, test, val, seed)
-    return df.where(F.col(label).isNotNull()).withColumn("split", rule)
+    cuts = split_cuts(df, label, key, test, val, seed).select(
+        label, F.coalesce("test_cut", F.lit("")).alias("_test"), F.coalesce("val_cut", "test_cut", F.lit("")).alias("_val")
+    )
+    rows = attach(df.where(F.col(label).isNotNull()), stored(cuts, "cuts"), label)
+    h = draw(key, seed)
+    part = F.when(h <= F.col("_test"), "test").when(h <= F.col("_val"), "val").otherwise("train")
+    return rows.select(*[f"`{c}`" for c in df.columns], part.alias("split"))
 
 
 def class_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:

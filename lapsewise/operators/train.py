@@ -8,9 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from lapsewise.config import DEFAULTS, KEY, LABEL, SCORE, Settings
 from lapsewise.functions.scoring import add_predictions
 from lapsewise.operators.evaluate import all_metrics, joint_objective
+from lapsewise.operators.logistic import Logistic, fit_logistic
 from lapsewise.operators.preprocess import build_preprocessor, feature_names
 from lapsewise.operators.search import Trial, search
 from lapsewise.operators.split import class_weights
@@ -50,7 +50,8 @@ OUTPUTS = (SCORE, "prediction", "risk_level", "rawPrediction")
 
 
 def boosted_trees(params: dict | None = None, seed: int = DEFAULTS.seed) -> GBTClassifier:
-    """Gradient-boosted trees; training stops early on the validation rows.
+    """Gradient-boosted trees; training stops once another tree makes the
+    error of the validation rows larger.
 
     ``min_child_weight`` is the least number of rows of a leaf. ``gamma`` has no
     counterpart: Spark's least gain of a split is relative to the rows of its node.
@@ -66,6 +67,7 @@ def boosted_trees(params: dict | None = None, seed: int = DEFAULTS.seed) -> GBTC
         featureSubsetStrategy=str(p["colsample"]),
         minInstancesPerNode=int(p["min_child_weight"]),
         validationIndicatorCol=_VALIDATION,
+        validationTol=0.0,
         seed=seed,
     )
 
@@ -258,14 +260,9 @@ def cross_validate(
 FOREST_GRID = {"numTrees": (200, 400, 600), "maxDepth": (6, 10, 30), "featureSubsetStrategy": ("auto", "sqrt")}
 
 
-def conditional_model(df: DataFrame, label: str = LABEL) -> PipelineModel:
-    """Logistic regression of the label on standardised age and balance, nulls as 0."""
-    filled = df.select("Age", "Balance", label).fillna(0.0, subset=["Age", "Balance"])
-    stages = [
-        VectorAssembler(inputCols=["Age", "Balance"], outputCol="features"),
-        LogisticRegression(labelCol=label, standardization=True, maxIter=200),
-    ]
-    return Pipeline(stages=stages).fit(filled)
+def conditional_model(df: DataFrame, label: str = LABEL) -> Logistic:
+    """Logistic regression of the label on age and balance, nulls as 0."""
+    return fit_logistic(df, ["Age", "Balance"], label)
 
 
 def training_summary(baseline: DataFrame, tuned: DataFrame, importance: DataFrame | None = None, n: int = 5) -> DataFrame:

@@ -558,15 +558,20 @@ add(
 )
 
 
-def _pair_rows(columns: list[str], f: str, out: str) -> str:
+def _pair_rows(columns: list[str], f: str, out: str, source: str = "snap") -> str:
     cells = ", ".join(f"{f}({a}::DOUBLE, {b}::DOUBLE) AS \"{a}|{b}\"" for i, a in enumerate(columns) for b in columns[i:])
     rows = [(a, b, f"{a}|{b}" if i <= j else f"{b}|{a}") for i, a in enumerate(columns) for j, b in enumerate(columns)]
     body = " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", \"{c}\" AS {out} FROM pairs" for a, b, c in rows)
-    return f"SELECT * FROM (WITH pairs AS (SELECT {cells} FROM snap) {body})"
+    return f"SELECT * FROM (WITH pairs AS (SELECT {cells} FROM {source}) {body})"
 
 
 add("corr_matrix", _pair_rows(NUMERIC, "corr", "correlation"), doubles="correlation")
-add("cov_matrix", _pair_rows(["CreditScore", "Age", "Tenure", "PointEarned"], "covar_samp", "covariance"), doubles="covariance")
+# Money in thousands, so that six places are within the digits of a double.
+add(
+    "cov_matrix",
+    _pair_rows(NUMERIC, "covar_samp", "covariance", "(SELECT * REPLACE (Balance / 1000 AS Balance, EstimatedSalary / 1000 AS EstimatedSalary) FROM snap)"),
+    doubles="covariance",
+)
 _SNAP_COLS = (
     "RowNumber CustomerId Surname CreditScore Geography Gender Age Tenure Balance NumOfProducts HasCrCard"
     " IsActiveMember EstimatedSalary PointEarned CardType Lapsed Exited customer_uuid"
@@ -1022,3 +1027,47 @@ add(
     "",
     "mean mean_shift",
 )
+
+
+# ---- models
+def _newton(source: str, key: str, y: str, a: str, b: str, steps: int = 9) -> str:
+    """Logistic regression on two standardised features: Newton steps, each one aggregate
+    and a 3 x 3 system solved by its cofactors."""
+    ctes = [
+        f"raw_xy AS (SELECT {key}, {y} AS y, coalesce({a}, 0)::DOUBLE AS a, coalesce({b}, 0)::DOUBLE AS b FROM {source})",
+        "z AS MATERIALIZED (SELECT * REPLACE ((a - ma) / sa AS a, (b - mb) / sb AS b) FROM raw_xy,"
+        " (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM raw_xy))",
+        "b0 AS (SELECT 0::DOUBLE AS c0, 0::DOUBLE AS c1, 0::DOUBLE AS c2)",
+    ]
+    for i in range(1, steps + 1):
+        ctes.append(
+            f"s{i} AS (SELECT any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2, sum(y - p) AS g0, sum((y - p) * a) AS g1,"
+            " sum((y - p) * b) AS g2, sum(w) AS h00, sum(w * a) AS h01, sum(w * b) AS h02, sum(w * a * a) AS h11, sum(w * a * b) AS h12,"
+            f" sum(w * b * b) AS h22 FROM (SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-(c0 + c1 * a + c2 * b))) AS p FROM z, b{i - 1})))"
+        )
+        ctes.append(
+            f"b{i} AS MATERIALIZED (SELECT c0 + (k00 * g0 + k01 * g1 + k02 * g2) / d AS c0, c1 + (k01 * g0 + k11 * g1 + k12 * g2) / d AS c1,"
+            " c2 + (k02 * g0 + k12 * g1 + k22 * g2) / d AS c2 FROM (SELECT *, h00 * k00 + h01 * k01 + h02 * k02 AS d FROM (SELECT *,"
+            " h11 * h22 - h12 * h12 AS k00, h02 * h12 - h01 * h22 AS k01, h01 * h12 - h02 * h11 AS k02, h00 * h22 - h02 * h02 AS k11,"
+            f" h01 * h02 - h00 * h12 AS k12, h00 * h11 - h01 * h01 AS k22 FROM s{i})))"
+        )
+    return ",\n".join(ctes)
+
+
+add(
+    "conditional_churn",
+    "SELECT RowNumber, 1 / (1 + exp(-(c0 + c1 * a + c2 * b))) AS probability FROM z, b9",
+    f"{DIRTY},\n{_newton('dirty', 'RowNumber', 'Exited', 'Age', 'Balance')}",
+    "probability",
+)
+add(
+    "stratified_split_by_score",
+    "SELECT customer_uuid, CreditScore, split FROM split",
+    SPLIT.replace("PARTITION BY Exited", "PARTITION BY CreditScore"),
+)
+add(
+    "one_hot_surnames",
+    "SELECT customer_uuid, CASE WHEN known = 1 THEN s.slot END AS slot, n.size AS size FROM snap LEFT JOIN"
+    " (SELECT Surname, row_number() OVER (ORDER BY Surname) - 1 AS slot FROM (SELECT DISTINCT Surname FROM snap WHERE known = 1)) s USING (Surname),"
+    " (SELECT count(DISTINCT Surname) AS size FROM snap WHERE known = 1) n",
+)

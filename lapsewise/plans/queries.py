@@ -636,7 +636,8 @@ def corr_matrix(spark, d):
 
 @query
 def cov_matrix(spark, d):
-    return pr.cov_matrix(snap(spark, d), ["CreditScore", "Age", "Tenure", "PointEarned"])
+    rows = snap(spark, d)
+    return pr.cov_matrix(rows.withColumns({c: F.col(c) / 1000 for c in ("Balance", "EstimatedSalary")}), DRIFT_NUMERIC)
 
 
 @query
@@ -831,6 +832,24 @@ def stratified_split(spark, d):
     return sp.stratified_split(held(spark, d, "Exited")).select("customer_uuid", "Exited", "split")
 
 
+@query
+def stratified_split_by_score(spark, d):
+    """Hundreds of classes: one for each credit score."""
+    return sp.stratified_split(held(spark, d, "CreditScore"), label="CreditScore").select("customer_uuid", "CreditScore", "split")
+
+
+@query
+def one_hot_surnames(spark, d):
+    """As many categories as known customers have names, as sparse vectors: the slot of each
+    customer's name (null where it is unknown) and the size of the vector."""
+    rows = stored(snap(spark, d).select("customer_uuid", "Surname", "known"), "held")
+    coded = pp.one_hot_vectors(rows, "Surname", pp.category_slots(rows.where("known = 1"), "Surname"), "vector")
+    text = F.col("vector").cast("string")
+    slot = F.regexp_extract(text, r"^\((\d+),\[(\d+)\]", 2)
+    size = F.regexp_extract(text, r"^\((\d+),", 1).cast("long")
+    return coded.select("customer_uuid", F.when(slot != "", slot.cast("long")).alias("slot"), size.alias("size"))
+
+
 @query
 def scaled_features(spark, d):
     cols = ["CreditScore", "Age", "Balance"]
@@ -929,10 +948,8 @@ def tree_contributions(spark, d):
 
 @query
 def conditional_churn(spark, d):
-    rows = dirty(spark, d)
-    return tr.predict(tr.conditional_model(rows), rows.fillna(0.0, subset=["Age", "Balance"])).select(
-        "RowNumber", "probability"
-    )
+    rows = stored(dirty(spark, d).select("RowNumber", "Age", "Balance", "Exited"), "held")
+    return rows.select("RowNumber", tr.conditional_model(rows).probability().alias("probability"))
 
 
 # ---- streaming ---------------------------------------------------------------

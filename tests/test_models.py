@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lapsewise.functions.scoring import RISK_WEIGHTS, risk_logit
 from lapsewise.operators.explain import ACTIONS, NO_ACTION, linear_contributions, recommend, tree_contributions
-from lapsewise.operators.preprocess import build_preprocessor, feature_names, fitted_categories, one_hot, scale, scale_stats
+from lapsewise.operators.logistic import fit_logistic
+from lapsewise.operators.preprocess import build_preprocessor, category_slots, feature_names, fitted_categories, one_hot, one_hot_vectors, scale, scale_stats
 from lapsewise.operators.split import class_weights, positive_weight, stratified_split
 from lapsewise.operators.train import (
     boosted_trees,
@@ -153,7 +154,36 @@ def test_cross_validation(split_rows):
 
 
 def test_conditional_model(customers):
-    assert predict(conditional_model(customers), customers).count() == customers.count()
+    model = conditional_model(customers)
+    p = model.probability()
+    # At the optimum the residuals add up to nothing, also weighted by each feature.
+    sums = customers.agg(*[F.sum((F.col("Exited") - p) * x).alias(n) for n, x in (("one", F.lit(1.0)), ("age", F.col("Age")), ("balance", F.col("Balance")))]).first()
+    assert max(abs(sums["one"]), abs(sums["age"]) / 100, abs(sums["balance"]) / 1e5) < 1e-6
+
+
+def test_logistic_weights_and_limits(spark):
+    rows = [(0.0, 1, 2.0), (0.0, 0, 1.0), (1.0, 1, 1.0), (1.0, 0, 3.0), (None, 0, 1.0), (1.0, None, 1.0), (1.0, 1, None)]
+    df = spark.createDataFrame(rows, "x double, y int, w double").withColumn("same", F.lit(4.0))
+    model = fit_logistic(df, ["x", "same"], "y", "w")
+    # A saturated model gives the weighted shares of each value.
+    got = {r["x"]: r["p"] for r in df.where("x is not null").select("x", model.probability().alias("p")).collect()}
+    assert got[0.0] == pytest.approx(0.5) and got[1.0] == pytest.approx(0.25) and model.coefficients[1] == 0.0
+    with pytest.raises(ValueError, match="both classes"):
+        fit_logistic(df.where("y = 1"), ["x"], "y")
+    with pytest.raises(ValueError, match="part the classes"):
+        fit_logistic(spark.createDataFrame([(float(i), int(i > 3)) for i in range(8)], "x double, y int"), ["x"], "y")
+
+
+def test_many_classes_and_categories(spark):
+    rows = spark.range(30_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 10_000).alias("c"), F.concat(F.lit("v"), F.lpad((F.col("id") % 10_001).cast("string"), 5, "0")).alias("v"))
+    sizes = stratified_split(rows, "c", "k", 0.3, 0.3).groupBy("c").pivot("split", ["test", "val", "train"]).count().drop("c").distinct().collect()
+    assert [tuple(r) for r in sizes] == [(1, 1, 1)]
+    slots = category_slots(rows, "v")
+    coded = one_hot_vectors(rows.union(spark.createDataFrame([("x", 1, "new"), ("y", 1, None)], rows.schema)), "v", slots, "vector")
+    assert coded.where("vector is null").count() == 0
+    some = {r["v"]: r["vector"] for r in coded.where("k in ('0', '10000', 'x', 'y')").collect()}
+    assert some["v00000"].size == 10_001 and list(some["v00000"].indices) == [0] and list(some["v10000"].indices) == [10_000]
+    assert some["new"].numNonzeros() == some[None].numNonzeros() == 0
 
 
 def test_training_flow(customers):

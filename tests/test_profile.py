@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +76,22 @@ def test_histogram_closes_the_last_bin(spark):
 def test_crosstab_shares(small):
     out = {r["g"]: (r["Exited_0"], r["Exited_1"]) for r in pr.crosstab(small, F.col("g"), "g", normalize=True).collect()}
     assert out == {"a": (0.5, 0.5), "b": (0.0, 1.0), "c": (1.0, 0.0)}
+
+
+def test_matrices_of_many_columns_with_gaps(spark):
+    """200 columns, values far from 0, missing cells, groups; against numpy by pair."""
+    rnd = np.random.default_rng(3)
+    base = 1e6 + rnd.standard_normal((60, 200)).cumsum(axis=1)
+    base[rnd.random(base.shape) < 0.1] = np.nan
+    cols = [f"c{i}" for i in range(200)]
+    rows = [("ab"[i % 2], *[None if math.isnan(v) else float(v) for v in r]) for i, r in enumerate(base)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r["g"], r["row"], r["column"]): r["covariance"] for r in pr.cov_matrix(df, cols, ["g"]).collect()}
+    assert len(got) == 2 * 200 * 200
+    for g, i, j in [("a", 0, 0), ("a", 3, 150), ("b", 199, 7), ("b", 20, 21)]:
+        x, y = (base["ab".index(g) :: 2, k] for k in (i, j))
+        both = ~np.isnan(x) & ~np.isnan(y)
+        assert got[g, f"c{i}", f"c{j}"] == pytest.approx(np.cov(x[both], y[both])[0, 1], rel=1e-6)
+    assert pr.corr_matrix(df.where("g = 'none'"), cols[:2]).collect() == []
+    one = pr.cov_matrix(df.limit(1).select(F.lit(1.0).alias("a"), F.lit(None).cast("double").alias("b")), ["a", "b"]).collect()
+    assert {(r["row"], r["column"]): r["covariance"] for r in one} == {(a, b): None for a in "ab" for b in "ab"}
