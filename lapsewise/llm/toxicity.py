@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.common import column, keyed_text, small_batches
+from lapsewise.llm.common import column, keyed_text, small_batches, stored
 from lapsewise.llm.hashing import U, mix
 
 WORD = re.compile(r"[^\W_]+")
@@ -252,15 +252,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """
     marks = labels.select(column(key).cast("long").alias("id"), column(label).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    known = keyed_text(docs, key, text).where(F.col("text").rlike(r"[^\W_]")).join(marks, "id")
+    usable = F.col("text").rlike(r"[^\W_]")
+    rows = keyed_text(docs, key, text).where("id is not null")
+    # Keys are chosen first; texts are only moved for those. Of a repeated key the last text counts.
+    known = rows.where(usable).select("id", (F.char_length("text") <= FIT_CHARS).alias("fits")).groupBy("id").agg(F.bool_and("fits").alias("fits"))
+    known = stored(known.join(marks, "id"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts, toxic = [], []
-    for kind in (0, 1):
-        some = known.where((F.col("toxic") == kind) & (F.char_length("text") <= FIT_CHARS))
-        rows = some.orderBy(F.xxhash64("id"), "id", "text").select("text").limit(fit_rows[kind]).collect()
-        distinct = list(dict.fromkeys(r["text"] for r in rows))
-        texts += distinct
-        toxic += [kind] * len(distinct)
+    chosen = [
+        (r["id"], kind)
+        for kind in (0, 1)
+        for r in known.where((F.col("toxic") == kind) & F.col("fits")).orderBy(F.xxhash64("id"), "id").select("id").limit(fit_rows[kind]).collect()
+    ]
+    picked = docs.sparkSession.createDataFrame(chosen, "id long, toxic int")
+    bodies = rows.where(usable).join(F.broadcast(picked), "id").groupBy("id", "toxic").agg(F.max("text").alias("text"))
+    found = sorted(bodies.collect(), key=lambda r: (r["toxic"], r["id"]))
+    each = dict.fromkeys((r["text"], r["toxic"]) for r in found)
+    texts, toxic = [t for t, _ in each], [k for _, k in each]
     if len(set(toxic)) < 2 or not any(words_of(t) for t in texts):
         return 1.0 if sizes.get(1) and not sizes.get(0) else 0.0
     return train(texts, toxic, (sizes[0] / toxic.count(0), sizes[1] / toxic.count(1)))
