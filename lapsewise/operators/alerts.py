@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,9 +29,12 @@ def severity(value: Column, levels: tuple[float, float]) -> Column:
     return F.when(value >= critical, "critical").when(value >= warning, "warning").otherwise("info")
 
 
-def _alert(df: DataFrame, when: str, kind: str, order: int, value: Column, levels, text: str, fmt: str, scale: int = 1) -> DataFrame:
+def _alert(
+    df: DataFrame, when: str, kind: str, order: int, value: Column, levels, text: str, fmt: str, scale: int = 1, by: Sequence[str] = ()
+) -> DataFrame:
     details = F.to_json(F.struct(*df.columns))
     return df.where(F.col(when)).select(
+        *by,
         F.lit(order).alias("position"),
         F.lit(kind).alias("alert_type"),
         severity(value, levels).alias("severity"),
@@ -39,27 +43,27 @@ def _alert(df: DataFrame, when: str, kind: str, order: int, value: Column, level
     )
 
 
-def data_drift_alert(data: DataFrame, levels: Levels = DEFAULT_LEVELS) -> DataFrame:
+def data_drift_alert(data: DataFrame, levels: Levels = DEFAULT_LEVELS, by: Sequence[str] = ()) -> DataFrame:
     share = F.col("drift_share").cast("double")
     return _alert(
         data, "drift_detected", "data_drift", 1, share, levels.drift_share,
-        "Data drift detected: %s of features drifted", "%.1f%%", 100,
+        "Data drift detected: %s of features drifted", "%.1f%%", 100, by,
     )
 
 
-def prediction_drift_alert(prediction: DataFrame, levels: Levels = DEFAULT_LEVELS) -> DataFrame:
+def prediction_drift_alert(prediction: DataFrame, levels: Levels = DEFAULT_LEVELS, by: Sequence[str] = ()) -> DataFrame:
     shift = F.abs(F.col("mean_shift").cast("double"))
     return _alert(
         prediction, "prediction_drift_detected", "prediction_drift", 2, shift, levels.mean_shift,
-        "Prediction mean shift detected: %s", "%.3f",
+        "Prediction mean shift detected: %s", "%.3f", by=by,
     )
 
 
-def performance_alert(performance: DataFrame, levels: Levels = DEFAULT_LEVELS) -> DataFrame:
+def performance_alert(performance: DataFrame, levels: Levels = DEFAULT_LEVELS, by: Sequence[str] = ()) -> DataFrame:
     drop = F.col("pr_auc_drop").cast("double")
     return _alert(
         performance, "performance_degraded", "performance_degradation", 3, drop, levels.pr_auc_drop,
-        "Model PR_AUC dropped by %s", "%.3f",
+        "Model PR_AUC dropped by %s", "%.3f", by=by,
     )
 
 
@@ -68,10 +72,12 @@ def alerts(
     prediction: DataFrame | None = None,
     performance: DataFrame | None = None,
     levels: Levels = DEFAULT_LEVELS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """All alerts, in the order data, prediction, performance. Inputs are one-row results."""
+    """All alerts, in the order data, prediction, performance. Inputs are one-row results,
+    or one row for each group of ``by``."""
     parts = [
-        make(df, levels)
+        make(df, levels, by)
         for make, df in (
             (data_drift_alert, data),
             (prediction_drift_alert, prediction),
@@ -95,11 +101,20 @@ def retrain_decision(
     alert_rows: DataFrame,
     drift_threshold: float = DEFAULTS.drift_share_threshold,
     drop_threshold: float = DEFAULTS.performance_drop_threshold,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: whether to retrain, the reasons and the numbers behind them."""
-    n_critical = critical(alert_rows).agg(F.count("*").alias("n")).scalar()
-    row = data.select("drift_detected", "drift_share").withColumn("critical_alerts", n_critical)
-    if performance is None:
+    """One row (or one for each group of ``by``): whether to retrain, the reasons and the
+    numbers behind them."""
+    if by:
+        counts = critical(alert_rows).groupBy(*by).agg(F.count("*").alias("critical_alerts"))
+        row = data.select(*by, "drift_detected", "drift_share").join(counts, list(by), "left").fillna(0, ["critical_alerts"])
+    else:
+        n_critical = critical(alert_rows).agg(F.count("*").alias("n")).scalar()
+        row = data.select("drift_detected", "drift_share").withColumn("critical_alerts", n_critical)
+    if performance is not None and by:
+        measured = performance.select(*by, F.col("performance_degraded").alias("degraded"), F.col("pr_auc_drop").alias("drop"))
+        row = row.join(measured, list(by), "left")
+    elif performance is None:
         row = row.withColumns({"degraded": F.lit(False), "drop": F.lit(0.0)})
     else:
         row = row.withColumns(
@@ -122,6 +137,7 @@ def retrain_decision(
         )
     )
     return row.select(
+        *by,
         F.coalesce(drifted | dropped | alerted, F.lit(False)).alias("should_retrain"),
         reasons.alias("reasons"),
         "drift_share",

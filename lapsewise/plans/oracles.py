@@ -128,7 +128,7 @@ add(
 )
 add(
     "source_by_suffix",
-    "SELECT CustomerId, Age, Balance, kind FROM snap, (VALUES ('csv'), ('parquet')) AS k(kind)",
+    "SELECT CustomerId, Age, Balance, kind FROM snap, (VALUES ('csv'), ('parquet'), ('sql')) AS k(kind)",
     doubles="Balance",
 )
 add(
@@ -190,6 +190,11 @@ add(
     " WHERE rn = 1",
     "",
 )
+add(
+    "table_write_modes",
+    "SELECT customer_uuid, CAST(1 + known AS BIGINT) AS copies, false AS before, true AS during, false AS after, true AS refused FROM snap",
+)
+add("job_ids", "SELECT customer_uuid, true AS well_formed, count(*) OVER () AS distinct_ids FROM snap")
 add("table_write", "SELECT customer_uuid, CAST(2 AS BIGINT) AS copies FROM snap")
 
 add(
@@ -590,7 +595,7 @@ add(
 add(
     "column_stats",
     'SELECT Geography, col AS "column", count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max'
-    f" FROM ({stacked(['Age', 'Balance', 'CreditScore'], ', Geography', 'snap')}) GROUP BY Geography, col",
+    f" FROM ({stacked([*BASE, 'PointEarned', 'Exited'], ', Geography', 'snap')}) GROUP BY Geography, col",
     doubles="mean std min max",
 )
 _ROLE_NUM = [*BASE, "PointEarned", "Exited"]
@@ -1071,3 +1076,56 @@ add(
     " (SELECT Surname, row_number() OVER (ORDER BY Surname) - 1 AS slot FROM (SELECT DISTINCT Surname FROM snap WHERE known = 1)) s USING (Surname),"
     " (SELECT count(DISTINCT Surname) AS size FROM snap WHERE known = 1) n",
 )
+add("saved_model_scores", "SELECT customer_uuid, CAST(2 AS BIGINT) AS copies, true AS same FROM snap")
+_TEST = "(SELECT * FROM split WHERE split = 'test')"
+_TWO_SCORES = f"(SELECT 'b' AS side, Exited, customer_uuid, 1 - CreditScore / 1000 AS s FROM {_TEST} UNION ALL SELECT 't', Exited, customer_uuid, p FROM {_TEST})"
+add(
+    "training_report",
+    "SELECT 'performance' AS section, 'baseline_pr_auc' AS item, max(pr_auc) FILTER (g = 'b') AS value FROM m"
+    " UNION ALL SELECT 'performance', 'tuned_pr_auc', max(pr_auc) FILTER (g = 't') FROM m"
+    " UNION ALL SELECT 'performance', 'improvement', max(pr_auc) FILTER (g = 't') - max(pr_auc) FILTER (g = 'b') FROM m"
+    " UNION ALL SELECT * FROM (SELECT 'top_features', item, value FROM (SELECT 'Age' AS item, avg(Age) * 0.03 AS value FROM split UNION ALL"
+    " SELECT 'Balance', avg(Balance) * 0.000002 FROM split UNION ALL SELECT 'IsActiveMember', avg(IsActiveMember) * 1.2 FROM split)"
+    " ORDER BY value DESC, item LIMIT 2)",
+    f"{SPLIT}, {metrics_ctes(_TWO_SCORES, 'side', 'Exited', 's', _K15)}",
+    "value",
+)
+
+# ---- alerts by nation
+NATIONS = """
+x AS (
+  SELECT nation, (row_number() OVER (ORDER BY n, nation) - 1)::DOUBLE / (count(*) OVER () - 1) AS x
+  FROM (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1)),
+cases AS (SELECT nation, x AS share, (x - 0.5::DOUBLE) * 0.5713::DOUBLE AS shift, (1 - x) * 0.2137::DOUBLE AS fall FROM x),
+alert AS (
+  SELECT nation, 1 AS position, 'data_drift' AS alert_type,
+    CASE WHEN share >= 0.7::DOUBLE THEN 'critical' WHEN share >= 0.5::DOUBLE THEN 'warning' ELSE 'info' END AS severity,
+    printf('Data drift detected: %.1f%% of features drifted', share * 100) AS message FROM cases WHERE share > 0.1::DOUBLE
+  UNION ALL
+  SELECT nation, 2, 'prediction_drift',
+    CASE WHEN abs(shift) >= 0.15::DOUBLE THEN 'critical' WHEN abs(shift) >= 0.1::DOUBLE THEN 'warning' ELSE 'info' END,
+    printf('Prediction mean shift detected: %.3f', abs(shift)) FROM cases WHERE abs(shift) > 0.03::DOUBLE
+  UNION ALL
+  SELECT nation, 3, 'performance_degradation',
+    CASE WHEN fall >= 0.1::DOUBLE THEN 'critical' WHEN fall >= 0.05::DOUBLE THEN 'warning' ELSE 'info' END,
+    printf('Model PR_AUC dropped by %.3f', fall) FROM cases WHERE fall > 0.02::DOUBLE)"""
+add("alerts_by_nation", "SELECT * FROM alert", NATIONS)
+add(
+    "decisions_by_nation",
+    "SELECT nation, reasons <> '' AS should_retrain, reasons, share AS drift_share, fall AS performance_drop, k AS critical_alerts,"
+    " CASE WHEN NOT asked THEN true WHEN reasons = '' THEN false ELSE auto END AS approved, asked, auto FROM ("
+    "SELECT nation, share, fall, k, concat_ws(' | ',"
+    " CASE WHEN share > 0.1::DOUBLE AND share >= 0.5::DOUBLE THEN printf('Significant data drift detected: %.1f%% of features', share * 100) END,"
+    " CASE WHEN fall > 0.02::DOUBLE AND fall >= 0.05::DOUBLE THEN printf('Performance degradation: PR-AUC dropped by %.3f', fall) END,"
+    " CASE WHEN k > 0 THEN printf('%d critical alerts triggered', k) END) AS reasons FROM"
+    " (SELECT *, (SELECT count(*) FROM alert a WHERE a.nation = c.nation AND severity = 'critical') AS k FROM cases c)),"
+    " (VALUES (true), (false)) AS q(asked), (VALUES (true), (false)) AS r(auto)",
+    NATIONS,
+    "drift_share performance_drop",
+)
+add(
+    "column_drift_of_all",
+    'SELECT col AS "column", method, value, value > 0.1::DOUBLE AS drifted FROM drift',
+    _column_drift(["IsActiveMember", *NUMERIC], TEXT),
+    "value",
+)

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapsewise.config import NUMERIC_FEATURES, REQUEST_FEATURES
 from lapsewise.functions import features as fx
-from lapsewise.functions.ids import run_id
+from lapsewise.functions.ids import job_id, run_id
 from lapsewise.functions.scoring import RISK_WEIGHTS, add_predictions, stamp
 from lapsewise.functions.text import display_name, first_present, mask_pii, normalize
 from lapsewise.operators import alerts as al
@@ -29,8 +31,10 @@ from lapsewise.operators import split as sp
 from lapsewise.operators import topk as tk
 from lapsewise.operators import train as tr
 from lapsewise.operators.ordered import quantiles
+from lapsewise.operators.search import trials_table
 from lapsewise.plans.batch_scoring import rule_scorer, score_customers
 from lapsewise.plans.ingestion import ingest, keyed
+from lapsewise.plans.models import promote, save_model, score_to_table
 from lapsewise.plans.monitoring import monitor
 from lapsewise.plans.snapshot import (
     CUTOFF,
@@ -40,7 +44,7 @@ from lapsewise.plans.snapshot import (
     shifted_customers,
     spoiled_customers,
 )
-from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA, load, query_files, read_csv, read_parquet, read_query
+from lapsewise.sources.readers import RAW_CUSTOMER_SCHEMA, load, query_files, read_csv, read_parquet, read_query, table_exists
 from lapsewise.sources.rejects import REJECT_SCHEMA, text_cells
 from lapsewise.sources.scratch import scratch_dir, stored
 from lapsewise.sources.versions import create_version, read_version
@@ -154,9 +158,14 @@ def source_by_suffix(spark, d):
     rows = snap(spark, d).select("CustomerId", "Age", "Balance")
     write_csv(rows, path + ".csv")
     write_parquet(rows, path + ".parquet")
-    from_csv = load(spark, path + ".csv", schema=rows.schema)
-    from_parquet = load(spark, path + ".parquet", columns=["CustomerId", "Age", "Balance"])
-    return from_csv.withColumn("kind", F.lit("csv")).unionByName(from_parquet.withColumn("kind", F.lit("parquet")))
+    text = f"SELECT CustomerId, Age, Balance FROM parquet.`{path}.parquet`"
+    spark.range(1).select(F.lit(text)).coalesce(1).write.text(path + ".sql")
+    found = {
+        "csv": load(spark, path + ".csv", schema=rows.schema),
+        "parquet": load(spark, path + ".parquet", columns=["CustomerId", "Age", "Balance"]),
+        "sql": load(spark, path + ".sql"),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in found.items()])
 
 
 @query
@@ -223,6 +232,40 @@ def table_write(spark, d):
     return spark.read.table(name).groupBy("customer_uuid").agg(F.count("*").alias("copies"))
 
 
+@query
+def table_write_modes(spark, d):
+    """A catalog table replaced, appended to, and refused; whether it was there before and
+    after. The rows are copied before the table is dropped."""
+    path = scratch_dir(spark, "table")
+    name = "customers_" + path.rsplit("-", 1)[-1]
+    rows = stored(snap(spark, d).select("customer_uuid", "known"), "held")
+    there = [table_exists(spark, name)]
+    try:
+        write_table(rows, name, "fail")
+        write_table(rows.where("known = 1"), name, "replace")
+        write_table(rows, name, "append")
+        try:
+            write_table(rows, name, "fail")
+            refused = False
+        except AnalysisException:
+            refused = True
+        there.append(table_exists(spark, name))
+        copies = stored(spark.read.table(name).groupBy("customer_uuid").agg(F.count("*").alias("copies")), "copies")
+    finally:
+        execute(spark, f"DROP TABLE IF EXISTS {name}")
+    there.append(table_exists(spark, name))
+    flags = dict(zip(("before", "during", "after"), there)) | {"refused": refused}
+    return copies.withColumns({k: F.lit(v) for k, v in flags.items()})
+
+
+@query
+def job_ids(spark, d):
+    """A random id for every customer: its form, and how many differ."""
+    rows = stored(snap(spark, d).select("customer_uuid", job_id().alias("job_id")), "ids")
+    form = F.col("job_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return rows.select("customer_uuid", form.alias("well_formed"), rows.agg(F.count_distinct("job_id")).scalar().alias("distinct_ids"))
+
+
 @query
 def ingestion_job(spark, d):
     """The whole ingestion job from a CSV delivery to the clean table."""
@@ -653,7 +696,7 @@ def constant_columns(spark, d):
 
 @query
 def column_stats(spark, d):
-    return pr.column_stats(snap(spark, d), ["Age", "Balance", "CreditScore"], ["Geography"])
+    return pr.column_stats(snap(spark, d), PROFILE_NUMERIC, ["Geography"])
 
 
 @query
@@ -807,6 +850,49 @@ def retrain_decision(spark, d):
     return _monitored(spark, d).decision.withColumn("reasons", F.concat_ws(" | ", "reasons"))
 
 
+def _nation_results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drift results by nation: the place of a nation by its number of customers, from 0 to
+    1, stands for the share of drifted columns, a shift of the mean and a drop."""
+    sizes = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    # As many rows as there are nations.
+    place = (F.row_number().over(Window.orderBy("n", "nation")) - 1) / (F.count("*").over(Window.partitionBy()) - 1)
+    rows = stored(sizes.select("nation", place.alias("x")), "nations")
+    data = rows.select("nation", (F.col("x") > 0.1).alias("drift_detected"), F.col("x").alias("drift_share"))
+    shift = (F.col("x") - 0.5) * 0.571313
+    prediction = rows.select("nation", (F.abs(shift) > 0.03).alias("prediction_drift_detected"), shift.alias("mean_shift"))
+    drop = (1 - F.col("x")) * 0.2137
+    performance = rows.select("nation", (drop > 0.02).alias("performance_degraded"), drop.alias("pr_auc_drop"))
+    return data, prediction, performance
+
+
+@query
+def alerts_by_nation(spark, d):
+    """Every alert at every severity, and none."""
+    rows = al.alerts(*_nation_results(spark, d), by=["nation"])
+    return rows.select("nation", "position", "alert_type", "severity", "message")
+
+
+@query
+def decisions_by_nation(spark, d):
+    """Decisions with all reasons and none, through each of the four approval settings."""
+    data, prediction, performance = _nation_results(spark, d)
+    rows = al.alerts(data, prediction, performance, by=["nation"])
+    decision = al.retrain_decision(data, performance, rows, by=["nation"])
+    gates = [
+        al.approval(decision, asked, auto).withColumns({"asked": F.lit(asked), "auto": F.lit(auto)})
+        for asked in (True, False)
+        for auto in (True, False)
+    ]
+    return reduce(DataFrame.unionByName, gates).withColumn("reasons", F.concat_ws(" | ", "reasons"))
+
+
+@query
+def column_drift_of_all(spark, d):
+    """The feature columns chosen by the operator: no label, score or identifier."""
+    ref, cur = (side.withColumnRenamed("p", "probability") for side in _sides(spark, d))
+    return dr.column_drift(ref, cur)
+
+
 @query
 def monitoring_report(spark, d):
     return _monitored(spark, d).report()
@@ -903,10 +989,6 @@ def recommendations(spark, d):
     return rows.select("customer_uuid", "risk_level", F.concat_ws(" | ", "recommendations").alias("recommendations"))
 
 
-# Small trees keep the registered model queries short; the defaults are larger.
-SMALL_TREES = {"n_estimators": 10, "max_depth": 4}
-
-
 def _split_rows(spark: SparkSession, d: str) -> DataFrame:
     return stored(sp.stratified_split(stored(snap(spark, d), "held")), "split")
 
@@ -914,9 +996,7 @@ def _split_rows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gbt_scored(spark, d):
     rows = _split_rows(spark, d)
-    return tr.predict(tr.fit(rows, tr.boosted_trees(SMALL_TREES)), rows).select(
-        "customer_uuid", "probability", "prediction", "risk_level"
-    )
+    return tr.predict(tr.fit(rows, tr.boosted_trees()), rows).select("customer_uuid", "probability", "prediction", "risk_level")
 
 
 @query
@@ -928,24 +1008,53 @@ def model_metrics_by_split(spark, d):
 @query
 def feature_importance(spark, d):
     rows = _split_rows(spark, d)
-    return tr.feature_importance(tr.fit(rows, tr.boosted_trees(SMALL_TREES)), spark)
+    return tr.feature_importance(tr.fit(rows, tr.boosted_trees()), spark)
 
 
 @query
 def tuned_params(spark, d):
-    space = {"max_depth": (2, 4), "learning_rate": (0.05, 0.2), "n_estimators": (3, 6)}
-    found = tr.tune(_split_rows(spark, d), tr.sample_params(2, space=space))
-    rows = [(i + 1, r["objective"], str(sorted(r["params"].items()))) for i, r in enumerate(found)]
-    return spark.createDataFrame(rows, "place int, objective double, params string")
+    """The trials of a short sequential search, with those pruned."""
+    return trials_table(spark, tr.optimize(_split_rows(spark, d), 6))
 
 
 @query
 def tree_contributions(spark, d):
     rows = _split_rows(spark, d)
-    model = tr.fit(rows, tr.boosted_trees(SMALL_TREES))
+    model = tr.fit(rows, tr.boosted_trees())
     return ex.contribution_rows(ex.tree_contributions(rows, model, pp.feature_names(model), n=3))
 
 
+@query
+def training_report(spark, d):
+    """Test PR-AUC of two scores of the same split, the credit score and the risk score, as
+    baseline and tuned model, with the weights of the risk score as importances."""
+    rows = _split_rows(spark, d)
+    before, after = (
+        stored(ev.all_metrics(rows.withColumn("s", s), "Exited", "s", "customer_uuid", by=["split"]), "metrics")
+        for s in (1 - F.col("CreditScore") / 1000, F.col("p"))
+    )
+    means = rows.agg(*[(F.avg(c) * abs(w)).alias(c) for c, w in RISK_WEIGHTS.items() if c in rows.columns])
+    importance = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in means.columns])).alias("r")).select("r.*")
+    return tr.training_summary(before, after, importance, n=2)
+
+
+@query
+def saved_model_scores(spark, d):
+    """A model trained and saved once that scores the customers into a table twice: copies of
+    each customer, and whether both runs gave the same."""
+    base, rows = scratch_dir(spark, "models"), _split_rows(spark, d)
+    promote(spark, base, save_model(tr.fit(rows, tr.candidates()["logistic_regression"]), base))
+    source, name = scratch_dir(spark, "source") + ".parquet", "scores_" + base.rsplit("-", 1)[-1]
+    write_parquet(rows.drop("split"), source)
+    try:
+        for mode in ("replace", "append"):
+            score_to_table(spark, source, base, name, mode)
+        scores = spark.read.table(name).groupBy("customer_uuid").agg(F.count("*").alias("copies"), (F.count_distinct("probability") == 1).alias("same"))
+        return stored(scores, "copies")
+    finally:
+        execute(spark, f"DROP TABLE IF EXISTS {name}")
+
+
 @query
 def conditional_churn(spark, d):
     rows = stored(dirty(spark, d).select("RowNumber", "Age", "Balance", "Exited"), "held")
