@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.sources.scratch import stored
 
-__all__ = ["stored", "column", "keyed_text", "table", "lower_ascii", "spans_digest", "count_of", "small_batches", "release"]
+__all__ = ["stored", "column", "keyed_text", "table", "lower_ascii", "spans_digest", "count_of", "small_batches", "release", "fresh", "without_ids"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text that one step inside a task handles at once; a longer text comes alone.
@@ -45,6 +45,22 @@ def keyed_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(column(key).cast("long").alias("id"), column(text).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not among the ``id`` of the other frame. Rows with a
+    null key are kept, and so are all columns, whatever their names."""
+    name = fresh(docs, "id_to_drop")
+    gone = ids.select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, column(key).cast("long") == F.col(name), "left_anti")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.common import column, keyed_text
+from lapsewise.llm.common import column, keyed_text, without_ids
 
 # Seeds over consecutive words, by the least number of words of the items they
 # are for; 1 must agree, 0 may differ. Chosen by enumeration: every alignment that meets
@@ -95,7 +95,8 @@ def find_overlaps(
     items = benchmark.select(column(item).cast("long").alias("item_id"), column(item_text).cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("words"))
     n_words = F.size("words")
-    items = items.where(n_words > 0)
+    # Items that share an id but not their words are told apart; equal ones are one.
+    items = items.where(n_words > 0).withColumn("item_row", F.xxhash64("item_id", "words")).dropDuplicates(["item_row"])
     total, longest, lengths = items.agg(F.sum(n_words), F.max(n_words), F.collect_set(F.least(n_words, F.lit(window)))).first()
     # Of each mask that an item needs, the lengths of the items it is for.
     uses: dict[str, list[int]] = {}
@@ -108,9 +109,11 @@ def find_overlaps(
     leads = places.select(lead(F.col("words"), F.col("item_at")).alias("lead")).where("lead is not null").distinct()
     singles = items.where(n_words == 1).select(F.get("words", F.lit(0)).alias("lead")).distinct()
     asked = {m: F.least(n_words, F.lit(window)).isin(*uses.get(m, [])) for m in used}
-    wanted = seeds(places, "item_at", used, asked).select("seed", "item_id", "item_at", F.col("words").alias("item_words"))
+    # Seeds name their item; its words are looked up for the hits alone.
+    wanted = seeds(places, "item_at", used, asked).select("seed", "item_row", "item_at")
+    bodies = items.select("item_row", "item_id", F.col("words").alias("item_words"))
     if total <= sent_words:
-        leads, singles, wanted = F.broadcast(leads), F.broadcast(singles), F.broadcast(wanted)
+        leads, singles, wanted, bodies = map(F.broadcast, (leads, singles, wanted, bodies))
     texts = keyed_text(docs, key, text).where("id is not null and text is not null").select("id", words_of(F.col("text")).alias("all"))
     # From ``base`` on, the words of a stretch and ``reach`` more on either side.
     texts = texts.select("id", "all", F.explode(F.sequence(F.lit(0), F.size("all"), F.lit(STRETCH))).alias("from"))
@@ -123,7 +126,7 @@ def find_overlaps(
     if "1" in used:
         alone = texts.withColumn("lead", F.get("words", F.col("at"))).join(singles, "lead", "left_semi").drop("lead")
         found = found.union(seeds(alone, "at", ["1"]))
-    hits = found.join(wanted, "seed")
+    hits = found.join(wanted, "seed").join(bodies, "item_row")
     # Lay the item along the document so that the hit falls on itself. An alignment that
     # several seeds find is kept once, with the words of the document that it covers.
     start = F.col("at") - F.col("item_at")
@@ -150,5 +153,4 @@ def find_overlaps(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that overlap with the benchmark; rows with a null
     key are kept."""
-    found = find_overlaps(docs, benchmark, key, text, **options).select(F.col("id").alias("_found")).distinct()
-    return docs.join(found, column(key) == F.col("_found"), "left_anti")
+    return without_ids(docs, key, find_overlaps(docs, benchmark, key, text, **options))

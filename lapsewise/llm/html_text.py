@@ -139,8 +139,9 @@ def stop_share(text: str) -> float:
     return max(sum(w in stops for w in words) for stops in STOPS) / len(words) if words else 0.0
 
 
-def first_label(block: Block) -> str:
-    """good, near (probably good), short (open) or bad, from the block alone."""
+def first_label(block: Block, known: bool = True) -> str:
+    """good, near (probably good), short (open) or bad, from the block alone. On a page in
+    an unknown language, where stop words tell nothing, length and links decide."""
     size = len(block.text)
     if block.linked > MOST_LINKS * size:
         return "bad"
@@ -148,7 +149,7 @@ def first_label(block: Block) -> str:
         return "bad"
     if size < SHORT:
         return "bad" if block.linked and not block.within else "short"
-    share = stop_share(block.text)
+    share = stop_share(block.text) if known else STOPS_HIGH
     if share >= STOPS_HIGH:
         return "good" if size > LONG else "near"
     if share >= STOPS_LOW:
@@ -165,11 +166,13 @@ def settle(blocks: list[Block]) -> None:
     heading or line at the edge of the article thus stays with it. Distances are
     counted inside the article and outside of it separately.
     """
+    # The language is known if any longer block has some share of stop words.
+    known = any(len(b.text) >= SHORT and stop_share(b.text) >= STOPS_LOW for b in blocks)
     for within in (True, False):
         group = [b for b in blocks if b.within == within]
         decided: list[tuple[int, str]] = []
         for i, b in enumerate(group):
-            label = first_label(b)
+            label = first_label(b, known)
             b.label = "good" if label == "near" else label
         before: list[tuple[int, str] | None] = []
         last = None

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.common import keyed_text, release, small_batches, stored
+from lapsewise.llm.common import keyed_text, release, small_batches, stored, without_ids
 from lapsewise.llm.components import Sets, components
 from lapsewise.llm.hashing import Substrings, U, mix
 
@@ -91,7 +91,9 @@ def _deal(size: int, parts: int):
         owner = np.repeat(np.arange(len(n)), n)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        out = []
+        # One row names the texts of the block, whose places the others give.
+        heads = (-1 - (label ^ label >> 33) % parts, label, np.diff(ids, prepend=0).tobytes(), n.astype(np.uint32).tobytes(), b"", b"")
+        out = [heads]
         for p in range(parts):
             mine = order[cuts[p] : cuts[p + 1]]
             if len(mine):
@@ -99,7 +101,7 @@ def _deal(size: int, parts: int):
                 has = held > 0
                 t = token[mine]
                 out.append(
-                    (p, label, np.diff(ids[has], prepend=0).tobytes(), n[has].astype(np.uint32).tobytes(), held[has].astype(np.uint32).tobytes(),
+                    (p, label, np.flatnonzero(has).astype(np.uint32).tobytes(), b"", held[has].astype(np.uint32).tobytes(),
                      (t & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (t >> U(32)).astype(np.uint8).tobytes())
                 )
         types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -131,7 +133,10 @@ def _tokens(data: bytes) -> np.ndarray:
 
 
 def _keep_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one part, the n-grams that two documents have, with the number of documents."""
+    """Of one part, the n-grams that two documents have, with the number of documents. The
+    names of the texts pass as they are."""
+    if key[0].as_py() < 0:
+        return table.append_column("docs", pa.array([b""] * table.num_rows, pa.binary())).select(["label", "part", "ids", "sizes", "held", "tokens", "docs"])
     columns = {c: table.column(c).to_pylist() for c in ("label", "ids", "sizes", "held", "tokens")}
     tokens = [_tokens(t) for t in columns["tokens"]]
     every = np.concatenate(tokens)
@@ -147,11 +152,10 @@ def _keep_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         left = np.bincount(owner, minlength=len(held))
         has = left > 0
         if has.any():
-            ids = np.cumsum(np.frombuffer(columns["ids"][i], np.int64))
-            sizes = np.frombuffer(columns["sizes"][i], np.uint32)
+            places = np.frombuffer(columns["ids"][i], np.uint32)
             t = mine[keep]
             out.append(
-                (columns["label"][i], key[0].as_py(), np.diff(ids[has], prepend=0).tobytes(), sizes[has].tobytes(), left[has].astype(np.uint32).tobytes(),
+                (columns["label"][i], key[0].as_py(), places[has].tobytes(), b"", left[has].astype(np.uint32).tobytes(),
                  (t & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (t >> U(32)).astype(np.uint8).tobytes(), n[keep].astype(np.uint32).tobytes())
             )
     del columns, tokens, every, where, counts, docs
@@ -164,22 +168,26 @@ def _keep_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def _gather(least: tuple[int, int]):
     def run(table: pa.Table) -> pa.Table:
         """Documents most of whose n-grams others share, with these by rarity."""
-        ids, sizes, tokens, docs = [], [], [], []
+        names = sizes_of = np.zeros(0, np.int64)
+        rows, tokens, docs = [], [], []
         for part, i, s, h, t, d in zip(*(table.column(c).to_pylist() for c in ("part", "ids", "sizes", "held", "tokens", "docs"))):
-            held = np.frombuffer(h, np.uint32)
-            ids.append(np.repeat(np.cumsum(np.frombuffer(i, np.int64)), held))
-            sizes.append(np.repeat(np.frombuffer(s, np.uint32), held))
+            if part < 0:
+                names, sizes_of = np.cumsum(np.frombuffer(i, np.int64)), np.frombuffer(s, np.uint32).astype(np.int64)
+                continue
+            rows.append(np.repeat(np.frombuffer(i, np.uint32), np.frombuffer(h, np.uint32)))
             tokens.append(_tokens(t) | U(part) << U(BITS))
             docs.append(np.frombuffer(d, np.uint32))
-        ids, sizes, tokens, docs = map(np.concatenate, (ids, sizes, tokens, docs))
-        order = np.lexsort((tokens, docs, sizes, ids))
-        ids, sizes, tokens = ids[order], sizes[order].astype(np.int64), tokens[order]
-        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])]))
-        ends = np.append(new[1:], len(ids))
-        n, f = sizes[new], ends - new
+        if not rows:
+            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "tokens": pa.array([], pa.binary())})
+        rows, tokens, docs = map(np.concatenate, (rows, tokens, docs))
+        order = np.lexsort((tokens, docs, rows))
+        rows, tokens = rows[order], tokens[order]
+        new = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        ends = np.append(new[1:], len(rows))
+        ids, n, f = names[rows[new]], sizes_of[rows[new]], ends - new
         keep = np.flatnonzero(f * least[1] >= n * least[0])
         sets = [tokens[new[k] : ends[k]].astype(np.int64).tobytes() for k in keep]
-        return pa.table({"id": pa.array(ids[new][keep]), "n": pa.array(n[keep]), "tokens": pa.array(sets, pa.binary())})
+        return pa.table({"id": pa.array(ids[keep]), "n": pa.array(n[keep]), "tokens": pa.array(sets, pa.binary())})
 
     return run
 
@@ -426,5 +434,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that come first in their component; rows with a null key and
     repeated rows of a first document are kept."""
-    later = near_duplicates(docs, key, text, **options).where("id <> component_id").select(F.col("id").alias("_later")).distinct()
-    return docs.join(later, F.col(key) == F.col("_later"), "left_anti")
+    return without_ids(docs, key, near_duplicates(docs, key, text, **options).where("id <> component_id"))

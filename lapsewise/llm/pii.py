@@ -35,13 +35,15 @@ CONTEXT = {
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.2
 LEAST_SCORE = 0.6
+GROUP, CHUNK = 256, 512
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches.
 
     Text between the matches and the matches themselves are taken apart, and their
-    lengths in code points are summed up.
+    lengths in code points are summed up, in groups of GROUP matches and over the groups,
+    as an array grows by copying it.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -55,7 +57,16 @@ def matches(text: Column, pattern: str) -> Column:
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
     none = F.array().cast(f"array<{entry}>")
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    last = F.greatest(F.floor((F.size(found) - 1) / GROUP).cast("int"), F.lit(0))
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.aggregate(F.slice(pairs, g * GROUP + 1, GROUP), zero, step))
+    lengths = F.transform(groups, lambda g: g["at"])
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def moved(group: Column, by: Column) -> Column:
+        return F.transform(group["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    spans = F.flatten(F.zip_with(groups, F.slice(starts, 1, F.size(groups)), moved))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
@@ -101,11 +112,16 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: str, text: Column, span: Column) -> Column:
+def piece(chunks: Column, start: Column, size: Column) -> Column:
+    """Some characters, fewer than CHUNK, of a text in chunks: a text as a whole would be
+    read from its begin each time."""
+    i = F.floor(start / CHUNK).cast("int")
+    return F.substr(F.array_join(F.slice(chunks, i + 1, 2), ""), start - i * CHUNK + 1, size)
+
+
+def score(kind: str, chunks: Column, span: Column) -> Column:
     low = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    around = F.concat_ws(
-        " ", F.substr(text, low + 1, span["start"] - low), F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
-    )
+    around = F.concat_ws(" ", piece(chunks, low, span["start"] - low), piece(chunks, span["end"], F.lit(CONTEXT_CHARS)))
     near = F.lower(around).rlike(rf"\b(?:{CONTEXT[kind]})")
     return F.round(F.lit(START[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0), 2)
 
@@ -121,14 +137,15 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", least_sco
     """
     df = keyed_text(docs, key, text).withColumn("text", F.coalesce("text", F.lit("")))
     body = F.col("text")
-    df = df.withColumns({f"raw_{kind}": matches(body, p) for kind, p in PATTERNS.items()})
+    chunks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    df = df.withColumns({f"raw_{kind}": matches(body, p) for kind, p in PATTERNS.items()} | {"chunks": chunks})
 
     def confirmed(kind: str) -> Column:
         good = F.filter(F.col(f"raw_{kind}"), lambda s: valid(kind, s["value"]))
         full = F.transform(
             good,
             lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"], s["end"], s["value"], score(kind, body, s).alias("score")
+                F.lit(kind).alias("kind"), s["start"], s["end"], s["value"], score(kind, F.col("chunks"), s).alias("score")
             ),
         )
         return full if kind in BASE else F.filter(full, lambda s: s["score"] >= least_score)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm.common import column, count_of, keyed_text, small_batches, spans_digest
+from lapsewise.llm.common import column, count_of, fresh, keyed_text, small_batches, spans_digest
 
 # Kinds with a fixed form, in the order they are listed in.
 KINDS = ["assign", "access", "hex"]
@@ -172,18 +172,21 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataF
     Null texts stay null. Only texts that may hold a secret are sent to Python.
     """
 
+    names = docs.columns
+    at = names.index(text)
+
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
             for part in small_batches([batch]):
                 bodies = part.column(at).to_pylist()
                 flags = part.column(part.num_columns - 1).to_pylist()
                 clean = [without_spans(t, spans_of(t), mark) if f else t for t, f in zip(bodies, flags)]
                 columns = [pa.array(clean, pa.string()) if i == at else part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    flagged = docs.withColumn("_may_hold_a_secret", F.coalesce(column(text).rlike(NEEDED), F.lit(False)))
-    return flagged.mapInArrow(mask, docs.schema)
+    flagged = docs.withColumn(fresh(docs, "may_hold_a_secret"), F.coalesce(column(text).rlike(NEEDED), F.lit(False)))
+    # By place, as names may hold dots.
+    return flagged.toDF(*map(str, range(len(names) + 1))).mapInArrow(mask, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

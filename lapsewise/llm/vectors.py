@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapsewise.llm.common import column, stored
 from lapsewise.llm.components import Sets, components
@@ -161,18 +162,25 @@ def near_vectors(
     """One row per vector: ``id, n_links, component_id``.
 
     Vectors with the same label and length link at a cosine of ``least`` or more, in double
-    precision. One that is null, empty, zero, or has a null or non-finite part links with
+    precision; labels are compared in their own type. One that is null, empty, zero, or has a null or non-finite part links with
     nothing, and so does one without a label or a key. Vectors of unequal lengths never
     link (a cosine needs equal lengths). Equal vectors are one class
     that is compared once and counted as often as it occurs; links within a block pair are
     summed up there, and only a spanning forest of them goes on. A vector without links is
     its own component; a null key has none. Other columns are ignored.
     """
-    df = rows.select(column(key).cast("long").alias("id"), column(vector).cast("array<double>").alias("embedding"), column(label).cast("long").alias("label"))
+    # Whole numbers stand for themselves, labels of other types by a hash.
+    whole = column(label).cast("long") if isinstance(rows.select(column(label)).schema[0].dataType, T.IntegralType) else F.when(column(label).isNotNull(), F.xxhash64(column(label)))
+    df = rows.select(column(key).cast("long").alias("id"), column(vector).cast("array<double>").alias("embedding"), whole.alias("label"))
     finite = F.forall("embedding", lambda x: F.coalesce((F.abs(x) < F.lit(math.inf)) & ~F.isnan(x), F.lit(False)))
     some = F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & some, F.lit(False))
-    df = df.withColumn("usable", usable).withColumns(
+    # By a power of two, which loses no digits, the largest part is brought near 1, so that
+    # squares neither vanish nor overflow.
+    power = F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x)))))
+    half = F.floor(power / 2)
+    near_one = F.transform("embedding", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power))
+    df = df.withColumn("usable", usable).withColumn("embedding", F.when(F.col("usable"), near_one)).withColumns(
         {f"h{i}": F.when(F.col("usable"), F.xxhash64(F.lit(i), "label", "embedding")) for i in (1, 2)}
     )
     good = df.where("usable")
