@@ -7,17 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.llm import bpe, decontaminate, jaccard, language, secrets
-from lapsewise.llm.common import stored, table
+from lapsewise.llm.common import stored, table, without_ids
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled documents teach; rows without
-    text or letters go."""
+    text or letters go. Rows that share an id stay or go together; those with a null id stay."""
     labelled = table(spark, sf_dir, "documents").where(~language.held_out(F.col("doc_id")))
     model = language.fit_languages(labelled, public_tokenizers.path("piece_bpe_32k.model"), "doc_id")
     found = language.predict_languages(docs, model)
-    rejected = found.where("lang = 'und'").select(F.col("id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    return without_ids(docs, "doc_id", found.where("lang = 'und'"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
