@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lapsewise.config import DEFAULTS, KEY, LABEL, SCORE
 from lapsewise.operators.lookup import held_if_small
-from lapsewise.operators.ordered import graded, positions, running
+from lapsewise.operators.ordered import positions, running, value_blocks
 from lapsewise.operators.topk import resolve_k
+from lapsewise.sources.scratch import stored
 
 
 def safe_ratio(num: Column, den: Column, on_zero: str = "zero") -> Column:
@@ -38,19 +39,23 @@ def score_curve(
     """One row per distinct score, from the top, with running and total counts.
 
     ``n`` rows, ``pos`` labels of 1; ``hit``/``hit_pos`` the same at or above the threshold.
+    The counts by score are written once, so that the rows are read in one pass.
     """
     rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     for c in by:
         rows = rows.where(F.col(c).isNotNull())
-    rows, block = graded(rows, p, digits)
+    value = F.col(p).cast("double")
+    rows = rows.withColumn("_s", value if digits is None else F.round(value, digits))
     label, over = F.col(y).cast("long"), (F.col(p) >= threshold).cast("long")
-    points = rows.groupBy(*by, block, "_s").agg(
+    points = rows.groupBy(*by, "_s").agg(
         F.count("*").alias("n"),
         F.sum(label).alias("pos"),
         F.sum(over).alias("hit"),
         F.sum(over * label).alias("hit_pos"),
     )
-    return running(points, by, "_s", ["n", "pos"], descending=True, block=block)
+    points, blocks = value_blocks(stored(points, "points"), ["_s"])
+    points = points.select(*by, "_s", "n", "pos", "hit", "hit_pos", blocks["_s"].alias("_b"))
+    return running(points, by, "_s", ["n", "pos"], descending=True, block="_b")
 
 
 def _curve_sums(curve: DataFrame, by: Sequence[str], k: int | None = None, pct: float | None = None) -> DataFrame:

@@ -202,17 +202,6 @@ def points_quantiles(points: DataFrame, probs: Sequence[float], by: Sequence[str
     )
 
 
-def graded(df: DataFrame, score: str, digits: int | None = None) -> tuple[DataFrame, str]:
-    """Add ``_s``, the score to order by, and say which block column goes with it.
-
-    ``_b`` holds the block of the score, which is taken as it is unless ``digits`` are asked for.
-    """
-    value = F.col(score).cast("double")
-    df = df.withColumn("_s", value if digits is None else F.round(value, digits))
-    df, blocks = value_blocks(df, ["_s"])
-    return df.withColumn("_b", blocks["_s"]), "_b"
-
-
 def numbered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Rows with ``_place``, their number from 0 in the given order, written once.
 
