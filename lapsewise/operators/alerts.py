@@ -43,6 +43,9 @@ def _alert(
     )
 
 
+# The texts of alerts, reasons and report rows below.
+
+
 def data_drift_alert(data: DataFrame, levels: Levels = DEFAULT_LEVELS, by: Sequence[str] = ()) -> DataFrame:
     share = F.col("drift_share").cast("double")
     return _alert(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from lapsewise.functions.ids import CUSTOMER_NAMESPACE
 from lapsewise.functions.scoring import RISK_WEIGHTS
 from lapsewise.operators.explain import ACTIONS, FALLBACKS, NO_ACTION
-from lapsewise.operators.quality import RAW_RULES, TRAINING_RULES
 
 ORACLES: dict[str, str] = {}
 
@@ -642,30 +641,37 @@ add(
 
 
 # ---- quality
-def _rule_rows(rules, source: str, skip=()) -> str:
-    """One row per check, counted by filters on uncoerced columns of the right type."""
-    out = []
-    for r in rules:
-        if r.column in skip:
-            continue
-        checks = [("not_null", f"{r.column} IS NULL"), ("type", "false")]
-        if r.low is not None:
-            checks.append(("at_least", f"{r.column} < {r.low}"))
-        if r.high is not None:
-            checks.append(("at_most", f"{r.column} > {r.high}"))
-        if r.domain:
-            checks.append(("one_of", f"{r.column} NOT IN ({', '.join(repr(v) for v in r.domain)})"))
-        out += [
-            f"SELECT '{r.column}' AS \"column\", '{name}' AS \"check\", count(*) FILTER ({cond}) AS failures FROM {source}"
-            for name, cond in checks
-        ]
-    return " UNION ALL ".join(out)
-
-
-add("raw_validation_report", _rule_rows(RAW_RULES, "dirty"), DIRTY)
+# What breaks each column besides a null, written out here apart from the operator's rules.
+_BREAKS = {
+    "CreditScore": {"at_least": "CreditScore < 300", "at_most": "CreditScore > 850"},
+    "Geography": {"one_of": "Geography NOT IN ('France', 'Spain', 'Germany')"},
+    "Gender": {"one_of": "Gender NOT IN ('Male', 'Female')"},
+    "Age": {"at_least": "Age < 18", "at_most": "Age > 100"},
+    "Tenure": {"at_least": "Tenure < 0", "at_most": "Tenure > 10"},
+    "Balance": {"at_least": "Balance < 0"},
+    "NumOfProducts": {"at_least": "NumOfProducts < 1", "at_most": "NumOfProducts > 4"},
+    "HasCrCard": {"one_of": "HasCrCard NOT IN (0, 1)"},
+    "IsActiveMember": {"one_of": "IsActiveMember NOT IN (0, 1)"},
+    "EstimatedSalary": {"at_least": "EstimatedSalary < 0", "at_most": "EstimatedSalary > 200000"},
+    "PointEarned": {"at_least": "PointEarned < 0"},
+    "CardType": {"one_of": "CardType NOT IN ('Silver', 'Gold', 'Diamond', 'Platinum')"},
+    "Exited": {"one_of": "Exited NOT IN (0, 1)"},
+}
+
+
+def _rule_rows(more: list[str], source: str) -> str:
+    """One row per check, counted by filters on columns of the right type."""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{name}' AS \"check\", count(*) FILTER ({cond}) AS failures FROM {source}"
+        for c, breaks in ({c: {} for c in more} | _BREAKS).items()
+        for name, cond in {"not_null": f"{c} IS NULL", "type": "false", **breaks}.items()
+    )
+
+
+add("raw_validation_report", _rule_rows(["RowNumber", "CustomerId", "Surname"], "dirty"), DIRTY)
 add(
     "training_validation_report",
-    _rule_rows(TRAINING_RULES, "dirty")
+    _rule_rows(["customer_uuid"], "dirty")
     + " UNION ALL SELECT 'customer_uuid', 'unique', count(*) - count(DISTINCT customer_uuid) FROM dirty",
     DIRTY,
 )

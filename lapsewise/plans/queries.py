@@ -76,10 +76,28 @@ QUERIES: dict[str, Query] = {}
 DRIFT_NUMERIC = ["CreditScore", "Age", "Tenure", "Balance", "NumOfProducts", "EstimatedSalary", "PointEarned"]
 DRIFT_TEXT = ["Geography", "Gender", "CardType"]
 PROFILE_NUMERIC = [*NUMERIC_FEATURES, "PointEarned", "Exited"]
-SNAPSHOT_COLUMNS = (
-    "RowNumber CustomerId Surname CreditScore Geography Gender Age Tenure Balance NumOfProducts HasCrCard"
-    " IsActiveMember EstimatedSalary PointEarned CardType Lapsed p u Exited customer_uuid"
-).split()
+SNAPSHOT_COLUMNS = [
+    "RowNumber",
+    "CustomerId",
+    "Surname",
+    "CreditScore",
+    "Geography",
+    "Gender",
+    "Age",
+    "Tenure",
+    "Balance",
+    "NumOfProducts",
+    "HasCrCard",
+    "IsActiveMember",
+    "EstimatedSalary",
+    "PointEarned",
+    "CardType",
+    "Lapsed",
+    "p",
+    "u",
+    "Exited",
+    "customer_uuid",
+]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
