@@ -137,8 +137,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", least_sco
     """
     df = keyed_text(docs, key, text).withColumn("text", F.coalesce("text", F.lit("")))
     body = F.col("text")
-    chunks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    df = df.withColumns({f"raw_{kind}": matches(body, p) for kind, p in PATTERNS.items()} | {"chunks": chunks})
+    df = df.withColumns({f"raw_{kind}": matches(body, p) for kind, p in PATTERNS.items()})
+    # Only a text with matches is cut into chunks.
+    some = F.greatest(*[F.size(f"raw_{kind}") for kind in PATTERNS]) > 0
+    df = df.withColumn("chunks", F.when(some, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
 
     def confirmed(kind: str) -> Column:
         good = F.filter(F.col(f"raw_{kind}"), lambda s: valid(kind, s["value"]))
