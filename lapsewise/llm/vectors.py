@@ -177,9 +177,12 @@ def near_vectors(
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & some, F.lit(False))
     # By a power of two, which loses no digits, the largest part is brought near 1, so that
     # squares neither vanish nor overflow.
+    # (Structs in arrays of one, so that the power is made once a vector and not once a part.)
     power = F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x)))))
-    half = F.floor(power / 2)
-    near_one = F.transform("embedding", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power))
+    known = F.array(F.struct(F.col("embedding").alias("v"), power.alias("k")))
+    two = F.lit(2.0)
+    factors = F.transform(known, lambda s: F.struct(s["v"].alias("v"), F.pow(two, -F.floor(s["k"] / 2)).alias("a"), F.pow(two, F.floor(s["k"] / 2) - s["k"]).alias("b")))
+    near_one = F.transform(factors, lambda s: F.transform(s["v"], lambda x: x * s["a"] * s["b"]))[0]
     df = df.withColumn("usable", usable).withColumn("embedding", F.when(F.col("usable"), near_one)).withColumns(
         {f"h{i}": F.when(F.col("usable"), F.xxhash64(F.lit(i), "label", "embedding")) for i in (1, 2)}
     )
