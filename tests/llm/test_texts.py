@@ -174,4 +174,4 @@ def test_packed_numbers():
 def test_registry_names():
     from lapsewise.llm.registry import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
