@@ -27,7 +27,7 @@ from lapsewise.sources.scratch import scratch_dir
 PART_SCHEMA = "block long, part int, ids array<long>, counts binary, data binary, parts binary"
 OUT_SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 # Distinct pre-tokens whose ids one task remembers at once; beyond it starts to remember anew.
 KNOWN_WORDS = 1_000_000
 
