@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +26,9 @@ UNKNOWN, PSEUDO = 1e-8, 0.05
 REMEMBERED = 400_000
 # Bytes of text that a step inside a task reads at once.
 STEP_BYTES = 2 << 20
-# Longest piece looked up, in characters.
-LONGEST = 16
 # Words whose segmentations are summed together, and their most letters; a longer word is
-# summed alone, and teaches only if it is no longer than LONG.
-STEP_WORDS, SHORT, LONG = 5_000, 30, 200
+# summed alone, in logarithms, as its sums would underflow.
+STEP_WORDS, SHORT = 5_000, 30
 CODE_BITS = 21  # of a character
 
 
@@ -40,7 +39,7 @@ def word_pieces(path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i)
-            if piece == piece.lower() and len(piece) <= LONGEST and WORD.fullmatch(piece.replace("▁", "") or "-"):
+            if piece == piece.lower() and WORD.fullmatch(piece.replace("▁", "") or "-"):
                 pieces[piece] = None
     return list(pieces)
 
@@ -61,6 +60,7 @@ class Pieces:
         self.to = np.array([steps.get(k, 0) for k in self.keys.tolist()], np.int64)
         self.piece = np.full(len(steps) + 1, -1)
         self.piece[last] = np.arange(len(pieces))
+        self.longest = max(map(len, pieces), default=1)
 
     def lattice(self, words: list[str]) -> Lattice:
         """All segmentations of the words: each edge is a piece between two places, or -1
@@ -71,7 +71,7 @@ class Pieces:
         offset = np.arange(len(codes)) - np.repeat(ends - sizes, sizes + 1)
         at = np.setdiff1d(np.arange(len(codes)), ends, assume_unique=True)
         state, found = np.zeros(len(at), np.int64), []
-        for length in range(1, LONGEST + 1):
+        for length in range(1, self.longest + 1):
             key = state << CODE_BITS | codes[at + length - 1]
             step = np.searchsorted(self.keys, key)
             known = self.keys[step] == key
@@ -126,18 +126,22 @@ class LanguageModel:
         chances = self.chances[:, languages]
         return np.vstack([chances, np.full((1, chances.shape[1]), UNKNOWN)])[lattice.piece]
 
+    def edges_to(self, word: str, end: int) -> list[tuple[int, int]]:
+        """Begin and number of each piece of a word that ends at a place; -1 for a character
+        that is no piece."""
+        edges = [(s, i) for s in range(max(0, end - self.pieces.longest), end) if (i := self.index.get(word[s:end])) is not None]
+        return edges if any(s == end - 1 for s, _ in edges) else [*edges, (end - 1, -1)]
+
     def score_word(self, word: str) -> np.ndarray:
         """Log probability of a word by language, with sums scaled at each place and only
         the places kept that a piece can still reach back to."""
         logs: dict[int, np.ndarray] = {0: np.zeros(len(self.languages))}
         for end in range(1, len(word) + 1):
-            edges = [(s, i) for s in range(max(0, end - LONGEST), end) if (i := self.index.get(word[s:end])) is not None]
-            if not any(s == end - 1 for s, _ in edges):
-                edges.append((end - 1, -1))
+            edges = self.edges_to(word, end)
             top = np.max([logs[s] for s, _ in edges], axis=0)
             total = sum(np.exp(logs[s] - top) * (self.chances[i] if i >= 0 else UNKNOWN) for s, i in edges)
             logs[end] = top + np.log(total)
-            logs.pop(end - LONGEST, None)
+            logs.pop(end - self.pieces.longest, None)
         return logs[len(word)]
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -155,9 +159,32 @@ class LanguageModel:
                 out[i] = self.score_word(w)
         return out
 
+    def add_word(self, totals: np.ndarray, word: str, count: float, language: int) -> None:
+        """Adds the expected uses of each piece in one word of any length to ``totals``."""
+        costs, last = self.chances[:, language], len(word)
+
+        def log_of(piece: int) -> float:
+            return math.log(costs[piece] if piece >= 0 else UNKNOWN)
+
+        ahead = np.zeros(last + 1)
+        for end in range(1, last + 1):
+            ahead[end] = np.logaddexp.reduce([ahead[s] + log_of(i) for s, i in self.edges_to(word, end)])
+        back = np.full(last + 1, -np.inf)
+        back[last] = 0.0
+        for end in range(last, 0, -1):
+            for s, i in self.edges_to(word, end):
+                way = log_of(i) + back[end]
+                if i >= 0:
+                    totals[i] += count * math.exp(ahead[s] + way - ahead[last])
+                back[s] = np.logaddexp(back[s], way)
+
     def expected(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
         """Expected uses of each piece in counted words (forward and backward sums)."""
         totals = np.zeros(len(self.chances))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            self.add_word(totals, words[i], float(counts[i]), language)
+        words, counts = [w for w in words if len(w) <= SHORT], counts[sizes <= SHORT]
         for at in range(0, len(words), STEP_WORDS):
             lattice = self.pieces.lattice(words[at : at + STEP_WORDS])
             chance = self.by_edge(lattice, slice(language, language + 1))
@@ -213,7 +240,7 @@ def fit_languages(
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, fit_rows / n))])
     drawn = df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     words = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
-    words = stored(words.where(F.length("word") <= LONG).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
         current = model
 
