@@ -2,13 +2,15 @@ import math
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from lapsewise.functions.scoring import RISK_WEIGHTS, risk_logit
-from lapsewise.operators.explain import ACTIONS, NO_ACTION, linear_contributions, recommend, tree_contributions
+from lapsewise.operators.explain import ACTIONS, NO_ACTION, _tree_arrays, linear_contributions, recommend, tree_contributions
 from lapsewise.operators.logistic import fit_logistic
 from lapsewise.operators.preprocess import build_preprocessor, category_slots, feature_names, fitted_categories, one_hot, one_hot_vectors, scale, scale_stats
 from lapsewise.operators.split import class_weights, positive_weight, stratified_split
+from lapsewise.operators import train as training
 from lapsewise.operators.train import (
     boosted_trees,
     candidates,
@@ -19,6 +21,8 @@ from lapsewise.operators.train import (
     fit,
     predict,
     sample_params,
+    task_count,
+    tree_rows,
     tune,
 )
 from lapsewise.operators.quality import TRAINING_RULES
@@ -114,6 +118,23 @@ def test_tree_contributions_add_up_to_the_margin(split_rows, trees):
         assert total == pytest.approx(r["prediction_value"], abs=1e-9)
 
 
+def test_tree_contributions_of_each_feature(split_rows, trees):
+    names = feature_names(trees)
+    rows = split_rows.withColumn("Age", F.when(F.col("CreditScore") % 5 == 0, float("nan")).otherwise(F.col("Age")))
+    got = {r["customer_uuid"]: r["top_features"] for r in tree_contributions(rows, trees, names, n=100).collect()}
+    arrays = _tree_arrays(trees)
+    for r in PipelineModel(stages=trees.stages[:-1]).transform(rows).select("customer_uuid", "features").limit(60).collect():
+        x, credit = r["features"].toArray(), dict.fromkeys(names, 0.0)
+        for t in arrays:
+            at = 0
+            while t["left"][at] >= 0:
+                down = t["left"][at] if x[t["feature"][at]] <= t["cut"][at] else t["right"][at]
+                credit[names[t["feature"][at]]] += t["value"][down] - t["value"][at]
+                at = down
+        found = sorted(c["contribution"] for c in got[r["customer_uuid"]])
+        assert found == pytest.approx(sorted(credit.values()), abs=1e-12)
+
+
 def test_linear_contributions_and_advice(customers):
     rows = customers.withColumn("IsSingleProduct", (F.col("NumOfProducts") == 1).cast("int"))
     means = rows.agg(*[F.avg(c).alias(c) for c in RISK_WEIGHTS])
@@ -145,6 +166,35 @@ def test_search(split_rows):
         tune(split_rows, [{"max_depth": -1}])
 
 
+def test_tree_rows_are_dealt_over_the_cores(spark, monkeypatch):
+    assert [task_count(n, 12) for n in (0, 1, 50_000, 50_001, 700_000, 6_000_000, 6_000_001)] == [1, 1, 1, 2, 12, 12, 24]
+    monkeypatch.setattr(training, "LEAST_ROWS", 100)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 4000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), "id")
+    dealt = tree_rows(rows, 4000, ["id"], "k")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and max(sizes) < 1.3 * 4000 / cores
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(4000))
+    again = tree_rows(rows.repartition(3), 4000, ["id"], "k")
+    assert again.rdd.glom().collect() == dealt.rdd.glom().collect()
+
+
+def test_boosted_trees_read_a_checkpoint(spark, split_rows, monkeypatch):
+    read = []
+    whole = GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, rows: read.append(rows) or whole(self, rows))
+    model = fit(split_rows, boosted_trees(SMALL))
+    (rows,) = read
+    assert "Scan ExistingRDD" in rows._jdf.queryExecution().toString() and "parquet" not in rows._jdf.queryExecution().toString()
+    assert rows.count() == split_rows.where("split <> 'test'").count()
+    # As many partitions as before: the same rows in the same order, so the same trees.
+    ready = PipelineModel(stages=model.stages[:-1]).transform(split_rows.where("split <> 'test'").withColumn("is_validation", F.col("split") == "val"))
+    if ready.rdd.getNumPartitions() == 1:
+        plain = whole(boosted_trees(SMALL), ready.select("features", "Exited", "is_validation"))
+        # The first line names the estimator.
+        assert plain.toDebugString.split("\n")[1:] == model.stages[-1].toDebugString.split("\n")[1:]
+
+
 def test_cross_validation(split_rows):
     train = split_rows.where("split = 'train'")
     model, table = cross_validate(train, candidates()["logistic_regression"], {"regParam": [0.0, 10.0]}, folds=2)

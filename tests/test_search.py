@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 
 import pytest
 
@@ -57,3 +58,16 @@ def test_pruned_trials_stay_in_the_table(spark):
     assert best_trial(trials).value == max(r["objective"] for r in rows if r["objective"] is not None)
     with pytest.raises(RuntimeError, match="every trial was pruned; the first by ValueError"):
         search(never, SPACE, 3, 1)
+
+
+def test_random_trials_run_at_once_and_stay_the_same():
+    meet = threading.Barrier(5)
+
+    def together(p):
+        meet.wait(30)  # five trials have to be running
+        return bowl(p)
+
+    assert search(together, SPACE, 10, 5, ["rate"], workers=5) == run(5, 10)
+    assert run(5, 25, workers=4) == run(5, 25)
+    assert run(5, 25, parallelism=3, workers=4) == run(5, 25, parallelism=3)
+    assert run(5, 25, parallelism=3, workers=2) == run(5, 25, parallelism=3)
